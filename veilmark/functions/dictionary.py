@@ -1,13 +1,13 @@
-"""Dictionary findings: every occurrence of listed terms."""
+"""Dictionary findings: every occurrence of listed terms.
+
+Arguments and results are SQL text; see ``exprs``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from veilmark.functions.exprs import FINDINGS, bind, empty
+from veilmark.functions.exprs import FINDINGS, bind, empty, struct, text_literal
 from veilmark.functions.fixed import DICTIONARY_SCORE
 
 
@@ -15,17 +15,16 @@ def _java_literal(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def any_term(text: Column, terms: Mapping[str, str]) -> Column:
+def any_term(text: str, terms: Mapping[str, str]) -> str:
     """Whether any term occurs in ``text``."""
-    if not terms:
-        return F.lit(False)
-    return text.rlike("|".join(_java_literal(t) for t in terms))
+    pattern = "|".join(_java_literal(t) for t in terms if t)
+    return f"rlike({text}, {text_literal(pattern)})" if pattern else "false"
 
 
 def dictionary_findings(
-    text: Column, terms: Mapping[str, str], score: float = DICTIONARY_SCORE
-) -> Column:
-    """Findings of all occurrences, overlapping ones too, sorted by start.
+    text: str, terms: Mapping[str, str], score: float = DICTIONARY_SCORE
+) -> str:
+    """Findings of all occurrences, overlapping ones too, sorted by start; ungated.
 
     Text is split at every position where some term starts (a zero-width
     look-ahead), so piece lengths give all starts in one pass; terms are then
@@ -33,47 +32,39 @@ def dictionary_findings(
     """
     terms = {t: e for t, e in terms.items() if t}
     if not terms:
-        return F.when(text.isNotNull(), empty(FINDINGS))
-    literals = [_java_literal(t) for t in terms]
-    starts_here = "(?=" + "|".join(literals) + ")"
+        return empty(FINDINGS)
+    starts_here = "(?=" + "|".join(_java_literal(t) for t in terms) + ")"
     longest = max(len(t) for t in terms)
-    table = F.array(
-        *[
-            F.struct(F.lit(t).alias("term"), F.lit(e).alias("entity_type"))
+    table = (
+        "array("
+        + ", ".join(
+            struct(term=text_literal(t), entity_type=text_literal(e))
             for t, e in terms.items()
-        ]
-    )
-
-    def locate(pieces: Column) -> Column:
-        def step(acc: Column, piece: Column) -> Column:
-            return F.struct(
-                (acc["pos"] + F.length(piece)).alias("pos"),
-                F.concat(acc["out"], F.array(acc["pos"])).alias("out"),
-            )
-
-        starts = F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("pos"), empty("array<int>").alias("out")),
-            step,
-            lambda acc: acc["out"],
         )
+        + ")"
+    )
+    starts = f"""aggregate(
+        split({text}, {text_literal(starts_here)}, -1),
+        {struct(pos="0", out=empty("array<int>"))},
+        (acc, piece) -> {struct(
+            pos="acc.pos + length(piece)", out="concat(acc.out, array(acc.pos))")},
+        acc -> acc.out)"""
+    finding = struct(
+        entity_type="t.entity_type",
+        start="at",
+        end="at + length(t.term)",
+        score=f"cast({score!r} as double)",
+    )
+    here = bind(
+        f"substring({text}, at + 1, {longest})",
+        "ahead",
+        f"transform(filter({table}, t -> startswith(ahead, t.term)), t -> {finding})",
+    )
+    return f"flatten(transform({starts}, at -> {here}))"
 
-        def at(start: Column) -> Column:
-            def compare(window: Column) -> Column:
-                return F.transform(
-                    F.filter(table, lambda t: window.startswith(t["term"])),
-                    lambda t: F.struct(
-                        t["entity_type"].alias("entity_type"),
-                        start.alias("start"),
-                        (start + F.length(t["term"])).alias("end"),
-                        F.lit(score).alias("score"),
-                    ),
-                )
-
-            return bind(F.substring(text, start + 1, F.lit(longest)), compare)
-
-        return F.flatten(F.transform(starts, at)).cast(FINDINGS)
 
-    return F.when(
-        any_term(text, terms), bind(F.split(text, starts_here, -1), locate)
-    ).when(text.isNotNull(), empty(FINDINGS))
+def gated_dictionary(text: str, terms: Mapping[str, str]) -> str:
+    return (
+        f"CASE WHEN {any_term(text, terms)} THEN {dictionary_findings(text, terms)} "
+        f"WHEN {text} IS NOT NULL THEN {empty(FINDINGS)} END"
+    )

@@ -1,11 +1,9 @@
-"""Provider vocabulary: entity names, likelihood scores, lenient integers."""
+"""Provider vocabulary: entity names, likelihood scores, lenient integers.
 
-from __future__ import annotations
-
-from itertools import chain
+Arguments and results are SQL text; see ``exprs``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from veilmark.functions.fixed import (
     INSPECT_INFO_TYPES,
@@ -14,29 +12,28 @@ from veilmark.functions.fixed import (
 )
 
 
-def _lookup(key: Column, table: dict) -> Column:
-    literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.try_element_at(literal, key)
-
-
-def canonical_entity(info_type: Column) -> Column:
+def canonical_entity(info_type: str) -> str:
     """Entity name for an inspect info type; unknown names pass through."""
-    names = {info: entity for entity, info in INSPECT_INFO_TYPES.items()}
-    return F.coalesce(_lookup(info_type, names), info_type)
+    cases = " ".join(
+        f"WHEN '{info}' THEN '{entity}'" for entity, info in INSPECT_INFO_TYPES.items()
+    )
+    return f"CASE {info_type} {cases} ELSE {info_type} END"
 
 
-def likelihood_score(likelihood: Column) -> Column:
+def likelihood_score(likelihood: str) -> str:
     """Score of a likelihood name; 0.5 for any other name."""
-    return F.coalesce(
-        _lookup(likelihood, LIKELIHOOD_SCORES), F.lit(UNKNOWN_LIKELIHOOD_SCORE)
+    cases = " ".join(
+        f"WHEN '{name}' THEN {score}D" for name, score in LIKELIHOOD_SCORES.items()
     )
+    return f"CASE {likelihood} {cases} ELSE {UNKNOWN_LIKELIHOOD_SCORE}D END"
 
 
-def flexible_int(text: Column) -> Column:
+def flexible_int(text: str) -> str:
     """Integer given as number or quoted string; absent, null or empty is 0.
 
     Null result for a non-null, non-empty input means it is not an integer.
     """
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).when(
-        text.rlike("^[+-]?[0-9]+$"), text.try_cast("int")
+    return (
+        f"CASE WHEN coalesce({text}, '') = '' THEN 0 "
+        f"WHEN rlike({text}, '^[+-]?[0-9]+$') THEN try_cast({text} as int) END"
     )

@@ -1,30 +1,57 @@
-"""Small Column helpers shared by the expression modules."""
+"""Helpers shared by the expression modules.
+
+Expression builders here work on SQL text: an argument is a column name or any
+SQL expression, and the result is SQL text too (``F.expr`` makes it a column).
+Large expressions are built once as text and parsed once, which costs the driver
+milliseconds instead of thousands of calls into the JVM.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "struct<entity_type:string,start:int,end:int,score:double>"
+from veilmark.functions.fixed import WHITE_SPACE
+
+FINDING = "struct<entity_type:string,`start`:int,`end`:int,score:double>"
 FINDINGS = f"array<{FINDING}>"
 MAPPING = "struct<token:string,value:string,entity_type:string>"
 MAPPINGS = f"array<{MAPPING}>"
 REDACTED = f"struct<text:string,mappings:{MAPPINGS}>"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``.
+def text_literal(text: str) -> str:
+    """SQL literal that no parser setting reads differently."""
+    if text.isprintable() and not set(text) & set("'$"):
+        return f"r'{text}'"
+    return f"cast(X'{text.encode().hex()}' as string)"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``.
 
     A lambda variable holds the value, so Catalyst cannot copy an expensive
     expression (a regex, an array build) into every place that refers to it.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def empty(array_type: str) -> str:
+    return f"cast(array() as {array_type})"
 
 
-def empty(array_type: str) -> Column:
-    return F.array().cast(array_type)
+def struct(**fields: str) -> str:
+    return (
+        "named_struct("
+        + ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        + ")"
+    )
+
+
+def is_blank(text: str) -> str:
+    return f"rlike({text}, {text_literal(f'^[{WHITE_SPACE}]*$')})"
 
 
 def inline_rows(df: DataFrame, keys: Sequence[str], array: str | Column) -> DataFrame:
@@ -35,9 +62,3 @@ def inline_rows(df: DataFrame, keys: Sequence[str], array: str | Column) -> Data
     """
     exploded = df.select(*keys, F.explode_outer(array).alias("_item"))
     return exploded.where(F.col("_item").isNotNull()).select(*keys, "_item.*")
-
-
-def is_blank(text: Column) -> Column:
-    from veilmark.functions.fixed import WHITE_SPACE
-
-    return text.rlike(f"^[{WHITE_SPACE}]*$")

@@ -25,7 +25,7 @@ from veilmark.functions.fixed import (
     TOKEN_SUFFIX,
     WHITE_SPACE,
 )
-from veilmark.functions.tokens import _LOWER, _UPPER
+from veilmark.functions.tokens import LOWER, UPPER
 
 # Rows above either bound take the Arrow path.
 LONG_TEXT_BYTES = 64 * 1024
@@ -34,7 +34,7 @@ DENSE_WORK = 1 << 24  # findings x bytes
 Span = tuple[int, int, float, str]  # start, end, score, entity type
 
 _BLANK = re.compile(f"[{WHITE_SPACE}]*")
-_ASCII_UPPER = str.maketrans(_LOWER, _UPPER)
+_ASCII_UPPER = str.maketrans(LOWER, UPPER)
 
 
 def _address_spans(text: str):

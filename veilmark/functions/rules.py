@@ -13,10 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from veilmark.functions.exprs import FINDINGS, bind, empty
+from veilmark.functions.exprs import FINDINGS, bind, empty, struct, text_literal
 from veilmark.functions.fixed import RULE_PATTERNS, RULE_SCORE
 
 _WORD = "[0-9A-Za-z_]"
@@ -58,7 +55,7 @@ def java_pattern(rule: str) -> str:
     return f"(?={_FIRST[rule]}){pattern}"
 
 
-def gate(text: Column, rules: Iterable[str]) -> Column:
+def gate(text: str, rules: Iterable[str]) -> str:
     """Necessary condition for any of ``rules`` to match, in one cheap pass.
 
     Two byte searches and at most one digit-anchored regex; most text fails all
@@ -67,89 +64,69 @@ def gate(text: Column, rules: Iterable[str]) -> Column:
     rules = list(rules)
     tests = []
     if "EMAIL_ADDRESS" in rules:
-        tests.append(text.contains("@"))
+        tests.append(f"contains({text}, '@')")
     if "URL" in rules:
-        tests.append(text.contains("://"))
+        tests.append(f"contains({text}, '://')")
     hints = [_DIGIT_HINTS[r] for r in rules if r in _DIGIT_HINTS]
     if hints:
-        tests.append(text.rlike("[0-9](?:" + "|".join(hints) + ")"))
-    if not tests:
-        return F.lit(False)
-    condition = tests[0]
-    for test in tests[1:]:
-        condition = condition | test
-    return condition
+        pattern = "[0-9](?:" + "|".join(hints) + ")"
+        tests.append(f"rlike({text}, {text_literal(pattern)})")
+    return "(" + " OR ".join(tests or ["false"]) + ")"
+
+
+_SPANS = "array<struct<`start`:int,ord:int,`end`:int>>"
 
 
-def _rule_spans(text: Column, rule: str, order: int) -> Column:
-    """Spans of one rule as (start, order, end) structs.
+def _rule_spans(text: str, rule: str, order: int) -> str:
+    """Spans of one rule as (start, ord, end) structs.
 
     Matches and the gaps between them alternate, so each start is the length of
     all gaps up to and including its own plus all earlier matches.  ``length``
     counts code points, which is what spans are measured in.
     """
-    pattern = java_pattern(rule)
-    none = empty("array<struct<start:int,ord:int,end:int>>")
-
-    def locate(matches: Column) -> Column:
-        sizes = F.zip_with(
-            F.split(text, pattern, -1),
-            matches,
-            lambda gap, match: F.struct(
-                F.length(gap).alias("gap"), F.length(match).alias("len")
-            ),
-        )
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + x["gap"]
-            span = F.struct(
-                start.alias("start"),
-                F.lit(order).alias("ord"),
-                (start + x["len"]).alias("end"),
-            )
-            return F.struct(
-                (start + x["len"]).alias("pos"),
-                F.concat(acc["out"], F.array(span)).alias("out"),
-            )
-
-        spans = F.aggregate(
-            # the last gap has no match after it
-            F.slice(sizes, 1, F.size(matches)),
-            F.struct(F.lit(0).alias("pos"), none.alias("out")),
-            step,
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(matches) > 0, spans).otherwise(none)
-
-    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
-
-
-def rule_findings(text: Column, entities: Iterable[str] | None = None) -> Column:
-    """Findings of all allowed rules in ``text``, sorted by start.
-
-    Equal starts keep rule order.  Ungated: see :func:`gated_findings`.
+    pattern = text_literal(java_pattern(rule))
+    sizes = (
+        f"zip_with(split({text}, {pattern}, -1), hits, "
+        "(g, h) -> named_struct('gap', length(g), 'len', length(h)))"
+    )
+    span = struct(start="acc.pos + x.gap", ord=str(order), end="acc.pos + x.gap + x.len")
+    # the last gap has no match after it
+    located = f"""aggregate(
+        slice({sizes}, 1, size(hits)),
+        {struct(pos="0", out=empty(_SPANS))},
+        (acc, x) -> {struct(
+            pos="acc.pos + x.gap + x.len", out=f"concat(acc.out, array({span}))")},
+        acc -> acc.out)"""
+    return bind(
+        f"regexp_extract_all({text}, {pattern}, 0)",
+        "hits",
+        f"if(size(hits) > 0, {located}, {empty(_SPANS)})",
+    )
+
+
+def rule_findings(text: str, rules: Iterable[str]) -> str:
+    """Findings of ``rules`` in ``text``, sorted by start; ungated.
+
+    Equal starts keep rule order.
     """
-    rules = rule_names(entities)
+    rules = list(rules)
     if not rules:
-        return F.when(text.isNotNull(), empty(FINDINGS))
-    names = F.array(*[F.lit(r) for r in rules])
-    spans = F.array_sort(
-        F.concat(*[_rule_spans(text, r, i) for i, r in enumerate(rules)])
+        return empty(FINDINGS)
+    names = "array(" + ", ".join(f"'{r}'" for r in rules) + ")"
+    spans = ", ".join(_rule_spans(text, r, i) for i, r in enumerate(rules))
+    finding = struct(
+        entity_type=f"get({names}, sp.ord)",
+        start="sp.`start`",
+        end="sp.`end`",
+        score=f"cast({RULE_SCORE} as double)",
     )
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.get(names, s["ord"]).alias("entity_type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(RULE_SCORE).alias("score"),
-        ),
-    ).cast(FINDINGS)
-
-
-def gated_findings(text: Column, entities: Iterable[str] | None = None) -> Column:
-    """:func:`rule_findings` behind :func:`gate`."""
+    return f"transform(array_sort(concat({spans})), sp -> {finding})"
+
+
+def gated_findings(text: str, entities: Iterable[str] | None = None) -> str:
+    """:func:`rule_findings` of the allowed rules behind :func:`gate`."""
     rules = rule_names(entities)
-    return F.when(gate(text, rules), rule_findings(text, entities)).when(
-        text.isNotNull(), empty(FINDINGS)
+    return (
+        f"CASE WHEN {gate(text, rules)} THEN {rule_findings(text, rules)} "
+        f"WHEN {text} IS NOT NULL THEN {empty(FINDINGS)} END"
     )

@@ -1,12 +1,13 @@
-"""Token expressions: build tokens, recognise them, put values back."""
+"""Token expressions: build tokens, recognise them, put values back.
+
+Arguments and results are SQL text; see ``exprs``.
+"""
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from veilmark.functions.exprs import bind, empty, text_literal
 from veilmark.functions.fixed import (
     FALLBACK_ENTITY,
     TOKEN_ID_LENGTH,
@@ -16,61 +17,59 @@ from veilmark.functions.fixed import (
 )
 
 # Letters whose simple upper case lies in the token alphabet: a-z, dotless i, long s.
-_LOWER = string.ascii_lowercase + "ıſ"
-_UPPER = string.ascii_uppercase + "IS"
+LOWER = string.ascii_lowercase + "ıſ"
+UPPER = string.ascii_uppercase + "IS"
 
 
-def normalize_entity(entity: Column) -> Column:
+def normalize_entity(entity: str) -> str:
     """Token label for an entity type: upper case, other characters to ``_``.
 
     ``translate`` is used instead of ``upper`` because full upper-casing turns
     some letters into two (sharp s), which would change the label.
     """
-    upper = F.translate(F.coalesce(entity, F.lit("")), _LOWER, _UPPER)
-    label = F.regexp_replace(upper, "[^A-Z0-9_]+", "_")
-    label = F.regexp_replace(label, "^_+|_+$", "")
-    return F.when(label == "", F.lit(FALLBACK_ENTITY)).otherwise(label)
+    upper = f"translate(coalesce({entity}, ''), '{LOWER}', '{UPPER}')"
+    label = f"regexp_replace({upper}, '[^A-Z0-9_]+', '_')"
+    label = f"regexp_replace({label}, '^_+|_+$', '')"
+    return bind(label, "lbl", f"if(lbl = '', '{FALLBACK_ENTITY}', lbl)")
 
 
-def token_id(value: Column, salt: str | Column) -> Column:
-    """First 16 hex digits of sha256(salt NUL value)."""
-    if isinstance(salt, Column):
-        digest_input = F.concat(salt, F.lit("\x00"), value)
-    else:
-        digest_input = F.concat(F.lit(salt + "\x00"), value)
-    return F.substring(F.sha2(digest_input, 256), 1, TOKEN_ID_LENGTH)
+def token_id(value: str, salt: str) -> str:
+    """First 16 hex digits of sha256(salt NUL value); ``salt`` is plain text."""
+    prefix = text_literal(salt + "\x00")
+    return f"substring(sha2(concat({prefix}, {value}), 256), 1, {TOKEN_ID_LENGTH})"
 
 
-def make_token(entity: Column, value: Column, salt: str | Column) -> Column:
-    """Deterministic token for (entity, value, salt)."""
-    return F.concat(
-        F.lit(TOKEN_MARKER),
-        normalize_entity(entity),
-        F.lit("_"),
-        token_id(value, salt),
-        F.lit(TOKEN_SUFFIX),
+def labelled_token(label: str, value: str, salt: str) -> str:
+    """Token for a label that is already normalized."""
+    return (
+        f"concat('{TOKEN_MARKER}', {label}, '_', {token_id(value, salt)}, "
+        f"'{TOKEN_SUFFIX}')"
     )
 
 
-def has_marker(text: Column) -> Column:
+def make_token(entity: str, value: str, salt: str) -> str:
+    """Deterministic token for (entity, value, salt)."""
+    return labelled_token(normalize_entity(entity), value, salt)
+
+
+def has_marker(text: str) -> str:
     """Cheap necessary condition for holding a token (byte search, no regex)."""
-    return text.contains(TOKEN_MARKER)
+    return f"contains({text}, '{TOKEN_MARKER}')"
 
 
-def find_tokens(text: Column) -> Column:
+def find_tokens(text: str) -> str:
     """All complete tokens in order of appearance."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.when(has_marker(text), found).when(
-        text.isNotNull(), F.array().cast("array<string>")
+    return (
+        f"CASE WHEN {has_marker(text)} "
+        f"THEN regexp_extract_all({text}, {text_literal(TOKEN_PATTERN)}, 0) "
+        f"WHEN {text} IS NOT NULL THEN {empty('array<string>')} END"
     )
 
 
-def splice_values(text: Column, values: Column) -> Column:
+def splice_values(text: str, values: str) -> str:
     """Put ``values`` in the place of the tokens of ``text``, in order."""
-    gaps = F.split(text, TOKEN_PATTERN, -1)
-    return F.array_join(
-        F.zip_with(
-            gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))
-        ),
-        "",
+    gaps = f"split({text}, {text_literal(TOKEN_PATTERN)}, -1)"
+    return (
+        f"array_join(zip_with({gaps}, {values}, "
+        "(gap, val) -> concat(gap, coalesce(val, ''))), '')"
     )

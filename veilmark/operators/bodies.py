@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import bodypatch, longtext
-from veilmark.functions.chatbody import FIELDS, body_fields, parse_body
-from veilmark.functions.exprs import MAPPINGS, bind, empty, inline_rows
+from veilmark.functions.chatbody import FIELDS, parsed_fields
+from veilmark.functions.exprs import MAPPINGS, bind, empty, inline_rows, text_literal
 from veilmark.operators.detect import BatchDetector
 from veilmark.operators.redact import (
     TextRules,
@@ -18,19 +18,15 @@ from veilmark.operators.redact import (
 from veilmark.options import Options
 
 
-def _with_fields(df: DataFrame, body: str, wanted: Column | None = None) -> DataFrame:
+def _with_fields(df: DataFrame, body: str) -> DataFrame:
     """Add ``_fields``; bodies the VARIANT parser refuses go through Python."""
-    source = F.col(body) if wanted is None else F.when(wanted, F.col(body))
-    native = bind(
-        parse_body(source), lambda v: F.when(v.isNotNull(), body_fields(v))
-    )
-    staged = df.withColumn("_native", native)
-    refused = F.col("_native").isNull() & source.isNotNull()
+    staged = df.withColumn("_native", F.expr(parsed_fields(body)))
+    refused = F.col("_native").isNull() & F.col(body).isNotNull()
     by_python = bodypatch.fields_udf()(F.when(refused, F.col(body)))
     return staged.withColumn(
         "_fields",
         F.when(refused, by_python)
-        .otherwise(F.coalesce("_native", empty(FIELDS)))
+        .otherwise(F.coalesce("_native", F.expr(empty(FIELDS))))
         .cast(FIELDS),
     ).drop("_native")
 
@@ -64,11 +60,6 @@ def rebuild_bodies(
     ).select(*requests.columns)
 
 
-def _may_hide(body: Column) -> Column:
-    """Escapes that can hide what the gate looks for in raw JSON."""
-    return body.contains("\\u") | body.contains("\\/")
-
-
 def sanitize_requests(
     requests: DataFrame,
     options: Options,
@@ -89,34 +80,30 @@ def sanitize_requests(
         return _sanitize_by_join(requests, options, body, body_id, detector)
 
     rules = TextRules(options)
-    source = F.col(body)
-    suspicious = F.coalesce(rules.gate(source) | _may_hide(source), F.lit(False))
-    if options.backend == "dictionary":
-        # any character of a term may be escaped
-        suspicious = F.coalesce(rules.gate(source) | source.contains("\\"), F.lit(False))
-    is_long = F.octet_length(source) > long_body_bytes
-
-    fields = bind(
-        parse_body(F.when(suspicious & ~is_long, source)),
-        lambda v: F.when(v.isNotNull(), body_fields(v)),
-    )
-    texts = F.transform("_fields", lambda f: f["text"])
-    results = F.transform("_fields", lambda f: redacted_native(f["text"], options))
+    # JSON escapes can hide from the raw gate what it looks for: the characters
+    # rules need only as a code point or an escaped slash, a term's by any escape.
+    escapes = ["\\"] if options.backend == "dictionary" else ["\\u", "\\/"]
+    hidden = " OR ".join(f"contains({body}, {text_literal(e)})" for e in escapes)
+    suspicious = f"coalesce({rules.gate(body)} OR {hidden}, false)"
+    parsable = f"CASE WHEN {suspicious} AND octet_length({body}) <= {long_body_bytes} THEN {body} END"
+
     staged = (
-        requests.withColumn("_fields", fields)
-        .withColumns({"_old": texts, "_results": results})
+        requests.withColumn("_fields", F.expr(bind(parsable, "raw", parsed_fields("raw"))))
+        .withColumn(
+            "_results",
+            F.expr(f"transform(_fields, fd -> {redacted_native('fd.text', options)})"),
+        )
         .withColumn(
-            "_mappings", F.flatten(F.transform("_results", lambda r: r["mappings"]))
+            "_mappings", F.expr("flatten(transform(_results, r -> r.mappings))")
         )
     )
     # null _fields: too long, or not parsed by the expressions
-    by_python = F.col("_fields").isNull() & suspicious
-    changed = F.coalesce(F.size("_mappings") > 0, F.lit(False))
-    patch = bodypatch.patch_udf(rules.match, options.salt)
-    patched = patch(
-        F.when(changed | by_python, source),
-        F.when(changed, F.col("_old")),
-        F.when(changed, F.transform("_results", lambda r: r["text"])),
+    by_python = f"(_fields IS NULL AND {suspicious})"
+    changed = "coalesce(size(_mappings) > 0, false)"
+    patched = bodypatch.patch_udf(rules.match, options.salt)(
+        F.expr(f"CASE WHEN {changed} OR {by_python} THEN {body} END"),
+        F.expr(f"CASE WHEN {changed} THEN transform(_fields, fd -> fd.text) END"),
+        F.expr(f"CASE WHEN {changed} THEN transform(_results, r -> r.text) END"),
     )
     return (
         staged.withColumn("_patched", patched)
@@ -124,7 +111,7 @@ def sanitize_requests(
             {
                 body: F.coalesce("_patched.body", body),
                 "mappings": F.coalesce(
-                    "_patched.mappings", "_mappings", empty(MAPPINGS)
+                    "_patched.mappings", "_mappings", F.expr(empty(MAPPINGS))
                 ),
                 "detect_error": F.lit(None).cast("string"),
             }
@@ -133,7 +120,7 @@ def sanitize_requests(
             "status",
             F.when(F.size("mappings") > 0, "redacted").otherwise("unchanged"),
         )
-        .drop("_fields", "_old", "_results", "_mappings", "_patched")
+        .drop("_fields", "_results", "_mappings", "_patched")
     )
 
 
@@ -173,7 +160,7 @@ def _sanitize_by_join(
         .withColumns(
             {
                 "mappings": F.when(
-                    failed | F.col("mappings").isNull(), empty(MAPPINGS)
+                    failed | F.col("mappings").isNull(), F.expr(empty(MAPPINGS))
                 ).otherwise(F.col("mappings")),
                 "status": F.when(failed, status)
                 .when(F.size("_new") > 0, "redacted")

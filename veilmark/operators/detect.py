@@ -13,29 +13,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.dictionary import dictionary_findings
+from veilmark.functions.chatbody import get
+from veilmark.functions.dictionary import gated_dictionary
 from veilmark.functions.entities import (
     canonical_entity,
     flexible_int,
     likelihood_score,
 )
-from veilmark.functions.exprs import FINDINGS, bind, empty, inline_rows
+from veilmark.functions.exprs import FINDINGS, bind, empty, inline_rows, struct
 from veilmark.functions.rules import gated_findings
 from veilmark.functions.spans import allow_entities, filter_score
 from veilmark.options import Options
 
 
-def _no_error() -> Column:
-    return F.lit(None).cast("string")
+def _with_findings(df: DataFrame, findings: str) -> DataFrame:
+    return df.withColumns(
+        {"findings": F.expr(findings), "detect_error": F.lit(None).cast("string")}
+    )
 
 
 def detect_regex(
     df: DataFrame, text: str = "text", entities: Iterable[str] | None = None
 ) -> DataFrame:
     """Built-in rules; the threshold does not apply (every score is 1.0)."""
-    return df.withColumns(
-        {"findings": gated_findings(F.col(text), entities), "detect_error": _no_error()}
-    )
+    return _with_findings(df, gated_findings(text, entities))
 
 
 def detect_dictionary(
@@ -47,176 +48,122 @@ def detect_dictionary(
     """Every occurrence of the given terms (term -> entity type)."""
     allowed = set(entities or ())
     kept = {t: e for t, e in terms.items() if not allowed or e in allowed}
-    return df.withColumns(
-        {
-            "findings": dictionary_findings(F.col(text), kept),
-            "detect_error": _no_error(),
-        }
-    )
-
+    return _with_findings(df, gated_dictionary(text, kept))
 
-def _json_type(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
-
-def _or_missing(v: Column, is_ok: Column) -> Column:
+def _fine(v: str, test: str) -> str:
     """A field is fine when absent, JSON null, or of the right type."""
-    return v.isNull() | F.is_variant_null(v) | is_ok
-
+    return bind(v, "fld", f"fld IS NULL OR is_variant_null(fld) OR {test}")
 
-def _items(parsed: Column, path: str) -> Column:
-    return F.try_variant_get(parsed, path, "array<variant>")
 
+def _is(kind: str) -> str:
+    return f"schema_of_variant(fld) = '{kind}'"
 
-def _get(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
-
-
-def _is_object(v: Column) -> Column:
-    return _json_type(v).startswith("OBJECT")
-
-
-def _checked(items: Column, read: Callable[[Column], Column], note: str) -> Column:
-    """struct(findings, error) from items read into struct(ok, finding)."""
-    return bind(
-        F.transform(items, read),
-        lambda rows: F.when(
-            F.forall(rows, lambda r: r["ok"]),
-            F.struct(
-                F.transform(rows, lambda r: r["finding"]).cast(FINDINGS).alias("findings"),
-                F.lit(None).cast("string").alias("error"),
-            ),
-        ).otherwise(_failed(note)),
-    )
-
-
-def _failed(note: str) -> Column:
-    return F.struct(
-        F.lit(None).cast(FINDINGS).alias("findings"), F.lit(note).alias("error")
-    )
 
+_OBJECT = "startswith(schema_of_variant(fld), 'OBJECT')"
+_WHOLE = f"({_is('BIGINT')} AND {get('fld', '$', 'int')} IS NOT NULL)"
+_NUMBER = "rlike(schema_of_variant(fld), '^(BIGINT|DOUBLE|DECIMAL|FLOAT)')"
+_RESULT = f"struct<findings:{FINDINGS},error:string>"
 
-def _nothing() -> Column:
-    return F.struct(
-        empty(FINDINGS).alias("findings"), F.lit(None).cast("string").alias("error")
-    )
 
+def _failed(note: str) -> str:
+    return f"cast({struct(findings='null', error=repr(note))} as {_RESULT})"
 
-def _analyzer_item(v: Column) -> Column:
-    entity, start, end, score = (
-        _get(v, f"$.{k}") for k in ("entity_type", "start", "end", "score")
-    )
 
-    def whole(x: Column) -> Column:
-        return _or_missing(
-            x,
-            (_json_type(x) == "BIGINT")
-            & F.try_variant_get(x, "$", "int").isNotNull(),
-        )
+def _nothing() -> str:
+    return f"cast({struct(findings=empty(FINDINGS), error='null')} as {_RESULT})"
 
-    def number(x: Column) -> Column:
-        return _or_missing(
-            x, _json_type(x).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-        )
 
-    ok = (
-        (F.is_variant_null(v) | _is_object(v))
-        & _or_missing(entity, _json_type(entity) == "STRING")
-        & whole(start)
-        & whole(end)
-        & number(score)
-    )
-    finding = F.struct(
-        F.coalesce(F.try_variant_get(v, "$.entity_type", "string"), F.lit("")).alias(
-            "entity_type"
-        ),
-        F.coalesce(F.try_variant_get(v, "$.start", "int"), F.lit(0)).alias("start"),
-        F.coalesce(F.try_variant_get(v, "$.end", "int"), F.lit(0)).alias("end"),
-        F.coalesce(F.try_variant_get(v, "$.score", "double"), F.lit(0.0)).alias(
-            "score"
-        ),
+def _checked(items: str, ok: str, finding: str, note: str) -> str:
+    """Findings of ``items`` if every ``item`` is ok, else an error."""
+    read = struct(ok=f"coalesce({ok}, false)", finding=finding)
+    done = struct(findings="transform(rows, row -> row.finding)", error="null")
+    return bind(
+        f"transform({items}, item -> {read})",
+        "rows",
+        f"if(forall(rows, row -> row.ok), cast({done} as {_RESULT}), {_failed(note)})",
     )
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), finding.alias("finding"))
 
 
-def analyzer_findings(json: Column) -> Column:
-    """struct(findings, error) of one analyzer result array.
+def analyzer_findings(json: str) -> str:
+    """struct(findings, error) of one analyzer result array (SQL text).
 
     The threshold is the analyzer's business and is not applied again here.
     """
     note = "analyzer result: not an array of findings"
-    parsed = F.try_parse_json(json)
+    ok = " AND ".join(
+        [
+            _fine("item", _OBJECT),
+            _fine(get("item", "$.entity_type"), _is("STRING")),
+            _fine(get("item", "$.start"), _WHOLE),
+            _fine(get("item", "$.end"), _WHOLE),
+            _fine(get("item", "$.score"), _NUMBER),
+        ]
+    )
+    finding = struct(
+        entity_type=f"coalesce({get('item', '$.entity_type', 'string')}, '')",
+        start=f"coalesce({get('item', '$.start', 'int')}, 0)",
+        end=f"coalesce({get('item', '$.end', 'int')}, 0)",
+        score=f"coalesce({get('item', '$.score', 'double')}, 0D)",
+    )
     return bind(
-        parsed,
-        lambda v: F.when(F.is_variant_null(v), _nothing())
-        .when(
-            _items(v, "$").isNotNull(), _checked(_items(v, "$"), _analyzer_item, note)
-        )
-        .otherwise(_failed(note)),
+        f"try_parse_json({json})",
+        "res",
+        f"""CASE WHEN is_variant_null(res) THEN {_nothing()}
+            WHEN {get('res', '$', 'array<variant>')} IS NOT NULL
+            THEN {_checked(get('res', '$', 'array<variant>'), ok, finding, note)}
+            ELSE {_failed(note)} END""",
     )
 
 
-def _inspect_item(v: Column) -> Column:
-    name = _get(v, "$.infoType.name")
-    likelihood = _get(v, "$.likelihood")
+def inspect_findings(json: str) -> str:
+    """struct(findings, error) of one inspect result (SQL text).
 
-    def parent(path: str) -> Column:
-        x = _get(v, path)
-        return _or_missing(x, _is_object(x))
+    No findings is fine.
+    """
+    note = "inspect result: not a result object"
 
-    def offset(key: str) -> tuple[Column, Column]:
+    def offset(key: str) -> str:
         path = f"$.location.codepointRange.{key}"
-        kind = _json_type(_get(v, path))
-        value = flexible_int(
-            F.when(
-                _or_missing(_get(v, path), kind.isin("STRING", "BIGINT")),
-                F.try_variant_get(v, path, "string"),
-            ).otherwise(F.lit("?"))
+        text = bind(
+            get("item", path),
+            "off",
+            f"""CASE WHEN off IS NULL OR is_variant_null(off) THEN ''
+                WHEN schema_of_variant(off) IN ('STRING', 'BIGINT')
+                THEN {get('off', '$', 'string')} ELSE '?' END""",
         )
-        return value, value.isNotNull()
-
-    start, start_ok = offset("start")
-    end, end_ok = offset("end")
-    ok = (
-        (F.is_variant_null(v) | _is_object(v))
-        & parent("$.infoType")
-        & parent("$.location")
-        & parent("$.location.codepointRange")
-        & _or_missing(name, _json_type(name) == "STRING")
-        & _or_missing(likelihood, _json_type(likelihood) == "STRING")
-        & start_ok
-        & end_ok
+        return bind(text, "num", flexible_int("num"))
+
+    ok = " AND ".join(
+        [
+            _fine("item", _OBJECT),
+            _fine(get("item", "$.infoType"), _OBJECT),
+            _fine(get("item", "$.location"), _OBJECT),
+            _fine(get("item", "$.location.codepointRange"), _OBJECT),
+            _fine(get("item", "$.infoType.name"), _is("STRING")),
+            _fine(get("item", "$.likelihood"), _is("STRING")),
+            f"{offset('start')} IS NOT NULL",
+            f"{offset('end')} IS NOT NULL",
+        ]
     )
-    finding = F.struct(
-        canonical_entity(
-            F.coalesce(F.try_variant_get(v, "$.infoType.name", "string"), F.lit(""))
-        ).alias("entity_type"),
-        start.alias("start"),
-        end.alias("end"),
-        likelihood_score(F.try_variant_get(v, "$.likelihood", "string")).alias("score"),
+    name = f"coalesce({get('item', '$.infoType.name', 'string')}, '')"
+    finding = struct(
+        entity_type=bind(name, "info", canonical_entity("info")),
+        start=offset("start"),
+        end=offset("end"),
+        score=likelihood_score(get("item", "$.likelihood", "string")),
     )
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), finding.alias("finding"))
-
-
-def inspect_findings(json: Column) -> Column:
-    """struct(findings, error) of one inspect result; no findings is fine."""
-    note = "inspect result: not a result object"
-
-    def read(v: Column) -> Column:
-        result = _get(v, "$.result")
-        found = _get(v, "$.result.findings")
-        items = _items(v, "$.result.findings")
-        return (
-            F.when(F.is_variant_null(v), _nothing())
-            .when(~_is_object(v) | ~_or_missing(result, _is_object(result)), _failed(note))
-            .when(found.isNull() | F.is_variant_null(found), _nothing())
-            .when(items.isNotNull(), _checked(items, _inspect_item, note))
-            .otherwise(_failed(note))
-        )
-
+    items = get("res", "$.result.findings", "array<variant>")
     return bind(
-        F.try_parse_json(json),
-        lambda v: F.when(v.isNull(), _failed(note)).otherwise(read(v)),
+        f"try_parse_json({json})",
+        "res",
+        f"""CASE WHEN res IS NULL THEN {_failed(note)}
+            WHEN is_variant_null(res) THEN {_nothing()}
+            WHEN NOT ({_fine('res', _OBJECT)} AND {_fine(get('res', '$.result'), _OBJECT)})
+            THEN {_failed(note)}
+            WHEN {_fine(get('res', '$.result.findings'), 'false')} THEN {_nothing()}
+            WHEN {items} IS NOT NULL THEN {_checked(items, ok, finding, note)}
+            ELSE {_failed(note)} END""",
     )
 
 
@@ -224,7 +171,7 @@ def ingest_analyzer_findings(
     df: DataFrame, json: str = "json", entities: Iterable[str] | None = None
 ) -> DataFrame:
     """Analyzer result JSON to findings."""
-    return _ingest(df, analyzer_findings(F.col(json)), entities, None)
+    return _ingest(df, F.expr(analyzer_findings(json)), entities, None)
 
 
 def ingest_inspect_findings(
@@ -235,7 +182,7 @@ def ingest_inspect_findings(
 ) -> DataFrame:
     """Inspect result JSON to findings: names mapped, likelihood scored, low
     scores dropped.  The allowlist is applied to the mapped names, always."""
-    return _ingest(df, inspect_findings(F.col(json)), entities, threshold)
+    return _ingest(df, F.expr(inspect_findings(json)), entities, threshold)
 
 
 def _ingest(
@@ -244,12 +191,14 @@ def _ingest(
     entities: Iterable[str] | None,
     threshold: float | None,
 ) -> DataFrame:
-    findings = allow_entities(F.col("_parsed.findings"), entities)
+    findings = allow_entities("_parsed.findings", entities)
     if threshold is not None:
         findings = filter_score(findings, threshold)
     return (
         df.withColumn("_parsed", parsed)
-        .withColumns({"findings": findings, "detect_error": F.col("_parsed.error")})
+        .withColumns(
+            {"findings": F.expr(findings), "detect_error": F.col("_parsed.error")}
+        )
         .drop("_parsed")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import longtext
 from veilmark.functions.dictionary import any_term, dictionary_findings
-from veilmark.functions.exprs import MAPPINGS, REDACTED, inline_rows
+from veilmark.functions.exprs import MAPPINGS, empty, inline_rows
 from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.rules import gate, rule_findings, rule_names
 from veilmark.functions.spans import redact_text, unchanged
@@ -25,77 +25,74 @@ from veilmark.options import Options
 class TextRules:
     """A detector that needs nothing but the text: rules or a dictionary.
 
-    Holds the three forms one detector takes: gate, expression and string
-    function (for long rows).
+    Holds the three forms one detector takes: gate and findings as SQL text, and
+    a string function for long rows.
     """
 
     def __init__(self, options: Options):
-        allowed = set(options.entities)
         if check_backend(options) == "dictionary":
+            allowed = set(options.entities)
             terms = {
                 t: e for t, e in options.terms.items() if not allowed or e in allowed
             }
-            self.gate = lambda c: any_term(c, terms)
-            self.findings = lambda c: dictionary_findings(c, terms)
+            self.gate = lambda text: any_term(text, terms)
+            self.findings = lambda text: dictionary_findings(text, terms)
             self.match = longtext.term_matcher(terms, DICTIONARY_SCORE)
         else:
             rules = rule_names(options.entities)
-            self.gate = lambda c: gate(c, rules)
-            self.findings = lambda c: rule_findings(c, rules) if rules else None
+            self.gate = lambda text: gate(text, rules)
+            self.findings = lambda text: rule_findings(text, rules)
             self.match = longtext.rule_matcher(rules)
-            if not rules:
-                self.gate = lambda c: F.lit(False)
-                self.findings = lambda c: rule_findings(c, ["-"])
 
 
 def reads_text_only(options: Options) -> bool:
-    return (options.backend or "presidio") in ("regex", "dictionary")
+    return options.backend in ("regex", "dictionary")
 
 
 def redacted(
-    text: Column,
-    options: Options,
-    long_text_bytes: int = longtext.LONG_TEXT_BYTES,
+    text: str, options: Options, long_text_bytes: int = longtext.LONG_TEXT_BYTES
 ) -> Column:
-    """``struct(text, mappings)`` for a text-only detector, as one expression."""
+    """``struct(text, mappings)`` for a text-only detector, as one column."""
     rules = TextRules(options)
     suspicious = rules.gate(text)
-    is_long = F.octet_length(text) > long_text_bytes
-    by_arrow = longtext.redact_matched_udf(rules.match, options.salt)
+    short = f"octet_length({text}) <= {long_text_bytes}"
+    in_arrow = F.expr(f"CASE WHEN NOT {short} AND {suspicious} THEN {text} END")
+    native = redact_text(text, rules.findings(text), options.salt)
     return (
-        F.when(
-            suspicious & ~is_long,
-            redact_text(text, rules.findings(text), options.salt),
+        F.when(F.expr(f"{short} AND {suspicious}"), F.expr(native))
+        .when(
+            F.expr(f"NOT {short} AND {suspicious}"),
+            longtext.redact_matched_udf(rules.match, options.salt)(in_arrow),
         )
-        .when(suspicious, by_arrow(F.when(is_long & suspicious, text)))
-        .otherwise(unchanged(text))
+        .otherwise(F.expr(unchanged(text)))
     )
 
 
-def redacted_native(text: Column, options: Options) -> Column:
-    """The expression path alone; also usable inside array lambdas."""
+def redacted_native(text: str, options: Options) -> str:
+    """The expression path alone, as SQL text; also fit for array lambdas."""
     rules = TextRules(options)
-    return F.when(
-        rules.gate(text), redact_text(text, rules.findings(text), options.salt)
-    ).otherwise(unchanged(text))
+    native = redact_text(text, rules.findings(text), options.salt)
+    return f"CASE WHEN {rules.gate(text)} THEN {native} ELSE {unchanged(text)} END"
 
 
 def redact_findings(
     df: DataFrame, salt: str, text: str = "text", findings: str = "findings"
 ) -> DataFrame:
     """Redact with the findings already in the table; adds ``redacted``."""
-    source, found = F.col(text), F.col(findings)
-    dense = (
-        F.octet_length(source).cast("long") * F.coalesce(F.size(found), F.lit(0))
-        > longtext.DENSE_WORK
+    work = f"cast(octet_length({text}) as bigint) * coalesce(size({findings}), 0)"
+    dense = f"{work} > {longtext.DENSE_WORK}"
+    by_arrow = longtext.redact_found_udf(salt)(
+        F.expr(f"CASE WHEN {dense} THEN {text} END"),
+        F.expr(f"CASE WHEN {dense} THEN {findings} END"),
     )
-    by_arrow = longtext.redact_found_udf(salt)
     result = (
-        F.when(dense, by_arrow(F.when(dense, source), F.when(dense, found)))
-        .when(F.size(found) > 0, redact_text(source, found, salt))
-        .otherwise(unchanged(source))
+        F.when(F.expr(dense), by_arrow)
+        .when(
+            F.expr(f"size({findings}) > 0"), F.expr(redact_text(text, findings, salt))
+        )
+        .otherwise(F.expr(unchanged(text)))
     )
-    return df.withColumn("redacted", result.cast(REDACTED))
+    return df.withColumn("redacted", result)
 
 
 def redact(
@@ -114,7 +111,7 @@ def redact(
     if detector is None and reads_text_only(options):
         out = df.withColumns(
             {
-                "redacted": redacted(F.col(text), options),
+                "redacted": redacted(text, options),
                 "detect_error": F.lit(None).cast("string"),
             }
         )
@@ -134,7 +131,7 @@ def _apply_policy(df: DataFrame, options: Options, text: str) -> DataFrame:
     return df.withColumns(
         {
             text: F.when(failed, kept).otherwise(F.col("redacted.text")),
-            "mappings": F.when(failed, F.array().cast(MAPPINGS)).otherwise(
+            "mappings": F.when(failed, F.expr(empty(MAPPINGS))).otherwise(
                 F.col("redacted.mappings")
             ),
             "status": F.when(failed, status)
@@ -150,7 +147,7 @@ def redact_columns(
     """Redact several text columns of a row; their mappings go into one array."""
     columns = list(columns)
     staged = df.withColumns(
-        {f"_redacted_{c}": redacted(F.col(c), options) for c in columns}
+        {f"_redacted_{c}": redacted(c, options) for c in columns}
     )
     return staged.withColumns(
         {

@@ -32,8 +32,8 @@ def rehydrate(
     array per row, in text order, and are spliced between the gaps.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    with_tokens = df.where(has_marker(F.col(text)))
-    without = df.where(~F.coalesce(has_marker(F.col(text)), F.lit(False)))
+    with_tokens = df.where(has_marker(text))
+    without = df.where(f"NOT coalesce({has_marker(text)}, false)")
 
     occurrences = tokens_long(df, keys, text).withColumnsRenamed(
         {"pos": "_pos", "token": "_token"}
@@ -60,7 +60,7 @@ def rehydrate(
         .withColumn(
             text,
             F.when(F.col("_found").isNull(), F.col(text)).otherwise(
-                splice_values(F.col(text), F.col("_found._value"))
+                F.expr(splice_values(text, "_found._value"))
             ),
         )
         .select(*df.columns)
@@ -75,7 +75,7 @@ def tokens_long(
     keys = [keys] if isinstance(keys, str) else list(keys)
     # outer: see exprs.inline_rows
     return (
-        df.where(has_marker(F.col(text)))
-        .select(*keys, F.posexplode_outer(find_tokens(F.col(text))).alias("pos", "token"))
+        df.where(has_marker(text))
+        .select(*keys, F.posexplode_outer(F.expr(find_tokens(text))).alias("pos", "token"))
         .where(F.col("token").isNotNull())
     )

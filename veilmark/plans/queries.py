@@ -165,21 +165,21 @@ def _crowded(spark, sf_dir) -> DataFrame:
 
 def select_spans_documents(spark, sf_dir):
     chosen = _crowded(spark, sf_dir).withColumn(
-        "findings", select_spans(F.col("findings"), F.length("text"))
+        "findings", F.expr(select_spans("findings", "length(text)"))
     )
     return findings_long(chosen, "doc_id")
 
 
 def filter_score_documents(spark, sf_dir):
     kept = _crowded(spark, sf_dir).withColumn(
-        "findings", filter_score(F.col("findings"), 0.7)
+        "findings", F.expr(filter_score("findings", 0.7))
     )
     return findings_long(kept, "doc_id")
 
 
 def allow_entities_documents(spark, sf_dir):
     kept = _crowded(spark, sf_dir).withColumn(
-        "findings", allow_entities(F.col("findings"), ["EARLY", "PHONE_NUMBER"])
+        "findings", F.expr(allow_entities("findings", ["EARLY", "PHONE_NUMBER"]))
     )
     return findings_long(kept, "doc_id")
 
@@ -207,19 +207,14 @@ def redact_columns_pages(spark, sf_dir):
 def make_token_customers(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(
         "c_custkey",
-        make_token(F.lit("PERSON"), F.col("c_name"), SALT).alias("token"),
+        F.expr(make_token("'PERSON'", "c_name", SALT)).alias("token"),
     )
 
 
 def normalize_entity_parts(spark, sf_dir):
-    entity = F.concat(
-        F.lit(" "), F.lower("p_type"), F.lit("/"), F.col("p_name"), F.lit("!! ")
-    )
+    entity = "if(p_partkey % 10 = 0, '--', concat(' ', lower(p_type), '/', p_name, '!! '))"
     return _table(spark, sf_dir, "part").select(
-        "p_partkey",
-        normalize_entity(F.when(F.col("p_partkey") % 10 != 0, entity).otherwise("--")).alias(
-            "label"
-        ),
+        "p_partkey", F.expr(normalize_entity(entity)).alias("label")
     )
 
 
@@ -261,7 +256,7 @@ def vault_purge_documents(spark, sf_dir):
 def _customer_vault(spark, sf_dir) -> DataFrame:
     """Tokens of customer names; every third customer's has expired."""
     names = _table(spark, sf_dir, "customer").select(
-        make_token(F.lit("PERSON"), F.col("c_name"), SALT).alias("token"),
+        F.expr(make_token("'PERSON'", "c_name", SALT)).alias("token"),
         F.col("c_name").alias("value"),
         F.lit("PERSON").alias("entity_type"),
         "c_custkey",
@@ -273,11 +268,9 @@ def _customer_vault(spark, sf_dir) -> DataFrame:
 
 
 def _order_tokens(spark, sf_dir) -> DataFrame:
-    name = F.concat(
-        F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")
-    )
+    name = "concat('Customer#', lpad(cast(o_custkey as string), 9, '0'))"
     return _table(spark, sf_dir, "orders").select(
-        "o_orderkey", make_token(F.lit("PERSON"), name, SALT).alias("token")
+        "o_orderkey", F.expr(make_token("'PERSON'", name, SALT)).alias("token")
     )
 
 
@@ -392,22 +385,23 @@ def ingest_inspect_allowlist(spark, sf_dir):
 
 
 def canonical_entity_parts(spark, sf_dir):
-    name = F.when(F.col("p_size") % 3 == 0, "US_SOCIAL_SECURITY_NUMBER").when(
-        F.col("p_size") % 3 == 1, "PERSON_NAME"
-    ).otherwise(F.col("p_type"))
-    return _table(spark, sf_dir, "part").select(
-        "p_partkey", canonical_entity(name).alias("entity_type")
+    rows = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.expr(
+            """CASE p_size % 3 WHEN 0 THEN 'US_SOCIAL_SECURITY_NUMBER'
+               WHEN 1 THEN 'PERSON_NAME' ELSE p_type END AS name"""
+        ),
+    )
+    return rows.select(
+        "p_partkey", F.expr(canonical_entity("name")).alias("entity_type")
     )
 
 
 def likelihood_score_parts(spark, sf_dir):
-    name = F.get(
-        F.array(*[F.lit(x) for x in ("VERY_LIKELY", "LIKELY", "POSSIBLE", "UNLIKELY",
-                                     "VERY_UNLIKELY")]),
-        F.col("p_size") % 7,
-    )
+    names = "array('VERY_LIKELY', 'LIKELY', 'POSSIBLE', 'UNLIKELY', 'VERY_UNLIKELY')"
     return _table(spark, sf_dir, "part").select(
-        "p_partkey", likelihood_score(name).alias("score")
+        "p_partkey",
+        F.expr(likelihood_score(f"get({names}, p_size % 7)")).alias("score"),
     )
 
 
