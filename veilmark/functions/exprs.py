@@ -62,3 +62,13 @@ def inline_rows(df: DataFrame, keys: Sequence[str], array: str | Column) -> Data
     """
     exploded = df.select(*keys, F.explode_outer(array).alias("_item"))
     return exploded.where(F.col("_item").isNotNull()).select(*keys, "_item.*")
+
+
+def where_once(df: DataFrame, condition: str) -> DataFrame:
+    """``df.where(condition)`` for a condition on an expensively computed column.
+
+    Spark would push the filter below the computation and so repeat it inside
+    the filter.  A filter that also tests the partition number stays in place.
+    """
+    pinned = df.withColumn("_pin", F.spark_partition_id())
+    return pinned.where(f"({condition}) AND _pin >= 0").drop("_pin")

@@ -12,7 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.functions.fixed import TOKEN_MAX_BYTES, TOKEN_PATTERN
+from veilmark.functions.exprs import bind, struct, text_literal
+from veilmark.functions.fixed import TOKEN_MARKER, TOKEN_MAX_BYTES, TOKEN_PATTERN
 from veilmark.operators.lookup import HOT_ROWS
 from veilmark.operators.rehydrate import rehydrate
 
@@ -31,7 +32,7 @@ def with_offsets(chunks: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
     """
     sized = chunks.withColumns(
         {
-            "_range": F.floor(F.col("seq") / seq_range),
+            "_range": F.expr(f"seq div {seq_range}"),
             "_len": F.octet_length("chunk").cast("long"),
         }
     )
@@ -67,7 +68,8 @@ def rechunk_batch(
 
     Result: (stream_id, block, chunk).  Block ``b`` covers bytes
     [b * size, (b + 1) * size) of its stream; a token that crosses into the next
-    block belongs to the block it starts in.  Each block is built with the
+    block belongs to the block it starts in (so a short last block may be left
+    empty).  Each block is built with the
     bytes next to it that such a token can reach into, so blocks are
     independent of each other.  In order of ``block`` the chunks of a stream are
     the stream.
@@ -77,8 +79,8 @@ def rechunk_batch(
         raise ValueError(f"block_bytes must exceed {2 * reach}")
     placed = with_offsets(chunks, seq_range).where(F.col("_len") > 0)
 
-    first = F.floor((F.col("_offset") - reach) / block_bytes)
-    last = F.floor((F.col("_offset") + F.col("_len") - 1 + reach) / block_bytes)
+    first = F.expr(f"greatest(_offset - {reach}, 0) div {block_bytes}")
+    last = F.expr(f"(_offset + _len - 1 + {reach}) div {block_bytes}")
     low = F.col("block") * block_bytes - reach
     high = (F.col("block") + 1) * block_bytes + reach
     pieces = placed.select(
@@ -86,7 +88,7 @@ def rechunk_batch(
         "_offset",
         "_len",
         "chunk",
-        F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"),
+        F.explode(F.sequence(first, last)).alias("block"),
     ).select(
         "stream_id",
         "block",
@@ -113,48 +115,46 @@ def rechunk_batch(
             F.transform("parts", lambda p: F.decode(p["bytes"], _LATIN1)), ""
         ).alias("wide"),
     )
-    text, lead = F.col("wide"), F.col("lead")
-    own_end = lead + block_bytes
-
-    # Around a cut at position c: does a token start before c and end after it?
-    # Its start lies in the `reach` characters before c.
-    def crossing(cut: Column) -> Column:
-        start = F.greatest(cut - reach, F.lit(0))
-        near = F.substring(text, start + 1, cut - start + reach)
-        # the tokens near the cut, located by the text before each
-        gaps = F.split(near, TOKEN_PATTERN, -1)
-        found = F.regexp_extract_all(near, F.lit(TOKEN_PATTERN), F.lit(0))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["pos"] + F.length(x["0"])
-            b = a + F.length(x["1"])
-            return F.struct(
-                b.alias("pos"),
-                F.when((a < cut - start) & (b > cut - start), start + b)
-                .otherwise(acc["end"])
-                .alias("end"),
-            )
-
-        return F.aggregate(
-            F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("0"), found.alias("1")),
-            F.struct(F.lit(0).alias("pos"), cut.alias("end")),
-            step,
-            lambda acc: acc["end"],
-        )
-
-    begin = F.when(lead > 0, crossing(lead)).otherwise(F.lit(0))
-    end = F.when(F.length(text) > own_end, crossing(own_end)).otherwise(own_end)
-    return (
-        texts.withColumns({"_begin": begin, "_end": end})
-        .select(
-            "stream_id",
-            "block",
-            F.encode(
-                F.substring(text, F.col("_begin") + 1, F.col("_end") - F.col("_begin")),
-                _LATIN1,
-            ).alias("chunk"),
-        )
-        .where(F.octet_length("chunk") > 0)
+    # A token that crosses a cut starts within `reach` characters before it.
+    begin = f"if(lead > 0, {_crossing_end('wide', 'lead', reach)}, 0)"
+    own_end = f"(lead + {block_bytes})"
+    end = f"if(length(wide) > {own_end}, {_crossing_end('wide', own_end, reach)}, {own_end})"
+    return texts.withColumns({"_begin": F.expr(begin), "_end": F.expr(end)}).select(
+        "stream_id",
+        "block",
+        F.expr(
+            f"encode(substring(wide, _begin + 1, _end - _begin), '{_LATIN1}')"
+        ).alias("chunk"),
+    )
+
+
+def _crossing_end(text: str, cut: str, reach: int) -> str:
+    """End of the token that starts before position ``cut`` and ends after it;
+    ``cut`` itself if there is none (SQL text)."""
+    pattern = text_literal(TOKEN_PATTERN)
+    return bind(
+        bind(
+            f"greatest({cut} - {reach}, 0)",
+            "near",
+            struct(
+                start="near",
+                text=f"substring({text}, near + 1, {cut} - near + {reach})",
+            ),
+        ),
+        "win",
+        f"""if(contains(win.text, '{TOKEN_MARKER}'),
+        aggregate(
+          zip_with(
+            split(win.text, {pattern}, -1),
+            regexp_extract_all(win.text, {pattern}, 0),
+            (gap, tok) -> named_struct('gap', length(gap), 'len', coalesce(length(tok), 0))),
+          named_struct('pos', win.start, 'end', {cut}),
+          (acc, x) -> named_struct(
+            'pos', acc.pos + x.gap + x.len,
+            'end', if(acc.pos + x.gap < {cut} AND acc.pos + x.gap + x.len > {cut},
+                      acc.pos + x.gap + x.len, acc.`end`)),
+          acc -> acc.`end`),
+        {cut})""",
     )
 
 

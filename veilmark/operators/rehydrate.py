@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.exprs import where_once
 from veilmark.functions.tokens import find_tokens, has_marker, splice_values
 from veilmark.operators.lookup import HOT_ROWS, lookup
 from veilmark.operators.vault import vault_live
@@ -32,8 +33,8 @@ def rehydrate(
     array per row, in text order, and are spliced between the gaps.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    with_tokens = df.where(has_marker(text))
-    without = df.where(f"NOT coalesce({has_marker(text)}, false)")
+    with_tokens = where_once(df, has_marker(text))
+    without = where_once(df, f"NOT coalesce({has_marker(text)}, false)")
 
     occurrences = tokens_long(df, keys, text).withColumnsRenamed(
         {"pos": "_pos", "token": "_token"}
@@ -75,7 +76,7 @@ def tokens_long(
     keys = [keys] if isinstance(keys, str) else list(keys)
     # outer: see exprs.inline_rows
     return (
-        df.where(has_marker(text))
+        where_once(df, has_marker(text))
         .select(*keys, F.posexplode_outer(F.expr(find_tokens(text))).alias("pos", "token"))
         .where(F.col("token").isNotNull())
     )

@@ -47,7 +47,7 @@ from veilmark.operators.vault import (
 )
 from veilmark.options import Options
 from veilmark.plans.jobs import round_trip
-from veilmark.sources.tables import CHUNK_SCHEMA, stream_chunks, write_vault
+from veilmark.sources.tables import CHUNK_SCHEMA, spread, stream_chunks, write_vault
 from veilmark.streaming.jobs import rehydrate_stream
 from veilmark.streaming.rechunk import rechunk_stream
 
@@ -69,7 +69,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "pages"), "page_id")
 
 
 def _work_dir(spark: SparkSession) -> str:
@@ -109,7 +113,7 @@ def detect_ssn_customers(spark, sf_dir):
 
 
 def detect_url_pages(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(
+    pages = _pages(spark, sf_dir).select(
         "page_id", F.concat_ws(" ", "url", "html").alias("text")
     )
     return findings_long(detect_regex(pages, entities=["URL"]), "page_id")
@@ -132,7 +136,7 @@ def _shouting(texts, language):
 
 
 def detect_with_custom(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = _pages(spark, sf_dir).select("page_id", "html")
     return findings_long(detect_with(pages, _shouting, "html"), "page_id")
 
 
@@ -198,7 +202,7 @@ def redact_dictionary_documents(spark, sf_dir):
 
 
 def redact_columns_pages(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = _pages(spark, sf_dir).select("page_id", "url", "html")
     return redact_columns(pages, REGEX, ["url", "html"]).select(
         "page_id", "url", "html"
     )
@@ -440,7 +444,7 @@ def _bodies(spark, sf_dir) -> DataFrame:
         F.lit("}"),
     )
     # every fifth body has text after the object and is not JSON
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("body_id"),
         F.when(F.col("doc_id") % 5 == 0, F.concat(body, F.lit(" x"))).otherwise(body).alias(
             "body"

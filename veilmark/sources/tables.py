@@ -17,6 +17,19 @@ CHUNK_SCHEMA = "stream_id bigint, seq bigint, chunk binary, eos boolean, ts time
 VAULT_TABLE_SCHEMA = f"{VAULT_SCHEMA}, batch_id bigint"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than there are cores.
+
+    Detection is bound by CPU, and a small file with one row group would run on
+    one core.  A table that is large enough to matter has more splits than the
+    cluster has cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read_requests(
     spark: SparkSession,
     path: str | list[str],
