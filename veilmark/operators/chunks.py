@@ -196,17 +196,20 @@ def chunk_texts(df: DataFrame, key: str, text: str, chunk_chars: int) -> DataFra
     The inverse of concatenating a stream; used to feed stored text to chunk
     consumers.
     """
-    count = F.greatest(F.ceil(F.length(text) / chunk_chars), F.lit(1)).cast("int")
-    return df.select(
-        F.col(key).alias("stream_id"),
-        F.col(text).alias("_text"),
-        count.alias("_n"),
-        F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"),
-    ).select(
-        "stream_id",
-        "seq",
-        F.substring("_text", F.col("seq") * chunk_chars + 1, F.lit(chunk_chars))
-        .cast("binary")
-        .alias("chunk"),
-        (F.col("seq") == F.col("_n") - 1).alias("eos"),
+    pieces = f"""transform(
+        sequence(0, greatest((length({text}) - 1) div {chunk_chars}, 0)),
+        i -> substring({text}, int(i * {chunk_chars} + 1), {chunk_chars}))"""
+    return (
+        df.select(F.col(key).alias("stream_id"), F.expr(pieces).alias("_pieces"))
+        .select(
+            "stream_id",
+            (F.size("_pieces") - 1).alias("_last"),
+            F.posexplode("_pieces").alias("seq", "_piece"),
+        )
+        .select(
+            "stream_id",
+            "seq",
+            F.col("_piece").cast("binary").alias("chunk"),
+            (F.col("seq") == F.col("_last")).alias("eos"),
+        )
     )

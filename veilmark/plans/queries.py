@@ -521,12 +521,12 @@ def _as_text(blocks: DataFrame) -> DataFrame:
 
 
 def rechunk_documents(spark, sf_dir):
-    chunks, _ = _document_chunks(spark, sf_dir, 50)
+    chunks, _ = _document_chunks(spark, sf_dir, 120)
     return _as_text(rechunk_batch(chunks))
 
 
 def rehydrate_chunks_documents(spark, sf_dir):
-    chunks, redacted = _document_chunks(spark, sf_dir, 50)
+    chunks, redacted = _document_chunks(spark, sf_dir, 120)
     return _as_text(
         rehydrate_chunks_batch(chunks, _document_vault(redacted), "2026-01-01 06:00:00")
     )
