@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.exprs import where_once
 from veilmark.functions.tokens import find_tokens, has_marker, splice_values
-from veilmark.operators.lookup import HOT_ROWS, lookup
-from veilmark.operators.vault import vault_live
+from veilmark.operators.lookup import HOT_ROWS
+from veilmark.operators.vault import resolve
 
 
 def rehydrate(
@@ -39,11 +39,8 @@ def rehydrate(
     occurrences = tokens_long(df, keys, text).withColumnsRenamed(
         {"pos": "_pos", "token": "_token"}
     )
-    live = vault_live(vault, now).select(
-        F.col("token").alias("_vault_token"), F.col("value").alias("_value")
-    )
     resolved = (
-        lookup(occurrences, "_token", live, "_vault_token", hot_rows)
+        resolve(occurrences, "_token", vault, "_value", now, hot_rows)
         .groupBy(*keys)
         .agg(
             F.array_sort(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.fixed import DEFAULT_TTL_SECONDS
-from veilmark.operators.lookup import lookup
+from veilmark.operators.lookup import HOT_ROWS, key_counts, lookup
 
 VAULT_SCHEMA = (
     "token string, value string, entity_type string, "
@@ -48,15 +48,23 @@ def vault_put(
 
 
 def vault_live(
-    vault: DataFrame, now: datetime | str | Column | None = None
+    vault: DataFrame,
+    now: datetime | str | Column | None = None,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """Newest row per token, unless it has expired.
 
+    With ``tokens`` (column ``token``) only those are kept, before anything is
+    grouped: a small batch then never shuffles a large vault, and a large batch
+    shuffles it by the same key the grouping needs anyway.
+
     A row is live while now <= expires_at.  The newest write decides, also when
     it gave the token a shorter life than an older write did, so expiry is
     tested after the choice.  Repeats of a hot token are merged inside each task
     before the shuffle.
     """
+    if tokens is not None:
+        vault = vault.join(tokens, "token", "left_semi")
     newest = F.max(F.struct("written_at", "expires_at", "value", "entity_type"))
     return (
         vault.groupBy("token")
@@ -79,8 +87,7 @@ def vault_get(
     now: datetime | str | Column | None = None,
 ) -> DataFrame:
     """Add ``value`` for each token; null when unknown or expired."""
-    live = vault_live(vault, now).select(F.col("token").alias("_token"), "value")
-    return lookup(tokens, token, live, "_token")
+    return resolve(tokens, token, vault, "value", now)
 
 
 def detokenize(
@@ -90,13 +97,30 @@ def detokenize(
     now: datetime | str | Column | None = None,
 ) -> DataFrame:
     """Replace a column of tokens by their values; others stay as they are."""
-    live = vault_live(vault, now).select(
-        F.col("token").alias("_token"), F.col("value").alias("_value")
-    )
-    found = lookup(df, column, live, "_token")
+    found = resolve(df, column, vault, "_value", now)
     return found.withColumn(column, F.coalesce("_value", column)).drop("_value")
 
 
+def resolve(
+    df: DataFrame,
+    column: str,
+    vault: DataFrame,
+    value: str,
+    now: datetime | str | Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add the live value of each token in ``column`` as column ``value``."""
+    counts = key_counts(df.select(F.col(column).alias("_key")), "_key")
+    # the test on the count keeps this plan equal to the one that finds hot
+    # keys, so Spark computes the counts once
+    needed = counts.where(F.col("count") > 0).select(F.col("_key").alias("token"))
+    table = vault_live(vault, now, needed).select(
+        F.col("token").alias("_vault_token"), F.col("value").alias(value)
+    )
+    counts = counts.withColumnRenamed("_key", column)
+    return lookup(df, column, table, "_vault_token", counts, hot_rows)
+
+
 def vault_purge(
     vault: DataFrame, now: datetime | str | Column | None = None
 ) -> DataFrame:
