@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.functions.exprs import bind, struct, text_literal
+from veilmark.functions.exprs import bind, inline_rows, struct, text_literal
 from veilmark.functions.fixed import TOKEN_MARKER, TOKEN_MAX_BYTES, TOKEN_PATTERN
 from veilmark.operators.lookup import HOT_ROWS
 from veilmark.operators.rehydrate import rehydrate
@@ -196,20 +196,13 @@ def chunk_texts(df: DataFrame, key: str, text: str, chunk_chars: int) -> DataFra
     The inverse of concatenating a stream; used to feed stored text to chunk
     consumers.
     """
-    pieces = f"""transform(
-        sequence(0, greatest((length({text}) - 1) div {chunk_chars}, 0)),
-        i -> substring({text}, int(i * {chunk_chars} + 1), {chunk_chars}))"""
-    return (
-        df.select(F.col(key).alias("stream_id"), F.expr(pieces).alias("_pieces"))
-        .select(
-            "stream_id",
-            (F.size("_pieces") - 1).alias("_last"),
-            F.posexplode("_pieces").alias("seq", "_piece"),
-        )
-        .select(
-            "stream_id",
-            "seq",
-            F.col("_piece").cast("binary").alias("chunk"),
-            (F.col("seq") == F.col("_last")).alias("eos"),
-        )
+    # a regex cuts in one pass; substring would count from the start each time
+    cuts = f"regexp_extract_all({text}, '(?s).{{1,{chunk_chars}}}', 0)"
+    pieces = bind(
+        f"if({text} = '', array(''), {cuts})",
+        "cuts",
+        """transform(cuts, (c, i) -> named_struct(
+            'seq', i, 'chunk', cast(c as binary), 'eos', i = size(cuts) - 1))""",
     )
+    rows = df.select(F.col(key).alias("stream_id"), F.expr(pieces).alias("_pieces"))
+    return inline_rows(rows, ["stream_id"], "_pieces")
