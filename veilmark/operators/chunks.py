@@ -16,6 +16,7 @@ from veilmark.functions.exprs import bind, inline_rows, struct, text_literal
 from veilmark.functions.fixed import TOKEN_MARKER, TOKEN_MAX_BYTES, TOKEN_PATTERN
 from veilmark.operators.lookup import HOT_ROWS
 from veilmark.operators.rehydrate import rehydrate
+from veilmark.sources.tables import stored
 
 BLOCK_BYTES = 256 * 1024
 SEQ_RANGE = 64 * 1024
@@ -181,9 +182,13 @@ def rehydrate_chunks_batch(
     block_bytes: int = BLOCK_BYTES,
     seq_range: int = SEQ_RANGE,
 ) -> DataFrame:
-    """Restore finished streams: (stream_id, block, chunk)."""
+    """Restore finished streams: (stream_id, block, chunk).
+
+    The blocks are stored first: restoring reads them several times, and cutting
+    them is the costly part.
+    """
     return rehydrate_blocks(
-        rechunk_batch(chunks, block_bytes, seq_range),
+        stored(rechunk_batch(chunks, block_bytes, seq_range)),
         vault,
         ["stream_id", "block"],
         now,

@@ -18,6 +18,7 @@ from veilmark.operators.rehydrate import rehydrate
 from veilmark.operators.vault import vault_put
 from veilmark.options import Options
 from veilmark.sources.tables import (
+    stored,
     write_rejected,
     write_requests,
     write_vault,
@@ -60,11 +61,12 @@ def round_trip(
     text: str = "text",
     now: datetime | str | None = None,
 ) -> DataFrame:
-    """Redact and restore: keys, original, redacted and restored text.
+    """Redact and restore: keys, original and restored text.
 
     ``restored`` equals ``original`` unless the input itself holds live tokens.
+    The redacted table is stored first, as it would be in use.
     """
-    redacted = redact(df.select(keys, text), options, text)
+    redacted = stored(redact(df.select(keys, text), options, text))
     vault = vault_put(extract_mappings(redacted), options.ttl_seconds, now)
     back = rehydrate(redacted.select(keys, text), vault, keys, text, now)
     return (

@@ -8,7 +8,6 @@ derived from them row by row, so every query grows with its tables.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +46,14 @@ from veilmark.operators.vault import (
 )
 from veilmark.options import Options
 from veilmark.plans.jobs import round_trip
-from veilmark.sources.tables import CHUNK_SCHEMA, spread, stream_chunks, write_vault
+from veilmark.sources.tables import (
+    CHUNK_SCHEMA,
+    new_folder,
+    spread,
+    stored,
+    stream_chunks,
+    write_vault,
+)
 from veilmark.streaming.jobs import rehydrate_stream
 from veilmark.streaming.rechunk import rechunk_stream
 
@@ -76,17 +82,6 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_table(spark, sf_dir, "pages"), "page_id")
 
 
-def _work_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder (or, in local
-    tests where none is set, under the temporary folder)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="run-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def _detect(*entities: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _documents(spark, sf_dir)
@@ -192,6 +187,11 @@ def _redacted_documents(spark, sf_dir) -> DataFrame:
     return redact(_documents(spark, sf_dir), REGEX)
 
 
+def _stored_documents(spark, sf_dir) -> DataFrame:
+    redacted = _redacted_documents(spark, sf_dir)
+    return stored(redacted.select("doc_id", "text", "mappings"))
+
+
 def redact_documents(spark, sf_dir):
     return _redacted_documents(spark, sf_dir).select("doc_id", "text", "status")
 
@@ -299,7 +299,7 @@ def _document_vault(redacted: DataFrame) -> DataFrame:
 
 
 def rehydrate_documents(spark, sf_dir):
-    redacted = _redacted_documents(spark, sf_dir).select("doc_id", "text", "mappings")
+    redacted = _stored_documents(spark, sf_dir)
     vault = _document_vault(redacted)
     return rehydrate(
         redacted.select("doc_id", "text"), vault, "doc_id", now="2026-01-01 06:00:00"
@@ -308,7 +308,7 @@ def rehydrate_documents(spark, sf_dir):
 
 def rehydrate_partly_expired(spark, sf_dir):
     """Only e-mail tokens are live; the rest stay as tokens."""
-    redacted = _redacted_documents(spark, sf_dir).select("doc_id", "text", "mappings")
+    redacted = _stored_documents(spark, sf_dir)
     hour = F.when(F.col("entity_type") == "EMAIL_ADDRESS", 24).otherwise(0)
     vault = vault_put(
         extract_mappings(redacted),
@@ -510,7 +510,7 @@ def rebuild_bodies_documents(spark, sf_dir):
 
 
 def _document_chunks(spark, sf_dir, chars: int) -> tuple[DataFrame, DataFrame]:
-    redacted = _redacted_documents(spark, sf_dir)
+    redacted = _stored_documents(spark, sf_dir)
     return chunk_texts(redacted, "doc_id", "text", chars), redacted
 
 
@@ -545,7 +545,7 @@ def _stored_chunks(spark, sf_dir, work: str, chars: int) -> DataFrame:
 
 
 def rechunk_stream_documents(spark, sf_dir):
-    work = _work_dir(spark)
+    work = new_folder(spark)
     _stored_chunks(spark, sf_dir, work, 300)
     live = stream_chunks(spark, f"{work}/chunks", maxFilesPerTrigger="8")
     (
@@ -561,7 +561,7 @@ def rechunk_stream_documents(spark, sf_dir):
 
 
 def rehydrate_stream_documents(spark, sf_dir):
-    work = _work_dir(spark)
+    work = new_folder(spark)
     redacted = _stored_chunks(spark, sf_dir, work, 300)
     write_vault(_document_vault(redacted), f"{work}/vault")
     live = stream_chunks(spark, f"{work}/chunks", maxFilesPerTrigger="8")

@@ -7,6 +7,9 @@ job or micro-batch leaves no duplicates.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Path of a new folder below the shared one named by ``spark.checkpoint.dir``.
+
+    Where that is not set (local use) a temporary folder is made instead.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix="run-")
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to a new shared folder and read it back.
+
+    For results that several branches of one plan use: they are computed once,
+    later stages read only the columns they need, and a lost executor costs a
+    re-read, not a re-computation.  The folder is left to the cluster's cleanup.
+    """
+    path = f"{new_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_requests(
     spark: SparkSession,
     path: str | list[str],
