@@ -227,3 +227,20 @@ def test_custom_detector_isolates_failures(spark):
     rows = detect_with(df, detector, language="de").collect()
     assert [len(r.findings) if r.findings is not None else None for r in rows] == [1, 0, 0, None, 1]
     assert [bool(r.detect_error) for r in rows] == [False, False, False, True, False]
+
+
+def test_long_term_lists(spark):
+    terms = {f"t{i}é": f"E{i % 3}" for i in range(400)} | {"🙂t": "F", "aa": "A", "a": "B"}
+    texts = ["x t7é t399ét7é", "🙂🙂t1é", "aaa", None, "", "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    few = longtext.term_matcher(dict(list(terms.items())[-3:]), 0.9)
+    for r in detect_dictionary(df, terms).collect():
+        if texts[r.id] is None:
+            assert r.findings is None
+            continue
+        got = sorted((f.start, f.end, f.score, f.entity_type) for f in r.findings)
+        want = [
+            (m.start(), m.end(), 0.9, terms[m.group()])
+            for m in re.finditer("t[0-9]+é", texts[r.id])
+        ] + few(texts[r.id])
+        assert got == sorted(want)

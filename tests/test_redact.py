@@ -158,3 +158,17 @@ def test_options_are_checked():
     for bad in ({"ttl_seconds": 0}, {"on_error": "maybe"}):
         with pytest.raises(ValueError):
             Options(salt="s", **bad)
+
+
+def test_long_term_lists_redact_texts_and_bodies(spark):
+    from veilmark.operators.bodies import sanitize_requests
+
+    terms = {f"name{i}x": "PERSON" for i in range(300)}
+    options = Options(salt="s", backend="dictionary", terms=terms)
+    token = longtext.token("PERSON", "name7x", "s")
+    df = spark.createDataFrame([(1, "hi name7x!"), (2, "hi"), (3, None)], "id int, text string")
+    assert [r.text for r in redact(df, options).orderBy("id").collect()] == [f"hi {token}!", "hi", None]
+    bodies = spark.createDataFrame([(1, '{"prompt":"name7x"}'), (2, "nope"), (3, None)],
+                                   "body_id int, body string")
+    out = sanitize_requests(bodies, options).orderBy("body_id").collect()
+    assert [r.body for r in out] == ['{"prompt":"%s"}' % token, "nope", None]

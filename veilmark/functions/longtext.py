@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Mapping
 import pandas as pd
 from pyspark.sql import functions as F
 
-from veilmark.functions.exprs import REDACTED
+from veilmark.functions.exprs import FINDINGS, REDACTED
 from veilmark.functions.fixed import (
     FALLBACK_ENTITY,
     RULE_PATTERNS,
@@ -31,6 +31,10 @@ from veilmark.functions.tokens import LOWER, UPPER
 LONG_TEXT_BYTES = 64 * 1024
 DENSE_WORK = 1 << 24  # findings x bytes
 
+# A regex tries its alternatives one after the other; longer term lists than
+# this are matched all at once in Arrow batches.
+REGEX_TERMS = 200
+
 Span = tuple[int, int, float, str]  # start, end, score, entity type
 
 _BLANK = re.compile(f"[{WHITE_SPACE}]*")
@@ -76,8 +80,9 @@ def rule_matcher(rules: Iterable[str]) -> Callable[[str], list[Span]]:
 
 def term_matcher(terms: Mapping[str, str], score: float) -> Callable[[str], list[Span]]:
     """Text -> every occurrence, overlapping ones too, of every term."""
+    terms = {t: e for t, e in terms.items() if t}
 
-    def match(text: str) -> list[Span]:
+    def one_by_one(text: str) -> list[Span]:
         spans: list[Span] = []
         for term, entity in terms.items():
             at = text.find(term)
@@ -86,7 +91,54 @@ def term_matcher(terms: Mapping[str, str], score: float) -> Callable[[str], list
                 at = text.find(term, at + 1)
         return spans
 
-    return match
+    if len(terms) <= REGEX_TERMS:
+        return one_by_one
+
+    built: list = []  # once per Python worker, not shipped with the function
+
+    def all_at_once(text: str) -> list[Span]:
+        if not built:
+            built.append(_automaton(terms))
+        if built[0] is None:
+            return one_by_one(text)
+        return [
+            (end + 1 - len(term), end + 1, score, terms[term])
+            for end, term in built[0].iter(text)
+        ]
+
+    return all_at_once
+
+
+def _automaton(terms: Mapping[str, str]):
+    """Multi-pattern matcher, or None where the package is not installed."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    automaton = ahocorasick.Automaton()
+    for term in terms:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    return automaton
+
+
+def find_terms_udf(terms: Mapping[str, str], score: float):
+    """Dictionary findings of long term lists; null in, null out."""
+    match = term_matcher(terms, score)
+
+    @F.pandas_udf(FINDINGS)
+    def run(texts: pd.Series) -> pd.Series:
+        def found(text):
+            if text is None:
+                return None
+            return [
+                {"entity_type": e, "start": a, "end": b, "score": s}
+                for a, b, s, e in sorted(match(text), key=lambda x: x[:2])
+            ]
+
+        return pd.Series([found(t) for t in texts], dtype=object)
+
+    return run
 
 
 def choose(spans: Iterable[Span], length: int) -> list[Span]:

@@ -80,6 +80,8 @@ def sanitize_requests(
         return _sanitize_by_join(requests, options, body, body_id, detector)
 
     rules = TextRules(options)
+    if not rules.native:
+        long_body_bytes = -1
     # JSON escapes can hide from the raw gate what it looks for: the characters
     # rules need only as a code point or an escaped slash, a term's by any escape.
     escapes = ["\\"] if options.backend == "dictionary" else ["\\u", "\\/"]

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions import longtext
 from veilmark.functions.chatbody import get
 from veilmark.functions.dictionary import gated_dictionary
 from veilmark.functions.entities import (
@@ -20,6 +21,7 @@ from veilmark.functions.entities import (
     flexible_int,
     likelihood_score,
 )
+from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.exprs import FINDINGS, bind, empty, inline_rows, struct
 from veilmark.functions.rules import gated_findings
 from veilmark.functions.spans import allow_entities, filter_score
@@ -48,6 +50,11 @@ def detect_dictionary(
     """Every occurrence of the given terms (term -> entity type)."""
     allowed = set(entities or ())
     kept = {t: e for t, e in terms.items() if not allowed or e in allowed}
+    if len(kept) > longtext.REGEX_TERMS:
+        found = longtext.find_terms_udf(kept, DICTIONARY_SCORE)(F.col(text))
+        return df.withColumns(
+            {"findings": found, "detect_error": F.lit(None).cast("string")}
+        )
     return _with_findings(df, gated_dictionary(text, kept))
 
 

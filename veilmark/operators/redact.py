@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import longtext
 from veilmark.functions.dictionary import any_term, dictionary_findings
-from veilmark.functions.exprs import MAPPINGS, empty, inline_rows
+from veilmark.functions.exprs import FINDINGS, MAPPINGS, empty, inline_rows
 from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.rules import gate, rule_findings, rule_names
 from veilmark.functions.spans import redact_text, unchanged
@@ -35,11 +35,18 @@ class TextRules:
             terms = {
                 t: e for t, e in options.terms.items() if not allowed or e in allowed
             }
+            self.native = len(terms) <= longtext.REGEX_TERMS
+            if not self.native:  # every row goes through the string function
+                self.gate = lambda text: f"{text} IS NOT NULL"
+                self.findings = lambda text: empty(FINDINGS)
+                self.match = longtext.term_matcher(terms, DICTIONARY_SCORE)
+                return
             self.gate = lambda text: any_term(text, terms)
             self.findings = lambda text: dictionary_findings(text, terms)
             self.match = longtext.term_matcher(terms, DICTIONARY_SCORE)
         else:
             rules = rule_names(options.entities)
+            self.native = True
             self.gate = lambda text: gate(text, rules)
             self.findings = lambda text: rule_findings(text, rules)
             self.match = longtext.rule_matcher(rules)
@@ -55,7 +62,8 @@ def redacted(
     """``struct(text, mappings)`` for a text-only detector, as one column."""
     rules = TextRules(options)
     suspicious = rules.gate(text)
-    short = f"octet_length({text}) <= {long_text_bytes}"
+    limit = long_text_bytes if rules.native else -1
+    short = f"octet_length({text}) <= {limit}"
     in_arrow = F.expr(f"CASE WHEN NOT {short} AND {suspicious} THEN {text} END")
     native = redact_text(text, rules.findings(text), options.salt)
     return (
