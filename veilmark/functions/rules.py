@@ -30,7 +30,10 @@ _FIRST = {
     "URL": "h",
 }
 
-# A text that none of these hold for cannot match the rule.
+# Text without this cannot match the rule.
+_NEEDS = {"EMAIL_ADDRESS": "@", "URL": "://"}
+
+# Text in which this does not match after a digit cannot match the rule.
 _DIGIT_HINTS = {
     "US_SSN": r"[0-9]{2}-[0-9]{2}-",
     "CREDIT_CARD": r"[0-9]{3}[ \-]?[0-9]{4}",
@@ -62,11 +65,7 @@ def gate(text: str, rules: Iterable[str]) -> str:
     of them and never reaches the rules.
     """
     rules = list(rules)
-    tests = []
-    if "EMAIL_ADDRESS" in rules:
-        tests.append(f"contains({text}, '@')")
-    if "URL" in rules:
-        tests.append(f"contains({text}, '://')")
+    tests = [f"contains({text}, '{_NEEDS[r]}')" for r in rules if r in _NEEDS]
     hints = [_DIGIT_HINTS[r] for r in rules if r in _DIGIT_HINTS]
     if hints:
         pattern = "[0-9](?:" + "|".join(hints) + ")"
@@ -97,11 +96,14 @@ def _rule_spans(text: str, rule: str, order: int) -> str:
         (acc, x) -> {struct(
             pos="acc.pos + x.gap + x.len", out=f"concat(acc.out, array({span}))")},
         acc -> acc.out)"""
-    return bind(
+    spans = bind(
         f"regexp_extract_all({text}, {pattern}, 0)",
         "hits",
         f"if(size(hits) > 0, {located}, {empty(_SPANS)})",
     )
+    if rule in _NEEDS:
+        return f"if(contains({text}, '{_NEEDS[rule]}'), {spans}, {empty(_SPANS)})"
+    return spans
 
 
 def rule_findings(text: str, rules: Iterable[str]) -> str:
