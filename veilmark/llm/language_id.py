@@ -82,7 +82,9 @@ def _log_frequencies(counts: DataFrame, key: str, most: int) -> tuple[list[str],
     """
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    by_key = counts.groupBy(key).pivot("lang", languages or [""]).agg(F.sum("n"))
+    if not languages:
+        return [], {}
+    by_key = counts.groupBy(key).pivot("lang", languages).agg(F.sum("n"))
     all_of = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages), F.lit(0))
     top = by_key.orderBy(all_of.desc(), key).limit(most).toArrow()
     columns = [top.column(x).fill_null(0).to_numpy() for x in languages]
@@ -150,12 +152,14 @@ def identify(
 
     Whole texts are read.  A text that is null or has no letter is ``und`` with score
     0; so is every text when the model was trained on nothing.  The score is between
-    0 and 1.  Equal posteriors go to the language that comes first by name.
+    0 and 1.  Columns that are not kept are not looked at.  Equal posteriors go to the language that comes first by name.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = rows.drop("_text").schema
+    if {"lang_pred", "score", "_text"} & {f.name for f in kept}:
+        raise ValueError("kept columns must not be named like the result's")
     names = [f.name for f in kept] + ["lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
