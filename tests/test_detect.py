@@ -244,3 +244,16 @@ def test_long_term_lists(spark):
             for m in re.finditer("t[0-9]+é", texts[r.id])
         ] + few(texts[r.id])
         assert got == sorted(want)
+
+
+def test_dense_texts_take_time_in_proportion_to_their_matches(spark):
+    import time
+
+    def seconds(count):
+        df = spark.createDataFrame([("a@b.co " * count,)], "text string")
+        started = time.perf_counter()
+        assert detect_regex(df).select(F.size("findings")).first()[0] == count
+        return time.perf_counter() - started
+
+    seconds(40_000)
+    assert seconds(40_000) < 10

@@ -30,8 +30,8 @@ def chosen(spark, findings, n):
 
 
 def test_earliest_start_wins(spark):
-    spans = [("A", 0, 5, 0.8), ("B", 2, 9, 0.9), ("C", 9, 12, 0.7)]
-    assert chosen(spark, spans, 20) == [(0, 5, "A"), (9, 12, "C")]
+    spans = [("C", 11, 14, 0.2), ("B", 4, 30, 0.95), ("A", 3, 11, 0.6)]
+    assert chosen(spark, spans, 40) == [(3, 11, "A"), (11, 14, "C")]
 
 
 def test_ties(spark):
@@ -64,16 +64,16 @@ def test_span_choice_against_plain_model(spark):
 
 
 def test_names_and_unicode(spark):
-    rows = [("Contact Jane Doe at jane@x.com please",), ("café owner José waved 🙂",),
-            ("nothing sensitive here",), ("  ",), (None,)]
-    terms = {"Jane Doe": "PERSON", "jane@x.com": "EMAIL_ADDRESS", "José": "PERSON"}
+    rows = [("Frau Ödön Ünal (unal@firma.de) rief an",), ("🙂🙂 naïve Zoë, ça va?",),
+            ("all quiet today",), ("  ",), (None,)]
+    terms = {"Ödön Ünal": "PERSON", "unal@firma.de": "EMAIL_ADDRESS", "Zoë": "PERSON"}
     df = spark.createDataFrame(rows, "text string")
     out = redact(df, Options(salt="salt", backend="dictionary", terms=terms)).collect()
     assert out[0].text == (
-        "Contact [[CMPL_PERSON_22b7d4e868371526]] at "
-        "[[CMPL_EMAIL_ADDRESS_1ba28fb8aa4c90fd]] please"
+        "Frau [[CMPL_PERSON_8a099a0fdddc5c34]] "
+        "([[CMPL_EMAIL_ADDRESS_4b44cd7b23df990d]]) rief an"
     )
-    assert out[1].text == "café owner [[CMPL_PERSON_6a508319d16ec13a]] waved 🙂"
+    assert out[1].text == "🙂🙂 naïve [[CMPL_PERSON_ea2d86bc29b328f0]], ça va?"
     assert [r.text for r in out[2:]] == [r[0] for r in rows[2:]]
     assert [r.status for r in out] == ["redacted"] * 2 + ["unchanged"] * 3
 
@@ -172,3 +172,24 @@ def test_long_term_lists_redact_texts_and_bodies(spark):
                                    "body_id int, body string")
     out = sanitize_requests(bodies, options).orderBy("body_id").collect()
     assert [r.body for r in out] == ['{"prompt":"%s"}' % token, "nope", None]
+
+
+def test_columns_need_a_backend_that_reads_text_only(spark):
+    df = spark.createDataFrame([("Jane Doe",)], "text string")
+    with pytest.raises(ValueError):
+        redact_columns(df, Options(salt="s"), ["text"])
+
+
+def test_findings_without_offsets_are_dropped_on_both_paths(spark, monkeypatch):
+    df = spark.createDataFrame([("abc", [("P", None, 2, 1.0), ("P", 0, 1, None), ("P", 1, 2, 0.5)])],
+                               f"text string, findings {FINDINGS}")
+    first = redact_findings(df, "s").first()["redacted"]
+    monkeypatch.setattr(longtext, "DENSE_WORK", 0)
+    assert redact_findings(df, "s").first()["redacted"] == first and len(first.mappings) == 2
+
+
+def test_labels_are_cut_to_the_longest_token(spark):
+    for entity in ("a" * 500, "é" * 500, "x_" * 300):
+        df = spark.createDataFrame([("v", [(entity, 0, 1, 1.0)])], f"text string, findings {FINDINGS}")
+        made = redact_findings(df, "s").first()["redacted"].text
+        assert made == longtext.token(entity, "v", "s") and len(made) <= 128

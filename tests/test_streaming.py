@@ -9,16 +9,16 @@ from veilmark.options import Options
 from veilmark.plans.jobs import sanitize_job
 from veilmark.sources.tables import read_vault, stream_chunks, stream_requests, write_vault
 from veilmark.streaming.jobs import rehydrate_stream, sanitize_stream
-from veilmark.streaming.rechunk import holdback_index, rechunk_stream
+from veilmark.streaming.rechunk import open_token_at, rechunk_stream
 
 T0, T1, T2 = "2026-01-01 00:00:00", "2026-01-01 01:00:00", "2026-01-01 02:00:00"
 JANE, MAIL = token("PERSON", "Jane Doe", "s"), token("EMAIL_ADDRESS", "jané@x.com", "s")
 GHOST = token("PERSON", "Ghost", "s")
 PAYLOADS = {
-    1: f"Hello {JANE}, how are you?",
-    2: f'data: {{"text":"{JANE} <{MAIL}>"}}\n\n',
+    1: f"Signed: {JANE}; more below.",
+    2: f'event: x\ndata: ["{JANE}","{MAIL}"]\n\n',
     3: f"x {GHOST} y",
-    4: "just some [[plain]] text with [[1,2]] arrays",
+    4: "matrix [[a]] and [[3;4]] stay",
     5: f"é🙂{MAIL}{JANE}[[CM",
     6: "[[CMPL_" + "A" * 200 + f" {JANE}[[CMPL_",
 }
@@ -56,15 +56,33 @@ def joined(df, order):
     return streams
 
 
-def test_holdback_index():
-    assert holdback_index(b"abc") == -1
-    assert holdback_index(b"abc[") == 3
-    assert holdback_index(b"abc[[CM") == 3
-    assert holdback_index(b"x[[CMPL_PERSON_12") == 1
-    assert holdback_index(b"[[CMPL_X]] a") == -1
-    assert holdback_index(b"[[CMPL_X]] a[[") == 12
-    assert holdback_index(b"[[CMPL_" + b"A" * 121) == 0
-    assert holdback_index(b"[[CMPL_" + b"A" * 122) == -1
+def test_open_token_at():
+    for data, at in [
+        (b"abc", 3),
+        (b"abc[", 3),
+        (b"abc[[CM", 3),
+        (b"x[[CMPL_PERSON_12", 1),
+        (b"x[[CMPL_PERSON_0123456789abcdef]", 1),
+        # none of these can become a token any more
+        (b"x[[CMPL_PERSON_0123456789abcdef]]", 33),
+        (b"[[CMPL_ hello", 13),
+        (b"[[CMPL_x", 8),
+        (b"[[CMPL_X]] a", 12),
+        (b"[[CMPL_X]] a[[", 12),
+        (b"[[CMPL_A[[CMPL_B", 8),
+        (b"[[[", 1),
+        (b"[[CMPL_" + b"A" * 119, 0),
+        (b"[[CMPL_" + b"A" * 120, 127),
+    ]:
+        assert open_token_at(data) == at, data
+
+
+def test_longest_token_is_held_back_at_every_cut():
+    whole = token("L" * 300, "v", "s").encode()
+    assert len(whole) == 128
+    for cut in range(1, len(whole)):
+        assert open_token_at(b"[[ " + whole[:cut]) == 3
+
 
 
 @pytest.mark.parametrize("block", [300, 4096])
@@ -107,7 +125,7 @@ def test_stream_restores_out_of_order_chunks_across_batches(spark, work):
     for i, size in enumerate((1, 4, 9, 1000)):
         rows += cut(PAYLOADS, size, offset=1000 * i)
     stored(spark, rows, f"{work}/in", 3)
-    write_vault(vault(spark), f"{work}/vault")
+    write_vault(vault(spark), f"{work}/vault", "t", 0)
     live = stream_chunks(spark, f"{work}/in", maxFilesPerTrigger="1")
     run(rehydrate_stream(live, f"{work}/vault", f"{work}/out", f"{work}/cp", None, now=T1))
     out = joined(spark.read.parquet(f"{work}/out"), "seq")
@@ -118,7 +136,7 @@ def test_stream_restores_out_of_order_chunks_across_batches(spark, work):
 
 def test_stream_continues_from_its_checkpoint(spark, work):
     rows = cut(PAYLOADS, 6)
-    write_vault(vault(spark), f"{work}/vault")
+    write_vault(vault(spark), f"{work}/vault", "t", 0)
     for half in (0, 1):
         part = [r for r in rows if (r[1] >= 3) == bool(half)]
         stored(spark, part, f"{work}/in", 1)
@@ -154,7 +172,7 @@ def test_sanitize_stream_and_job(spark, work):
     options = Options(salt="s", backend="regex")
     run(sanitize_stream(stream_requests(spark, f"{work}/in"), options, f"{work}/vault",
                         f"{work}/out", f"{work}/cp"))
-    sanitize_job(df, options, f"{work}/vault", f"{work}/out2", batch_id=7)
+    sanitize_job(df, options, f"{work}/vault", f"{work}/out2", writer_id="job", batch_id=7)
     for path in ("out", "out2"):
         out = {r.body_id: r.body for r in spark.read.parquet(f"{work}/{path}").collect()}
         assert out[2] == "nope" and "a@b.com" not in out[1] and len(out) == 3
@@ -162,13 +180,37 @@ def test_sanitize_stream_and_job(spark, work):
     assert read_vault(spark, f"{work}/vault").count() == 4
 
 
+def test_streams_that_share_a_vault_keep_each_others_mappings(spark, work):
+    options = Options(salt="s", backend="regex")
+    for k, mail in enumerate(("a@b.com", "c@d.com", "e@f.com")):
+        df = spark.createDataFrame([(1, f'{{"prompt":"{mail}"}}')], "body_id bigint, body string")
+        df.write.parquet(f"{work}/in{k}")
+        # the third is a new checkpoint over the second's output
+        run(sanitize_stream(stream_requests(spark, f"{work}/in{k}"), options, f"{work}/vault",
+                            f"{work}/out{min(k, 1)}", f"{work}/cp{k}"))
+    values = {r.value for r in read_vault(spark, f"{work}/vault").collect()}
+    assert values == {"a@b.com", "c@d.com", "e@f.com"}
+    assert spark.read.parquet(f"{work}/out1").count() == 2
+
+
+def test_chunks_delivered_again_after_the_end_are_ignored(spark, work):
+    rows = [(1, 0, b"ab", False), (1, 1, b"cd", True)]
+    for part in (rows, rows, rows[1:]):
+        stored(spark, part, f"{work}/in", 1)
+        live = stream_chunks(spark, f"{work}/in")
+        query = rechunk_stream(live, None).writeStream.format("parquet").outputMode("append")
+        run(query.option("path", f"{work}/out").option("checkpointLocation", f"{work}/cp"))
+    out = spark.read.parquet(f"{work}/out").orderBy("seq").collect()
+    assert [bytes(r.chunk) for r in out] == [b"ab", b"cd"]
+
+
 def test_closed_policy_keeps_rejected_bodies_apart(spark, work):
     def detector(texts, language):
         raise RuntimeError("no")
 
     df = spark.createDataFrame([(1, '{"prompt":"x"}'), (2, "nope")], "body_id bigint, body string")
     sanitize_job(df, Options(salt="s", on_error="closed"), f"{work}/v", f"{work}/out",
-                 f"{work}/bad", detector=detector)
+                 f"{work}/bad", writer_id="w", batch_id=0, detector=detector)
     assert [r.body_id for r in spark.read.parquet(f"{work}/out").collect()] == [2]
     bad = spark.read.parquet(f"{work}/bad")
     assert [r.body_id for r in bad.collect()] == [1] and "body" not in bad.columns

@@ -72,14 +72,28 @@ def test_lookup_splits_hot_keys_without_changing_the_result(spark):
 def test_vault_table_replaces_a_replayed_batch(spark, work):
     path = f"{work}/vault"
     vault = entries(spark, [("a", "A", T0, T2), ("b", "B", T0, T1)])
-    for batch in (0, 1, 1):
-        write_vault(vault, path, batch)
-    assert read_vault(spark, path).count() == 4
+    for writer, batch in (("a", 0), ("a", 1), ("a", 1), ("b", 1)):
+        write_vault(vault, path, writer, batch)
+    assert read_vault(spark, path).count() == 6
+    with pytest.raises(ValueError):
+        write_vault(vault, path, "", 0)
     assert vault_live(read_vault(spark, path), T0).count() == 2
     compact_vault(spark, path, f"{work}/vault2", "2026-01-01 01:30:00")
+    write_vault(vault.where("false"), f"{work}/vault2", "a", 0)
     assert [r.token for r in read_vault(spark, f"{work}/vault2").collect()] == ["a"]
 
 
+def test_rows_of_one_key_or_none_are_not_mixed(spark):
+    tok = lambda v: spark.range(1).select(F.expr(make_token("'P'", f"'{v}'", "s"))).first()[0]
+    vault = entries(spark, [(tok("x"), "X", T0, T2), (tok("y"), "Y", T0, T2)])
+    rows = [(1, f"mail {tok('x')}"), (1, f"mail {tok('y')} {tok('x')}"), (None, tok("y")),
+            (None, tok("y")), (1, "none"), (2, None)]
+    df = spark.createDataFrame(rows, "key int, text string")
+    got = sorted(map(tuple, rehydrate(df, vault, "key", now=T1).collect()), key=str)
+    assert got == sorted([(1, "mail X"), (1, "mail Y X"), (None, "Y"), (None, "Y"), (1, "none"),
+                          (2, None)], key=str)
+
+
 def test_documents_round_trip(spark, documents):
     trip = round_trip(documents, REGEX, "doc_id")
     assert trip.count() == documents.count()
@@ -91,7 +105,7 @@ def test_restored_text_is_not_scanned_again(spark):
     inner, outer = tok("x"), tok("y")
     vault = entries(spark, [(inner, "X", T0, T2), (outer, f"<{inner}> [", T0, T2)])
     texts = [f"{outer}[CMPL_", f"{outer}{inner}{outer}", "x [[CMPL_P_0000000000000000]] y",
-             "just some [[plain]] text with [[1,2]] arrays", "", None, "[[CMPL_" + inner]
+             "matrix [[a]] and [[3;4]] stay", "", None, "[[CMPL_" + inner]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r.id: r.text for r in rehydrate(df, vault, "id", now=T1).collect()}
     assert got == {0: f"<{inner}> [[CMPL_", 1: f"<{inner}> [X<{inner}> [", 2: texts[2],

@@ -37,8 +37,11 @@ DICTIONARY_SCORE = 0.9
 TOKEN_MARKER = "[[CMPL_"
 TOKEN_SUFFIX = "]]"
 TOKEN_ID_LENGTH = 16
-TOKEN_PATTERN = r"\[\[CMPL_[A-Z0-9_]+_[0-9a-f]{16}\]\]"
+# No token is longer than 128 bytes, so a label has at most 102 characters: the
+# same bound holds where tokens are made, found, and held back in streams.
 TOKEN_MAX_BYTES = 128
+TOKEN_LABEL_LENGTH = 102
+TOKEN_PATTERN = r"\[\[CMPL_[A-Z0-9_]{1,102}_[0-9a-f]{16}\]\]"
 FALLBACK_ENTITY = "PII"
 
 # Inspect-provider info types by entity name.

@@ -21,6 +21,7 @@ from veilmark.functions.fixed import (
     RULE_PATTERNS,
     RULE_SCORE,
     TOKEN_ID_LENGTH,
+    TOKEN_LABEL_LENGTH,
     TOKEN_MARKER,
     TOKEN_SUFFIX,
     WHITE_SPACE,
@@ -29,6 +30,8 @@ from veilmark.functions.tokens import LOWER, UPPER
 
 # Rows above either bound take the Arrow path.
 LONG_TEXT_BYTES = 64 * 1024
+# Finding spans alone grows an array per match, so it changes over earlier.
+DETECT_BYTES = 16 * 1024
 DENSE_WORK = 1 << 24  # findings x bytes
 
 # A regex tries its alternatives one after the other; longer term lists than
@@ -122,9 +125,8 @@ def _automaton(terms: Mapping[str, str]):
     return automaton
 
 
-def find_terms_udf(terms: Mapping[str, str], score: float):
-    """Dictionary findings of long term lists; null in, null out."""
-    match = term_matcher(terms, score)
+def find_matched_udf(match: Callable[[str], list[Span]]):
+    """Findings of a string matcher, sorted by start; null in, null out."""
 
     @F.pandas_udf(FINDINGS)
     def run(texts: pd.Series) -> pd.Series:
@@ -142,8 +144,11 @@ def find_terms_udf(terms: Mapping[str, str], score: float):
 
 
 def choose(spans: Iterable[Span], length: int) -> list[Span]:
-    valid = [s for s in spans if 0 <= s[0] < s[1] <= length]
-    valid.sort(key=lambda s: (s[0], -s[1], -s[2]))
+    valid = [
+        s for s in spans if None not in s[:2] and 0 <= s[0] < s[1] <= length
+    ]
+    # a null score is the lowest
+    valid.sort(key=lambda s: (s[0], -s[1], s[2] is None, -(s[2] or 0.0)))
     kept: list[Span] = []
     for s in valid:
         if not kept or s[0] >= kept[-1][1]:
@@ -153,7 +158,7 @@ def choose(spans: Iterable[Span], length: int) -> list[Span]:
 
 def label(entity: str) -> str:
     text = re.sub("[^A-Z0-9_]+", "_", (entity or "").translate(_ASCII_UPPER))
-    return text.strip("_") or FALLBACK_ENTITY
+    return text.strip("_")[:TOKEN_LABEL_LENGTH] or FALLBACK_ENTITY
 
 
 def token(entity: str, value: str, salt: str) -> str:
@@ -189,6 +194,13 @@ def redact_matched_udf(match: Callable[[str], list[Span]], salt: str):
     return run
 
 
+def _given(number):
+    """Arrow batches turn columns with nulls into floats, and nulls into NaN."""
+    if number is None or number != number:
+        return None
+    return int(number) if number == int(number) else number
+
+
 def redact_found_udf(salt: str):
     """Redact given findings; null in, null out."""
 
@@ -199,7 +211,10 @@ def redact_found_udf(salt: str):
             if t is None
             else redact_string(
                 t,
-                [(f["start"], f["end"], f["score"], f["entity_type"]) for f in fs],
+                [
+                    (_given(f["start"]), _given(f["end"]), _given(f["score"]), f["entity_type"])
+                    for f in fs
+                ],
                 salt,
             )
             for t, fs in zip(texts, findings)

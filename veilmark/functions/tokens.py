@@ -11,6 +11,7 @@ from veilmark.functions.exprs import bind, empty, text_literal
 from veilmark.functions.fixed import (
     FALLBACK_ENTITY,
     TOKEN_ID_LENGTH,
+    TOKEN_LABEL_LENGTH,
     TOKEN_MARKER,
     TOKEN_PATTERN,
     TOKEN_SUFFIX,
@@ -25,12 +26,14 @@ def normalize_entity(entity: str) -> str:
     """Token label for an entity type: upper case, other characters to ``_``.
 
     ``translate`` is used instead of ``upper`` because full upper-casing turns
-    some letters into two (sharp s), which would change the label.
+    some letters into two (sharp s), which would change the label.  Longer labels
+    are cut to what a token of the greatest length can hold.
     """
     upper = f"translate(coalesce({entity}, ''), '{LOWER}', '{UPPER}')"
     label = f"regexp_replace({upper}, '[^A-Z0-9_]+', '_')"
     label = f"regexp_replace({label}, '^_+|_+$', '')"
-    return bind(label, "lbl", f"if(lbl = '', '{FALLBACK_ENTITY}', lbl)")
+    cut = f"substring(lbl, 1, {TOKEN_LABEL_LENGTH})"
+    return bind(label, "lbl", f"if(lbl = '', '{FALLBACK_ENTITY}', {cut})")
 
 
 def token_id(value: str, salt: str) -> str:
@@ -67,9 +70,13 @@ def find_tokens(text: str) -> str:
 
 
 def splice_values(text: str, values: str) -> str:
-    """Put ``values`` in the place of the tokens of ``text``, in order."""
+    """Put ``values`` in the place of the tokens of ``text``, in order.
+
+    Unless there is exactly one value for each token, the text stays as it is.
+    """
     gaps = f"split({text}, {text_literal(TOKEN_PATTERN)}, -1)"
-    return (
-        f"array_join(zip_with({gaps}, {values}, "
+    spliced = (
+        f"array_join(zip_with(gaps, {values}, "
         "(gap, val) -> concat(gap, coalesce(val, ''))), '')"
     )
+    return bind(gaps, "gaps", f"if(size(gaps) = size({values}) + 1, {spliced}, {text})")

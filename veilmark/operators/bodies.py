@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 from veilmark.functions import bodypatch, longtext
 from veilmark.functions.chatbody import FIELDS, parsed_fields
 from veilmark.functions.exprs import MAPPINGS, bind, empty, inline_rows, text_literal
-from veilmark.operators.detect import BatchDetector
-from veilmark.operators.redact import (
-    TextRules,
-    reads_text_only,
-    redact,
-    redacted_native,
-)
+from veilmark.operators.detect import BatchDetector, batch_findings
+from veilmark.operators.redact import TextRules, reads_text_only, redacted_native
 from veilmark.options import Options
 
 
@@ -48,12 +43,26 @@ def rebuild_bodies(
 
     Pass only changed texts: bodies without any keep their exact bytes and do
     not reach Python.  The texts of one body are grouped; a body bounds its group.
+    ``body_id`` must tell bodies apart: a new text whose id is null, or belongs to
+    several bodies, fails the job, because it could land in another's body.
     """
+    new_id = F.when(
+        F.col(body_id).isNull(), F.raise_error(F.lit("a new text has no body id"))
+    ).otherwise(F.col(body_id))
+    texts = texts.withColumn(body_id, new_id)
     grouped = texts.groupBy(body_id).agg(
         F.collect_list(F.struct("path", "pos", "part_pos", "text")).alias("_new")
     )
-    joined = requests.join(grouped, body_id, "left")
-    touched = F.col("_new").isNotNull()
+    several = (
+        requests.groupBy(body_id).count().where("count > 1").select(
+            body_id, F.lit(True).alias("_several")
+        )
+    )
+    joined = requests.join(grouped.join(several, body_id, "left"), body_id, "left")
+    touched = F.col("_new").isNotNull() & F.when(
+        F.col("_several"), F.raise_error(F.lit("new texts for an id of several bodies"))
+        .cast("boolean")
+    ).otherwise(F.lit(True))
     rebuilt = bodypatch.rebuild_udf()(F.when(touched, F.col(body)), F.col("_new"))
     return joined.withColumn(
         body, F.when(touched, rebuilt).otherwise(F.col(body))
@@ -64,7 +73,6 @@ def sanitize_requests(
     requests: DataFrame,
     options: Options,
     body: str = "body",
-    body_id: str = "body_id",
     detector: BatchDetector | None = None,
     long_body_bytes: int = longtext.LONG_TEXT_BYTES,
 ) -> DataFrame:
@@ -73,11 +81,16 @@ def sanitize_requests(
     Adds ``mappings``, ``detect_error`` and ``status`` (see ``redact``).  With a
     detector that reads only text this is one projection without a shuffle:
     raw gate, VARIANT walk and redaction in expressions, and Arrow only for the
-    bodies that change.  Other detectors get the text fields as a long table and
-    the results are joined back by ``body_id``.
+    bodies that change.  A detector of your own gets the text fields of one Arrow batch
+    of bodies at a time.  Either way a body never leaves its row: ids are not read.
     """
-    if detector is not None or not reads_text_only(options):
-        return _sanitize_by_join(requests, options, body, body_id, detector)
+    if detector is not None:
+        return _sanitize_by_detector(requests, options, body, detector)
+    if not reads_text_only(options):
+        raise ValueError(
+            f"backend {options.backend!r} has results per text, not per body: use "
+            "extract_texts, redact and rebuild_bodies, or pass a detector"
+        )
 
     rules = TextRules(options)
     if not rules.native:
@@ -107,67 +120,58 @@ def sanitize_requests(
         F.expr(f"CASE WHEN {changed} THEN transform(_fields, fd -> fd.text) END"),
         F.expr(f"CASE WHEN {changed} THEN transform(_results, r -> r.text) END"),
     )
-    return (
-        staged.withColumn("_patched", patched)
-        .withColumns(
-            {
-                body: F.coalesce("_patched.body", body),
-                "mappings": F.coalesce(
-                    "_patched.mappings", "_mappings", F.expr(empty(MAPPINGS))
-                ),
-                "detect_error": F.lit(None).cast("string"),
-            }
-        )
-        .withColumn(
-            "status",
-            F.when(F.size("mappings") > 0, "redacted").otherwise("unchanged"),
-        )
-        .drop("_fields", "_results", "_mappings", "_patched")
-    )
+    return _with_policy(staged.withColumn("_patched", patched), options, body)
 
 
-def _sanitize_by_join(
-    requests: DataFrame,
-    options: Options,
-    body: str,
-    body_id: str,
-    detector: BatchDetector | None,
+def _sanitize_by_detector(
+    requests: DataFrame, options: Options, body: str, detector: BatchDetector
 ) -> DataFrame:
-    texts = extract_texts(requests, body_id, body).withColumn("_before", F.col("text"))
-    done = redact(texts, options, "text", detector)
-    per_body = done.groupBy(body_id).agg(
-        F.collect_list(
-            F.when(
-                F.size("mappings") > 0, F.struct("path", "pos", "part_pos", "text")
+    """Everything happens in the row: fields, findings and the new body.
+
+    No key and no shuffle, so null or repeated ids cannot mix bodies up.
+    """
+    find = batch_findings(detector, options.language)
+    allowed = set(options.entities or ())
+
+    def spans(texts: list[str]) -> list[tuple]:
+        return [
+            (
+                [
+                    (f["start"], f["end"], f["score"], f["entity_type"])
+                    for f in found or ()
+                    if not allowed or f["entity_type"] in allowed
+                ],
+                error,
             )
-        ).alias("_new"),
-        F.flatten(
-            F.array_sort(F.collect_list("mappings"))
-        ).alias("mappings"),
-        F.max("detect_error").alias("detect_error"),
+            for found, error in find(texts)
+        ]
+
+    done = bodypatch.detect_udf(spans, options.salt)(F.col(body))
+    staged = requests.withColumns(
+        {"_patched": done, "_mappings": F.lit(None).cast(MAPPINGS)}
     )
-    joined = requests.join(per_body, body_id, "left")
-    failed = F.col("detect_error").isNotNull()
-    touched = ~failed & (F.size("_new") > 0)
-    rebuilt = bodypatch.rebuild_udf()(F.when(touched, F.col(body)), F.col("_new"))
+    return _with_policy(staged, options, body)
+
+
+def _with_policy(staged: DataFrame, options: Options, body: str) -> DataFrame:
+    """Body, mappings and status from ``_patched``, which may carry an error."""
+    failed = F.col("_patched.error").isNotNull()
     if options.on_error == "closed":
         kept, status = F.lit(None).cast("string"), "rejected"
     else:
         kept, status = F.col(body), "passed_uninspected"
+    none = F.expr(empty(MAPPINGS))
+    found = F.coalesce("_patched.mappings", "_mappings", none)
     return (
-        joined.withColumn(
-            body,
-            F.when(failed, kept).when(touched, rebuilt).otherwise(F.col(body)),
-        )
+        staged.withColumn("mappings", F.when(failed, none).otherwise(found))
         .withColumns(
             {
-                "mappings": F.when(
-                    failed | F.col("mappings").isNull(), F.expr(empty(MAPPINGS))
-                ).otherwise(F.col("mappings")),
+                body: F.when(failed, kept).otherwise(F.coalesce("_patched.body", body)),
+                "detect_error": F.col("_patched.error"),
                 "status": F.when(failed, status)
-                .when(F.size("_new") > 0, "redacted")
+                .when(F.size("mappings") > 0, "redacted")
                 .otherwise("unchanged"),
             }
         )
-        .select(*requests.columns, "mappings", "detect_error", "status")
+        .drop("_fields", "_results", "_mappings", "_patched")
     )

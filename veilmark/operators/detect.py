@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import longtext
 from veilmark.functions.chatbody import get
-from veilmark.functions.dictionary import gated_dictionary
+from veilmark.functions.dictionary import any_term, gated_dictionary
 from veilmark.functions.entities import (
     canonical_entity,
     flexible_int,
@@ -23,7 +23,7 @@ from veilmark.functions.entities import (
 )
 from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.exprs import FINDINGS, bind, empty, inline_rows, struct
-from veilmark.functions.rules import gated_findings
+from veilmark.functions.rules import gate, gated_findings, rule_names
 from veilmark.functions.spans import allow_entities, filter_score
 from veilmark.options import Options
 
@@ -38,7 +38,25 @@ def detect_regex(
     df: DataFrame, text: str = "text", entities: Iterable[str] | None = None
 ) -> DataFrame:
     """Built-in rules; the threshold does not apply (every score is 1.0)."""
-    return _with_findings(df, gated_findings(text, entities))
+    rules = rule_names(entities)
+    return _by_length(
+        df, text, gated_findings(text, entities), gate(text, rules), longtext.rule_matcher(rules)
+    )
+
+
+def _by_length(
+    df: DataFrame,
+    text: str,
+    findings: str,
+    suspicious: str,
+    match: Callable[[str], list[longtext.Span]],
+) -> DataFrame:
+    """Expressions for ordinary texts; long ones that pass the gate go through Arrow,
+    where many matches cost time in proportion to their number."""
+    long = f"octet_length({text}) > {longtext.DETECT_BYTES} AND {suspicious}"
+    by_arrow = longtext.find_matched_udf(match)(F.expr(f"CASE WHEN {long} THEN {text} END"))
+    found = F.when(F.expr(long), by_arrow).otherwise(F.expr(findings))
+    return df.withColumns({"findings": found, "detect_error": F.lit(None).cast("string")})
 
 
 def detect_dictionary(
@@ -51,11 +69,18 @@ def detect_dictionary(
     allowed = set(entities or ())
     kept = {t: e for t, e in terms.items() if not allowed or e in allowed}
     if len(kept) > longtext.REGEX_TERMS:
-        found = longtext.find_terms_udf(kept, DICTIONARY_SCORE)(F.col(text))
+        match = longtext.term_matcher(kept, DICTIONARY_SCORE)
+        found = longtext.find_matched_udf(match)(F.col(text))
         return df.withColumns(
             {"findings": found, "detect_error": F.lit(None).cast("string")}
         )
-    return _with_findings(df, gated_dictionary(text, kept))
+    return _by_length(
+        df,
+        text,
+        gated_dictionary(text, kept),
+        any_term(text, kept),
+        longtext.term_matcher(kept, DICTIONARY_SCORE),
+    )
 
 
 def _fine(v: str, test: str) -> str:
@@ -213,19 +238,13 @@ def _ingest(
 BatchDetector = Callable[[Sequence[str], str], Sequence[Sequence[Mapping]]]
 
 
-def detect_with(
-    df: DataFrame,
-    detector: BatchDetector,
-    text: str = "text",
-    language: str = "en",
-    entities: Iterable[str] | None = None,
-) -> DataFrame:
-    """Findings from a user-supplied batch detector.
+def batch_findings(
+    detector: BatchDetector, language: str
+) -> Callable[[Sequence[str]], list[tuple[list[dict] | None, str | None]]]:
+    """Texts to (findings, error) of each, by a user-supplied batch detector.
 
-    ``detector(texts, language)`` gets the non-blank texts of one Arrow batch
-    and returns, per text, mappings with ``entity_type``, ``start``, ``end`` and
-    ``score``.  If a batch raises, its texts are retried one by one, so only the
-    texts that really fail carry an error.
+    The detector gets the non-blank texts.  If it raises, they are tried again one by
+    one, so only the texts that really fail carry an error.
     """
 
     def one(found: Sequence[Mapping]) -> list[dict]:
@@ -234,14 +253,11 @@ def detect_with(
             score = float(f.get("score", 0.0))
             if math.isnan(score):
                 raise ValueError("score is not a number")
-            out.append(
-                {
-                    "entity_type": str(f.get("entity_type", "")),
-                    "start": int(f.get("start", 0)),
-                    "end": int(f.get("end", 0)),
-                    "score": score,
-                }
-            )
+            start, end = int(f.get("start", 0)), int(f.get("end", 0))
+            if not all(-(1 << 31) <= x < 1 << 31 for x in (start, end)):
+                raise ValueError("offset out of range")
+            entity = str(f.get("entity_type", ""))
+            out.append({"entity_type": entity, "start": start, "end": end, "score": score})
         return out
 
     def attempt(texts: list[str]) -> list[tuple]:
@@ -250,22 +266,43 @@ def detect_with(
             raise ValueError(f"{len(found)} results for {len(texts)} texts")
         return [(one(f), None) for f in found]
 
-    @F.pandas_udf(f"struct<findings:{FINDINGS},error:string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: Sequence[str]) -> list[tuple]:
         rows: list[tuple] = [([], None)] * len(texts)
         todo = [i for i, t in enumerate(texts) if t is not None and t.strip()]
         try:
-            done = attempt([texts.iloc[i] for i in todo]) if todo else []
+            done = attempt([texts[i] for i in todo]) if todo else []
         except Exception:
             done = []
             for i in todo:
                 try:
-                    done += attempt([texts.iloc[i]])
+                    done += attempt([texts[i]])
                 except Exception as e:
                     done.append((None, f"{type(e).__name__}: {e}"))
-        for i, row in zip(todo, done):
+        for i, row in zip(todo, done, strict=True):
             rows[i] = row
-        return pd.DataFrame(rows, columns=["findings", "error"])
+        return rows
+
+    return run
+
+
+def detect_with(
+    df: DataFrame,
+    detector: BatchDetector,
+    text: str = "text",
+    language: str = "en",
+    entities: Iterable[str] | None = None,
+) -> DataFrame:
+    """Findings from a user-supplied batch detector.
+
+    ``detector(texts, language)`` gets the non-blank texts of one Arrow batch
+    and returns, per text, mappings with ``entity_type``, ``start``, ``end`` and
+    ``score``; see :func:`batch_findings` for errors.
+    """
+    find = batch_findings(detector, language)
+
+    @F.pandas_udf(f"struct<findings:{FINDINGS},error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(find(texts.tolist()), columns=["findings", "error"])
 
     return _ingest(df, run(F.col(text)), entities, None)
 

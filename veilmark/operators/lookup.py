@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+NULL_CELLS = 4096
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -30,6 +31,7 @@ def lookup(
     spread over several join cells, each with its own copy of the table row.
     The list of hot keys is one hash and one small number per key, and at most
     ``rows / hot_rows`` keys can be hot, so joining it by broadcast is bounded.
+    Rows whose key is null are spread over many cells too.
     Which keys are hot only decides where rows go, never what the result is.
     A row's cell follows from the number of its partition, so a task that is run
     again after an executor loss sends its rows to the same cells.
@@ -41,10 +43,12 @@ def lookup(
     # one entry per hash, also if two hot keys should share it
     hot = hot.groupBy("_hot").agg(F.max("_cells").alias("_cells"))
     cells = F.coalesce("_cells", F.lit(1))
+    # rows without a key match nothing; their cells only keep them apart
+    dealt = F.when(F.col(key).isNull(), F.lit(NULL_CELLS)).otherwise(cells)
     left = (
         df.join(F.broadcast(hot), F.xxhash64(key) == F.col("_hot"), "left")
         .withColumn(
-            "_cell", F.pmod(F.xxhash64(F.spark_partition_id()), cells).cast("int")
+            "_cell", F.pmod(F.xxhash64(F.spark_partition_id()), dealt).cast("int")
         )
         .drop("_hot", "_cells")
     )

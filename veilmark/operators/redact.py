@@ -152,7 +152,13 @@ def _apply_policy(df: DataFrame, options: Options, text: str) -> DataFrame:
 def redact_columns(
     df: DataFrame, options: Options, columns: Iterable[str], mappings: str = "mappings"
 ) -> DataFrame:
-    """Redact several text columns of a row; their mappings go into one array."""
+    """Redact several text columns of a row; their mappings go into one array.
+
+    Only for backends that read nothing but the text: results of the others belong
+    to one column each, so those columns go through ``redact`` one by one.
+    """
+    if not reads_text_only(options):
+        raise ValueError("redact_columns needs the regex or the dictionary backend")
     columns = list(columns)
     staged = df.withColumns(
         {f"_redacted_{c}": redacted(c, options) for c in columns}

@@ -21,27 +21,32 @@ from veilmark.operators.vault import resolve
 def rehydrate(
     df: DataFrame,
     vault: DataFrame,
-    keys: str | Sequence[str],
+    keys: str | Sequence[str] | None = None,
     text: str = "text",
     now: datetime | str | Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Restore the tokens of ``text``; ``keys`` must identify a row.
+    """Restore the tokens of ``text``.
 
+    What a text becomes depends on the text alone, so rows are told apart by the
+    digest of their text: ``keys`` is not needed, may hold nulls and may repeat.
     Rows without a token skip every shuffle.  For the others only
-    (keys, position, token) goes to the vault join; the values come back as one
-    array per row, in text order, and are spliced between the gaps.
+    (digest, position, token) goes to the vault join; the values come back as one
+    array per text, in order, and are spliced between the gaps.  Copies of a text
+    are resolved once.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    with_tokens = where_once(df, has_marker(text))
+    digest = F.sha2(F.col(text).cast("binary"), 256)
+    with_tokens = where_once(df, has_marker(text)).withColumn("_digest", digest)
     without = where_once(df, f"NOT coalesce({has_marker(text)}, false)")
 
-    occurrences = tokens_long(df, keys, text).withColumnsRenamed(
-        {"pos": "_pos", "token": "_token"}
+    occurrences = (
+        tokens_long(with_tokens, "_digest", text)
+        .withColumnsRenamed({"pos": "_pos", "token": "_token"})
+        .distinct()
     )
     resolved = (
         resolve(occurrences, "_token", vault, "_value", now, hot_rows)
-        .groupBy(*keys)
+        .groupBy("_digest")
         .agg(
             F.array_sort(
                 F.collect_list(
@@ -54,7 +59,7 @@ def rehydrate(
         )
     )
     restored = (
-        with_tokens.join(resolved, keys, "left")
+        with_tokens.join(resolved, "_digest", "left")
         .withColumn(
             text,
             F.when(F.col("_found").isNull(), F.col(text)).otherwise(

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.operators.bodies import sanitize_requests
-from veilmark.operators.detect import BatchDetector, findings_long
-from veilmark.operators.redact import extract_mappings, reads_text_only, redact
+from veilmark.operators.detect import BatchDetector
+from veilmark.operators.redact import extract_mappings, redact
 from veilmark.operators.rehydrate import rehydrate
 from veilmark.operators.vault import vault_put
 from veilmark.options import Options
@@ -31,27 +31,30 @@ def sanitize_job(
     vault_path: str,
     out_path: str,
     rejected_path: str | None = None,
-    batch_id: int = 0,
+    *,
+    writer_id: str,
+    batch_id: int,
     detector: BatchDetector | None = None,
     written_at: datetime | str | Column | None = None,
 ) -> None:
     """Sanitize a request table: vault first, then bodies, then rejected rows.
 
-    The table is read once per output.  Built-in detectors give the same result
-    each time, and the vault pass reads only the text, so this moves fewer bytes
-    than writing the bodies twice.  A ``detector`` of your own must be
-    deterministic too; if it is not, store its findings first and use them.
+    The sanitized table is stored once and both outputs are written from it, so each
+    body is parsed and inspected once, and the vault holds exactly the tokens of the
+    bodies that go out, whatever a ``detector`` of your own would answer next time.
+
+    ``writer_id`` and ``batch_id`` name this write: the same pair again replaces it.
     """
-    done = sanitize_requests(requests, options, detector=detector)
+    done = stored(sanitize_requests(requests, options, detector=detector))
     write_vault(
         vault_put(extract_mappings(done), options.ttl_seconds, written_at),
         vault_path,
+        writer_id,
         batch_id,
     )
-    write_requests(done, out_path, batch_id)
-    can_fail = detector is not None or not reads_text_only(options)
-    if rejected_path and can_fail and options.on_error == "closed":
-        write_rejected(done, rejected_path, batch_id)
+    write_requests(done, out_path, writer_id, batch_id)
+    if rejected_path and options.on_error == "closed":
+        write_rejected(done, rejected_path, writer_id, batch_id)
 
 
 def round_trip(
@@ -74,5 +77,3 @@ def round_trip(
         .join(back.withColumnRenamed(text, "restored"), keys)
     )
 
-
-__all__ = ["findings_long", "round_trip", "sanitize_job"]

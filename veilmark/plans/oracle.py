@@ -281,6 +281,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT key AS doc_id, (unnest(range(1, len(t) + 1)) - 1)::INTEGER AS pos,
                    unnest(t) AS token FROM listed""",
         "rehydrate_documents": documents,
+        "rehydrate_repeated_keys": documents,
+        "vault_compact_then_write": _live(NOW),
+        "vault_two_writers": f"{_TIMED_VAULT} SELECT {_SHOWN} FROM timed",
         "rehydrate_partly_expired": f"""WITH RECURSIVE {_documents_spans()}, {_choose()},
             {_splice('documents', 'doc_id', 'text',
                      "CASE c.entity_type WHEN 'EMAIL_ADDRESS' THEN c.value ELSE c.token END")}
@@ -315,10 +318,11 @@ def oracle_sql() -> dict[str, str]:
                       + len(regexp_extract_all(source, '{shout}')))::INTEGER AS n,
                      contains(text || lang || source, 'É') AS failed
               FROM documents)
-            SELECT doc_id AS body_id,
+            SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS body_id,
                    CASE WHEN skipped THEN 'unchanged' WHEN failed THEN 'rejected'
                         WHEN n > 0 THEN 'redacted' ELSE 'unchanged' END AS status,
-                   CASE WHEN skipped OR failed THEN 0 ELSE n END AS mappings
+                   CASE WHEN skipped OR failed THEN 0 ELSE n END AS mappings,
+                   CASE WHEN skipped OR NOT failed THEN doc_id::VARCHAR END AS seed
             FROM counted""",
         "rebuild_bodies": """SELECT doc_id AS body_id, text AS part_text,
             CASE WHEN doc_id % 5 = 0 THEN text ELSE '<' || text || '>' END AS message_text,

@@ -48,7 +48,9 @@ from veilmark.options import Options
 from veilmark.plans.jobs import round_trip
 from veilmark.sources.tables import (
     CHUNK_SCHEMA,
+    compact_vault,
     new_folder,
+    read_vault,
     spread,
     stored,
     stream_chunks,
@@ -290,6 +292,37 @@ def detokenize_orders(spark, sf_dir):
     )
 
 
+def vault_two_writers(spark, sf_dir):
+    """Two jobs write batch 0 of one vault, one of them twice: all mappings stay."""
+    path = f"{new_folder(spark)}/vault"
+    vault = _timed_vault(spark, sf_dir)
+    half = F.pmod(F.xxhash64("token"), F.lit(2))
+    for writer, part in (("a", 0), ("b", 1), ("b", 1)):
+        write_vault(vault.where(half == part), path, writer, 0)
+    return _shown(read_vault(spark, path))
+
+
+def vault_compact_then_write(spark, sf_dir):
+    """A compacted vault keeps its rows when a job writes batch 0 afterwards."""
+    folder = new_folder(spark)
+    vault = _timed_vault(spark, sf_dir)
+    write_vault(vault, f"{folder}/old", "job", 0)
+    compact_vault(spark, f"{folder}/old", f"{folder}/new", NOW)
+    write_vault(vault.where("false"), f"{folder}/new", "job", 0)
+    return _shown(read_vault(spark, f"{folder}/new"))
+
+
+def rehydrate_repeated_keys(spark, sf_dir):
+    """Keys that repeat or are null do not mix up rows."""
+    redacted = _stored_documents(spark, sf_dir)
+    keyed = redacted.select(
+        "doc_id", F.when(F.col("doc_id") % 2 > 0, F.col("doc_id") % 5).alias("key"), "text"
+    )
+    vault = _document_vault(redacted)
+    back = rehydrate(keyed, vault, "key", now="2026-01-01 06:00:00")
+    return back.select("doc_id", "text")
+
+
 def find_tokens_documents(spark, sf_dir):
     return tokens_long(_redacted_documents(spark, sf_dir), "doc_id")
 
@@ -487,19 +520,30 @@ def sanitize_requests_documents(spark, sf_dir):
 
 
 def sanitize_requests_custom(spark, sf_dir):
-    """The join route, with a detector of one's own, failing closed."""
+    """A detector of one's own, failing closed; ids are null or repeat."""
 
     def detector(texts, language):
         if any("É" in t for t in texts):
             raise RuntimeError("cannot inspect")
         return _shouting(texts, language)
 
+    number = F.col("body_id")
+    bodies = _bodies(spark, sf_dir).select(
+        number.alias("doc_id"),
+        F.when(number % 3 > 0, number % 7).alias("body_id"),
+        "body",
+    )
     done = sanitize_requests(
-        _bodies(spark, sf_dir),
-        Options(salt=SALT, on_error="closed"),
-        detector=detector,
+        bodies, Options(salt=SALT, on_error="closed"), detector=detector
+    )
+    return done.select(
+        "doc_id",
+        "body_id",
+        "status",
+        F.size("mappings").alias("mappings"),
+        # the body is still this row's
+        F.get_json_object("body", "$.seed").alias("seed"),
     )
-    return done.select("body_id", "status", F.size("mappings").alias("mappings"))
 
 
 def rebuild_bodies_documents(spark, sf_dir):
@@ -563,7 +607,7 @@ def rechunk_stream_documents(spark, sf_dir):
 def rehydrate_stream_documents(spark, sf_dir):
     work = new_folder(spark)
     redacted = _stored_chunks(spark, sf_dir, work, 300)
-    write_vault(_document_vault(redacted), f"{work}/vault")
+    write_vault(_document_vault(redacted), f"{work}/vault", "documents", 0)
     live = stream_chunks(spark, f"{work}/chunks", maxFilesPerTrigger="8")
     (
         rehydrate_stream(
@@ -627,4 +671,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rehydrate_chunks_batch": rehydrate_chunks_documents,
         "rechunk_stream": rechunk_stream_documents,
         "rehydrate_stream": rehydrate_stream_documents,
+        "vault_two_writers": vault_two_writers,
+        "vault_compact_then_write": vault_compact_then_write,
+        "rehydrate_repeated_keys": rehydrate_repeated_keys,
     }

@@ -1,8 +1,9 @@
 """Readers and writers for request, chunk and vault tables.
 
-Any Spark source works; these fix schemas and layouts.  Writes are per batch:
-writing the same batch again replaces that batch and nothing else, so a retried
-job or micro-batch leaves no duplicates.
+Any Spark source works; these fix schemas and layouts.  Writes are per writer and
+batch: writing the same batch of the same writer again replaces that batch and
+nothing else, so a retried job or micro-batch leaves no duplicates, and two writers
+that share a table never replace each other's rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from veilmark.operators.vault import VAULT_SCHEMA
 
 REQUEST_SCHEMA = "body_id bigint, body string"
 CHUNK_SCHEMA = "stream_id bigint, seq bigint, chunk binary, eos boolean, ts timestamp"
-VAULT_TABLE_SCHEMA = f"{VAULT_SCHEMA}, batch_id bigint"
+COMPACTED = "-compacted-"
+LAYOUT = ["writer_id", "batch_id"]
+VAULT_TABLE_SCHEMA = f"{VAULT_SCHEMA}, writer_id string, batch_id bigint"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -36,10 +39,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def new_folder(spark: SparkSession) -> str:
     """Path of a new folder below the shared one named by ``spark.checkpoint.dir``.
 
-    Where that is not set (local use) a temporary folder is made instead.
+    Only a session that runs in one process (tests) may leave that unset; a
+    temporary folder is made for it.  On a cluster executors would each write to
+    their own disk, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
@@ -135,51 +142,60 @@ def kafka_chunks(spark: SparkSession, **options: str) -> DataFrame:
     )
 
 
-def _batch_writer(df: DataFrame, batch_id: int, format: str) -> DataFrameWriter:
+def _batch_writer(
+    df: DataFrame, writer_id: str, batch_id: int, format: str
+) -> DataFrameWriter:
+    if not writer_id:
+        raise ValueError("a writer id is needed: who else may write to this table?")
     return (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumns(
+            {"writer_id": F.lit(writer_id), "batch_id": F.lit(batch_id).cast("bigint")}
+        )
         .write.format(format)
-        .partitionBy("batch_id")
+        .partitionBy(*LAYOUT)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
     )
 
 
 def write_requests(
-    df: DataFrame, path: str, batch_id: int = 0, format: str = "parquet"
+    df: DataFrame, path: str, writer_id: str, batch_id: int, format: str = "parquet"
 ) -> None:
     """Rewritten bodies that may go on: rejected rows are left out."""
     if "status" in df.columns:
         df = df.where(F.col("status") != "rejected")
-    _batch_writer(df.drop("mappings", "detect_error"), batch_id, format).save(path)
+    kept = df.drop("mappings", "detect_error")
+    _batch_writer(kept, writer_id, batch_id, format).save(path)
 
 
 def write_rejected(
-    df: DataFrame, path: str, batch_id: int = 0, format: str = "parquet"
+    df: DataFrame, path: str, writer_id: str, batch_id: int, format: str = "parquet"
 ) -> None:
     """Quarantine: ids and errors of rejected rows, no body."""
     rejected = df.where(F.col("status") == "rejected").drop("mappings", "body")
-    _batch_writer(rejected, batch_id, format).save(path)
+    _batch_writer(rejected, writer_id, batch_id, format).save(path)
 
 
 def write_chunks(
-    df: DataFrame, path: str, batch_id: int = 0, format: str = "parquet"
+    df: DataFrame, path: str, writer_id: str, batch_id: int, format: str = "parquet"
 ) -> None:
-    _batch_writer(df, batch_id, format).save(path)
+    _batch_writer(df, writer_id, batch_id, format).save(path)
 
 
 def read_vault(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """All vault rows; pass to ``vault_live`` and the operators that use it."""
     return (
-        spark.read.schema(VAULT_TABLE_SCHEMA).format(format).load(path).drop("batch_id")
+        spark.read.schema(VAULT_TABLE_SCHEMA).format(format).load(path).drop(*LAYOUT)
     )
 
 
 def write_vault(
-    entries: DataFrame, path: str, batch_id: int = 0, format: str = "parquet"
+    entries: DataFrame, path: str, writer_id: str, batch_id: int, format: str = "parquet"
 ) -> None:
-    """Append vault rows as batch ``batch_id`` (replacing that batch if present)."""
-    _batch_writer(entries, batch_id, format).save(path)
+    """Append vault rows as batch ``batch_id`` of ``writer_id``, replacing that batch if
+    present.  Jobs that share a vault need writer ids of their own, or one lineage of
+    batch ids between them."""
+    _batch_writer(entries, writer_id, batch_id, format).save(path)
 
 
 def compact_vault(
@@ -187,10 +203,10 @@ def compact_vault(
 ) -> None:
     """Write the purged vault as a new version; readers switch to ``new_path``.
 
-    A retry replaces the unfinished new version.  The old one is left in place.
+    A retry replaces the unfinished new version.  The old one is left in place.  The
+    rows belong to a writer id that no job may use, so later batches never touch them.
     """
     from veilmark.operators.vault import vault_purge
 
-    write_vault(
-        vault_purge(read_vault(spark, path, format), now), new_path, 0, format
-    )
+    purged = vault_purge(read_vault(spark, path, format), now)
+    write_vault(purged, new_path, COMPACTED, 0, format)

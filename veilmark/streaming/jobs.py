@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,13 @@ from veilmark.sources.tables import read_vault, write_chunks
 from veilmark.streaming.rechunk import rechunk_stream
 
 
+def _writer_of(batch: DataFrame, checkpoint: str) -> str:
+    """The id Spark keeps in a query's checkpoint: a restart continues it, another
+    checkpoint has another, so no two streams number the same batches."""
+    metadata = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata")
+    return json.loads(metadata.first()[0])["id"]
+
+
 def sanitize_stream(
     requests: DataFrame,
     options: Options,
@@ -24,12 +32,19 @@ def sanitize_stream(
     rejected_path: str | None = None,
     detector: BatchDetector | None = None,
 ) -> DataStreamWriter:
-    """Writer to start: each micro-batch is one ``sanitize_job`` batch, so a
-    replayed micro-batch replaces its own output."""
+    """Writer to start: each micro-batch is one ``sanitize_job`` batch of the writer that
+    the checkpoint names, so a replayed micro-batch replaces its own output only."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         sanitize_job(
-            batch, options, vault_path, out_path, rejected_path, batch_id, detector
+            batch,
+            options,
+            vault_path,
+            out_path,
+            rejected_path,
+            writer_id=_writer_of(batch, checkpoint),
+            batch_id=batch_id,
+            detector=detector,
         )
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -52,7 +67,7 @@ def rehydrate_stream(
         batch.persist()
         try:
             restored = rehydrate_blocks(batch, vault, ["stream_id", "seq"], now)
-            write_chunks(restored, out_path, batch_id)
+            write_chunks(restored, out_path, _writer_of(batch, checkpoint), batch_id)
         finally:
             batch.unpersist()
 

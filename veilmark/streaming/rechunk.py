@@ -1,11 +1,14 @@
 """Stateful re-cutting of live chunk streams.
 
 State per stream: the next ``seq`` to emit, the bytes held back because a token
-may be open at their end, and chunks that arrived ahead of their turn.
+may be open at their end, and chunks that arrived ahead of their turn.  A stream
+that has ended leaves a small mark, so that a chunk delivered again is not
+emitted again.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,42 +16,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from veilmark.functions.fixed import TOKEN_MARKER, TOKEN_MAX_BYTES, TOKEN_SUFFIX
+from veilmark.functions.fixed import (
+    TOKEN_ID_LENGTH,
+    TOKEN_LABEL_LENGTH,
+    TOKEN_MARKER,
+    TOKEN_MAX_BYTES,
+)
 
 OUT_SCHEMA = "stream_id bigint, seq bigint, chunk binary, eos boolean, reason string"
 STATE_SCHEMA = (
     "next_seq bigint, carry binary, "
     "seqs array<bigint>, chunks array<binary>, ends array<boolean>"
 )
-
-_MARKER = TOKEN_MARKER.encode()
-_SUFFIX = TOKEN_SUFFIX.encode()
+ENDED = -1
+ENDED_SECONDS = 3600
 
 
-def holdback_index(data: bytes) -> int:
-    """Where an unfinished token at the end of ``data`` starts, or -1.
+def _beginnings() -> re.Pattern[bytes]:
+    """Matches a tail that is the beginning of a token and not yet a whole one.
 
-    Either the last marker with no close after it, unless it lies more than the
-    token limit back, or else the longest beginning of a marker the data ends on.
+    By the token's grammar: part of the marker; the marker and label characters, of
+    which the last may already be digits of the id; label and id with or without
+    the first closing bracket.
     """
-    start = data.rfind(_MARKER)
-    if (
-        start >= 0
-        and len(data) - start <= TOKEN_MAX_BYTES
-        and data.find(_SUFFIX, start) < 0
-    ):
-        return start
-    for size in range(len(_MARKER) - 1, 0, -1):
-        if data.endswith(_MARKER[:size]):
-            return len(data) - size
-    return -1
+    marker = ""
+    for char in reversed(TOKEN_MARKER[1:]):
+        marker = f"(?:{re.escape(char)}{marker})?"
+    label = f"[A-Z0-9_]{{1,{TOKEN_LABEL_LENGTH}}}_"
+    rest = "|".join(
+        (
+            f"[A-Z0-9_]{{0,{TOKEN_LABEL_LENGTH + 1 + TOKEN_ID_LENGTH}}}",
+            f"{label}[0-9a-f]{{1,{TOKEN_ID_LENGTH}}}",
+            f"{label}[0-9a-f]{{{TOKEN_ID_LENGTH}}}\\]",
+        )
+    )
+    whole = f"(?:{re.escape(TOKEN_MARKER)}(?:{rest})|{re.escape(TOKEN_MARKER[0])}{marker})\\Z"
+    return re.compile(whole.encode())
+
+
+_BEGINNING = _beginnings()
+
+
+def open_token_at(data: bytes) -> int:
+    """Where the longest tail of ``data`` starts that more bytes could make a token,
+    or the length of ``data`` when there is none."""
+    found = _BEGINNING.search(data, max(0, len(data) - TOKEN_MAX_BYTES + 1))
+    return found.start() if found else len(data)
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["stream_id", "seq", "chunk", "eos", "reason"])
 
 
-def _group_function(idle_ms: int | None):
+def _group_function(idle_ms: int | None, ended_ms: int):
+    def end(state) -> None:
+        state.update((ENDED, b"", [], [], []))
+        if idle_ms is not None:
+            state.setTimeoutDuration(ended_ms)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (stream_id,) = key
         next_seq, carry, pending = 0, b"", {}
@@ -60,14 +85,18 @@ def _group_function(idle_ms: int | None):
             }
 
         if state.hasTimedOut:
+            if next_seq == ENDED:
+                state.remove()
+                yield _rows([])
+                return
             # The end never came: give out all that is held, in order.
             rest = carry + b"".join(pending[s][0] for s in sorted(pending))
             last = max(pending, default=next_seq)
-            state.remove()
+            end(state)
             yield _rows([(stream_id, last, rest, True, "timeout")] if rest else [])
             return
 
-        ended = False
+        ended = next_seq == ENDED
         for pdf in batches:
             for seq, chunk, eos in zip(pdf["seq"], pdf["chunk"], pdf["eos"]):
                 if seq >= next_seq and not ended:
@@ -78,8 +107,8 @@ def _group_function(idle_ms: int | None):
             while next_seq in pending and not ended:
                 chunk, ended = pending.pop(next_seq)
                 data = carry + chunk
-                cut = -1 if ended else holdback_index(data)
-                ready, carry = (data, b"") if cut < 0 else (data[:cut], data[cut:])
+                cut = len(data) if ended else open_token_at(data)
+                ready, carry = data[:cut], data[cut:]
                 if ready or ended:
                     reason = "eos" if ended else "chunk"
                     out.append((stream_id, next_seq, ready, ended, reason))
@@ -87,7 +116,7 @@ def _group_function(idle_ms: int | None):
             yield _rows(out)
 
         if ended:
-            state.remove()
+            end(state)
             return
         order = sorted(pending)
         state.update(
@@ -105,7 +134,11 @@ def _group_function(idle_ms: int | None):
     return step
 
 
-def rechunk_stream(chunks: DataFrame, idle_seconds: int | None = 300) -> DataFrame:
+def rechunk_stream(
+    chunks: DataFrame,
+    idle_seconds: int | None = 300,
+    ended_seconds: int = ENDED_SECONDS,
+) -> DataFrame:
     """Streaming (stream_id, seq, chunk, eos) to chunks that hold only whole tokens.
 
     Chunks may arrive in any order; they are emitted in order of ``seq``, which
@@ -113,9 +146,11 @@ def rechunk_stream(chunks: DataFrame, idle_seconds: int | None = 300) -> DataFra
     input.  At ``eos`` everything is released; a stream that stays silent for
     ``idle_seconds`` is released too, marked ``reason='timeout'``.  Processing
     time is used for that, because an event-time watermark would make Spark drop
-    late chunks, and no text may be lost.  A query with such a timeout runs until
-    it is stopped; for an ``availableNow`` run pass ``idle_seconds=None``, and
-    streams without an end then stay in the state for the next run.
+    late chunks, and no text may be lost.  Chunks that come again after the end are
+    ignored for ``ended_seconds``, so a stream id must not be used anew before.
+    A query with such a timeout runs until it is stopped; for an ``availableNow``
+    run pass ``idle_seconds=None``: streams without an end, and the marks of
+    ended ones, then stay in the state for the next run.
     """
     timeout = (
         GroupStateTimeout.NoTimeout
@@ -131,7 +166,9 @@ def rechunk_stream(chunks: DataFrame, idle_seconds: int | None = 300) -> DataFra
         )
         .groupBy("stream_id")
         .applyInPandasWithState(
-            _group_function(None if idle_seconds is None else idle_seconds * 1000),
+            _group_function(
+                None if idle_seconds is None else idle_seconds * 1000, ended_seconds * 1000
+            ),
             OUT_SCHEMA,
             STATE_SCHEMA,
             "append",
