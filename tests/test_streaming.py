@@ -108,6 +108,12 @@ def test_blocks_depend_on_bytes_not_chunks(spark):
     assert first.count() > 5
 
 
+def test_chunks_without_a_place_fail_the_job(spark):
+    for row in [(None, 0, b"x", False), (1, None, b"x", False)]:
+        with pytest.raises(Exception, match="no stream_id or seq"):
+            rechunk_batch(spark.createDataFrame([row, (2, 0, b"y", True)], SCHEMA), 1000).collect()
+
+
 def stored(spark, rows, path, parts):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.lit(T0).cast("timestamp"))
     for remainder in range(parts):

@@ -83,6 +83,19 @@ def test_vault_table_replaces_a_replayed_batch(spark, work):
     assert [r.token for r in read_vault(spark, f"{work}/vault2").collect()] == ["a"]
 
 
+def test_vault_reads_only_days_that_can_be_live(spark, work):
+    path = f"{work}/vault"
+    days = [f"2026-01-{d:02d} 12:00:00" for d in range(1, 21)]
+    write_vault(entries(spark, [(d, d, d, d.replace("12:", "23:")) for d in days]), path, "a", 0)
+    now = "2026-01-20 13:00:00"
+    pruned = read_vault(spark, path, longest_ttl_seconds=12 * 3600, now=now)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(written_day" in plan
+    assert {r.token for r in pruned.collect()} <= set(days[-3:])
+    live = {r.token for r in vault_live(pruned, now).collect()}
+    assert live == {r.token for r in vault_live(read_vault(spark, path), now).collect()} == {days[-1]}
+
+
 def test_rows_of_one_key_or_none_are_not_mixed(spark):
     tok = lambda v: spark.range(1).select(F.expr(make_token("'P'", f"'{v}'", "s"))).first()[0]
     vault = entries(spark, [(tok("x"), "X", T0, T2), (tok("y"), "Y", T0, T2)])

@@ -25,40 +25,44 @@ _LATIN1 = "ISO-8859-1"
 
 
 def with_offsets(chunks: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
-    """Add the byte offset of each chunk in its stream, as ``_offset``.
+    """Add the byte offset of each chunk in its stream, as ``_offset``, and ``_len``.
 
-    A running sum in two levels: per range of ``seq`` values, then inside each
-    range.  The per-stream step sees one number per range, not the chunks.
-    A repeated (stream_id, seq) counts once.
+    The sums see sizes only: (stream_id, seq, length) is cut loose from the bytes,
+    summed per range of ``seq`` values and then inside each range, and joined back.
+    Bytes cross the network once for that join, spread by (stream_id, seq).
+    A chunk delivered again repeats its bytes and keeps its place.  A chunk without a
+    stream or a sequence number has no place, and fails the job rather than vanish.
     """
-    sized = chunks.withColumns(
-        {
-            "_range": F.expr(f"seq div {seq_range}"),
-            "_len": F.octet_length("chunk").cast("long"),
-        }
+    lost = F.col("stream_id").isNull() | F.col("seq").isNull()
+    chunks = chunks.withColumn(
+        "stream_id",
+        F.when(lost, F.raise_error(F.lit("a chunk has no stream_id or seq"))).otherwise(
+            F.col("stream_id")
+        ),
     )
-    in_range = Window.partitionBy("stream_id", "_range").orderBy("seq")
-    unique = sized.withColumn("_again", F.lag("seq").over(in_range)).where(
-        F.col("_again").isNull() | (F.col("_again") != F.col("seq"))
+    sizes = (
+        chunks.groupBy("stream_id", "seq")
+        .agg(F.max(F.octet_length("chunk")).cast("long").alias("_len"))
+        .withColumn("_range", F.expr(f"seq div {seq_range}"))
     )
-    local = unique.withColumn(
-        "_local", F.sum("_len").over(in_range) - F.col("_len")
-    ).drop("_again")
+    in_range = Window.partitionBy("stream_id", "_range").orderBy("seq")
+    local = sizes.withColumn("_local", F.sum("_len").over(in_range) - F.col("_len"))
     earlier = (
         Window.partitionBy("stream_id")
         .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ranges = (
-        local.groupBy("stream_id", "_range")
+        sizes.groupBy("stream_id", "_range")
         .agg(F.sum("_len").alias("_range_len"))
         .withColumn("_base", F.coalesce(F.sum("_range_len").over(earlier), F.lit(0)))
         .drop("_range_len")
     )
-    return (
-        local.join(ranges, ["stream_id", "_range"])
-        .withColumn("_offset", F.col("_base") + F.col("_local"))
-        .drop("_range", "_local", "_base")
+    placed = local.join(ranges, ["stream_id", "_range"]).select(
+        "stream_id", "seq", "_len", (F.col("_base") + F.col("_local")).alias("_offset")
+    )
+    return chunks.join(placed, ["stream_id", "seq"]).where(
+        F.octet_length("chunk") == F.col("_len")
     )
 
 
@@ -106,7 +110,7 @@ def rechunk_batch(
 
     # One character per byte, so positions are byte positions and any bytes survive.
     joined = pieces.groupBy("stream_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("parts")
+        F.array_sort(F.collect_set(F.struct("at", "bytes"))).alias("parts")
     )
     texts = joined.select(
         "stream_id",

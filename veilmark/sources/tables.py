@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.operators.vault import VAULT_SCHEMA
+from veilmark.operators.vault import VAULT_SCHEMA, as_timestamp
 
 REQUEST_SCHEMA = "body_id bigint, body string"
 CHUNK_SCHEMA = "stream_id bigint, seq bigint, chunk binary, eos boolean, ts timestamp"
 COMPACTED = "-compacted-"
 LAYOUT = ["writer_id", "batch_id"]
-VAULT_TABLE_SCHEMA = f"{VAULT_SCHEMA}, writer_id string, batch_id bigint"
+VAULT_LAYOUT = ["written_day", *LAYOUT]
+VAULT_TABLE_SCHEMA = f"{VAULT_SCHEMA}, written_day date, writer_id string, batch_id bigint"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -143,7 +145,11 @@ def kafka_chunks(spark: SparkSession, **options: str) -> DataFrame:
 
 
 def _batch_writer(
-    df: DataFrame, writer_id: str, batch_id: int, format: str
+    df: DataFrame,
+    writer_id: str,
+    batch_id: int,
+    format: str,
+    layout: list[str] = LAYOUT,
 ) -> DataFrameWriter:
     if not writer_id:
         raise ValueError("a writer id is needed: who else may write to this table?")
@@ -152,7 +158,7 @@ def _batch_writer(
             {"writer_id": F.lit(writer_id), "batch_id": F.lit(batch_id).cast("bigint")}
         )
         .write.format(format)
-        .partitionBy(*LAYOUT)
+        .partitionBy(*layout)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
     )
@@ -182,20 +188,38 @@ def write_chunks(
     _batch_writer(df, writer_id, batch_id, format).save(path)
 
 
-def read_vault(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """All vault rows; pass to ``vault_live`` and the operators that use it."""
-    return (
-        spark.read.schema(VAULT_TABLE_SCHEMA).format(format).load(path).drop(*LAYOUT)
-    )
+def read_vault(
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    longest_ttl_seconds: int | None = None,
+    now: datetime | str | Column | None = None,
+) -> DataFrame:
+    """Vault rows; pass to ``vault_live`` and the operators that use it.
+
+    With ``longest_ttl_seconds``, the longest life that any writer of this vault gives
+    a token, only the days are listed and read whose rows can still be live at
+    ``now``.  Older rows can neither live nor hide a live row, so the answer is the
+    same.  (A day more is read, for writers in other time zones.)
+    """
+    rows = spark.read.schema(VAULT_TABLE_SCHEMA).format(format).load(path)
+    if longest_ttl_seconds is not None:
+        ago = F.make_dt_interval(secs=F.lit(longest_ttl_seconds))
+        first = F.date_sub(F.to_date(as_timestamp(now) - ago), 1)
+        rows = rows.where(F.col("written_day") >= first)
+    return rows.drop(*VAULT_LAYOUT)
 
 
 def write_vault(
     entries: DataFrame, path: str, writer_id: str, batch_id: int, format: str = "parquet"
 ) -> None:
     """Append vault rows as batch ``batch_id`` of ``writer_id``, replacing that batch if
-    present.  Jobs that share a vault need writer ids of their own, or one lineage of
+    present.  The rows lie by day of writing.  Written again with other times, a batch
+    leaves its old rows in their days: repeats of the same mappings, which do no harm.
+    Jobs that share a vault need writer ids of their own, or one lineage of
     batch ids between them."""
-    _batch_writer(entries, writer_id, batch_id, format).save(path)
+    entries = entries.withColumn("written_day", F.to_date("written_at"))
+    _batch_writer(entries, writer_id, batch_id, format, VAULT_LAYOUT).save(path)
 
 
 def compact_vault(

@@ -57,12 +57,19 @@ def rehydrate_stream(
     checkpoint: str,
     idle_seconds: int | None = 300,
     now: datetime | str | None = None,
+    longest_ttl_seconds: int | None = None,
 ) -> DataStreamWriter:
     """Writer to start: re-cut live chunks, then restore them against the vault
-    as it is at each micro-batch."""
+    as it is at each micro-batch.  ``longest_ttl_seconds`` spares it the days whose
+    tokens have all expired, see ``read_vault``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        vault = read_vault(batch.sparkSession, vault_path)
+        vault = read_vault(
+            batch.sparkSession,
+            vault_path,
+            longest_ttl_seconds=longest_ttl_seconds,
+            now=now,
+        )
         # One computation of the stateful output serves all branches of the join.
         batch.persist()
         try:
