@@ -19,6 +19,7 @@ from veilmark.operators.detect import (
     ingest_analyzer_findings,
     ingest_inspect_findings,
 )
+from veilmark.operators.terms import detect_terms
 from veilmark.options import Options
 
 
@@ -257,3 +258,23 @@ def test_dense_texts_take_time_in_proportion_to_their_matches(spark):
 
     seconds(40_000)
     assert seconds(40_000) < 10
+
+
+def test_terms_of_a_table_against_search(spark):
+    rng = random.Random(8)
+    letters = "aábü🙂 "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    terms = {word(rng.choice([1, 2, 3, 4, 5, 9])): rng.choice(["P", "Q"]) for _ in range(60)}
+    texts = [word(rng.randint(0, 80)) for _ in range(60)] + [None, "", "aá" * 40]
+    texts += texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([*terms.items(), (None, "P"), ("", "P")], "term string, entity_type string")
+    for r in detect_terms(df, table).collect():
+        text = texts[r.id]
+        got = None if r.findings is None else [(f.start, f.end, f.entity_type) for f in r.findings]
+        want = None if text is None else sorted(
+            (k, k + len(t), e) for t, e in terms.items()
+            for k in range(len(text)) if text.startswith(t, k)
+        )
+        assert got == want and r.detect_error is None
+    assert detect_terms(df, table.where("false")).where("size(findings) > 0").count() == 0

@@ -283,6 +283,13 @@ def oracle_sql() -> dict[str, str]:
         "rehydrate_documents": documents,
         "rehydrate_repeated_keys": documents,
         "vault_compact_then_write": _live(NOW),
+        "detect_terms": """
+            WITH named AS (SELECT o_orderkey, c_name, length(c_name)::INTEGER AS n
+                           FROM orders JOIN customer ON o_custkey = c_custkey),
+            spans AS (SELECT o_orderkey, 3 AS start, n FROM named
+                      UNION ALL SELECT o_orderkey, 4 + n, n FROM named)
+            SELECT o_orderkey, 'PERSON' AS entity_type, start::INTEGER AS start,
+                   (start + n)::INTEGER AS "end", 0.9::DOUBLE AS score FROM spans""",
         "vault_two_writers": f"{_TIMED_VAULT} SELECT {_SHOWN} FROM timed",
         "rehydrate_partly_expired": f"""WITH RECURSIVE {_documents_spans()}, {_choose()},
             {_splice('documents', 'doc_id', 'text',

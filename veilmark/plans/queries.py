@@ -37,6 +37,7 @@ from veilmark.operators.detect import (
 )
 from veilmark.operators.redact import extract_mappings, redact, redact_columns
 from veilmark.operators.rehydrate import rehydrate, tokens_long
+from veilmark.operators.terms import detect_terms
 from veilmark.operators.vault import (
     detokenize,
     vault_get,
@@ -292,6 +293,16 @@ def detokenize_orders(spark, sf_dir):
     )
 
 
+def detect_terms_orders(spark, sf_dir):
+    """All customer names, as a table of terms, in a line of text per order."""
+    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    named = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    line = F.concat(F.lit("né "), "c_name", F.lit("/"), "c_name", F.lit(" sent "), "o_orderkey")
+    terms = customer.select(F.col("c_name").alias("term"), F.lit("PERSON").alias("entity_type"))
+    found = detect_terms(named.select("o_orderkey", line.alias("text")), terms)
+    return findings_long(found, "o_orderkey")
+
+
 def vault_two_writers(spark, sf_dir):
     """Two jobs write batch 0 of one vault, one of them twice: all mappings stay."""
     path = f"{new_folder(spark)}/vault"
@@ -671,6 +682,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rehydrate_chunks_batch": rehydrate_chunks_documents,
         "rechunk_stream": rechunk_stream_documents,
         "rehydrate_stream": rehydrate_stream_documents,
+        "detect_terms": detect_terms_orders,
         "vault_two_writers": vault_two_writers,
         "vault_compact_then_write": vault_compact_then_write,
         "rehydrate_repeated_keys": rehydrate_repeated_keys,
