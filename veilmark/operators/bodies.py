@@ -44,7 +44,7 @@ def rebuild_bodies(
     Pass only changed texts: bodies without any keep their exact bytes and do
     not reach Python.  The texts of one body are grouped; a body bounds its group.
     ``body_id`` must tell bodies apart: a new text whose id is null, or belongs to
-    several bodies, fails the job, because it could land in another's body.
+    several different bodies, fails the job, because it could land in another's body.
     """
     new_id = F.when(
         F.col(body_id).isNull(), F.raise_error(F.lit("a new text has no body id"))
@@ -53,10 +53,12 @@ def rebuild_bodies(
     grouped = texts.groupBy(body_id).agg(
         F.collect_list(F.struct("path", "pos", "part_pos", "text")).alias("_new")
     )
+    digest = F.sha2(F.col(body).cast("binary"), 256)
     several = (
-        requests.groupBy(body_id).count().where("count > 1").select(
-            body_id, F.lit(True).alias("_several")
-        )
+        requests.groupBy(body_id)
+        .agg(F.min(digest).alias("_least"), F.max(digest).alias("_most"))
+        .where("_least <> _most")
+        .select(body_id, F.lit(True).alias("_several"))
     )
     joined = requests.join(grouped.join(several, body_id, "left"), body_id, "left")
     touched = F.col("_new").isNotNull() & F.when(

@@ -75,14 +75,14 @@ def read_requests(
     """Request bodies, one per row.
 
     ``format='text'`` reads one body per line (``wholetext='true'`` in options:
-    one per file); the file name then stands in for an id.
+    one per file); the id is then the file name and the start of the body's digest, so
+    only equal bodies of one file share an id.
     """
     if format == "text":
-        return (
-            spark.read.options(**options)
-            .text(path)
-            .select(F.input_file_name().alias("body_id"), F.col("value").alias("body"))
-        )
+        digest = F.substring(F.sha2(F.col("value").cast("binary"), 256), 1, 16)
+        name = F.concat_ws("#", F.input_file_name(), digest)
+        lines = spark.read.format("text").options(**options).load(path)
+        return lines.select(name.alias("body_id"), F.col("value").alias("body"))
     return spark.read.schema(schema).format(format).options(**options).load(path)
 
 
