@@ -290,6 +290,19 @@ def oracle_sql() -> dict[str, str]:
                       UNION ALL SELECT o_orderkey, 4 + n, n FROM named)
             SELECT o_orderkey, 'PERSON' AS entity_type, start::INTEGER AS start,
                    (start + n)::INTEGER AS "end", 0.9::DOUBLE AS score FROM spans""",
+        "detect_by_name_regex": _detect(),
+        "sanitize_prompts": f"""
+            SELECT doc_id, concat('{{ "n" : 1.50, "prompt":"',
+                     CASE doc_id % 3 WHEN 0 THEN source || ' ' || {_token(
+                         "'EMAIL_ADDRESS'", "'a' || doc_id || '@b.co'")}
+                       WHEN 1 THEN '   ' ELSE 'né ' || source END,
+                     '" , "x":12345678901234567890}}') AS body,
+                   CASE doc_id % 3 WHEN 0 THEN 'redacted' ELSE 'unchanged' END AS status
+            FROM documents""",
+        "rechunk_small_blocks": f"""{_REDACTED_DOCUMENTS}
+            SELECT key AS stream_id, strlen(text)::BIGINT AS bytes,
+                   len(regexp_extract_all(text, {_quote(TOKEN_PATTERN)}))::BIGINT AS tokens
+            FROM redacted WHERE length(text) > 0""",
         "vault_two_writers": f"{_TIMED_VAULT} SELECT {_SHOWN} FROM timed",
         "rehydrate_partly_expired": f"""WITH RECURSIVE {_documents_spans()}, {_choose()},
             {_splice('documents', 'doc_id', 'text',

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.entities import canonical_entity, likelihood_score
 from veilmark.functions.exprs import inline_rows
 from veilmark.functions.spans import allow_entities, filter_score, select_spans
-from veilmark.functions.tokens import make_token, normalize_entity
+from veilmark.functions.tokens import find_tokens, make_token, normalize_entity
 from veilmark.operators.bodies import (
     extract_texts,
     rebuild_bodies,
@@ -28,6 +28,7 @@ from veilmark.operators.chunks import (
     rehydrate_chunks_batch,
 )
 from veilmark.operators.detect import (
+    detect,
     detect_dictionary,
     detect_regex,
     detect_with,
@@ -564,6 +565,49 @@ def rebuild_bodies_documents(spark, sf_dir):
     return _fields_of(rebuild_bodies(bodies, shorter))
 
 
+def sanitize_prompts(spark, sf_dir):
+    """``prompt`` bodies compared byte by byte: with an address, blank, and plain."""
+    number = F.col("doc_id")
+    text = (
+        F.when(number % 3 == 0, F.concat("source", F.lit(" a"), number, F.lit("@b.co")))
+        .when(number % 3 == 1, F.lit("   "))
+        .otherwise(F.concat(F.lit("né "), "source"))
+    )
+    body = F.concat(
+        F.lit('{ "n" : 1.50, "prompt":"'), text, F.lit('" , "x":12345678901234567890}')
+    )
+    requests = _table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return sanitize_requests(requests, REGEX).select("doc_id", "body", "status")
+
+
+def _findings_by_name(spark, sf_dir, options: Options) -> DataFrame:
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id")
+    return findings_long(detect(docs, options), "doc_id")
+
+
+def detect_by_name_regex(spark, sf_dir):
+    return _findings_by_name(spark, sf_dir, REGEX)
+
+
+def rechunk_small_blocks(spark, sf_dir):
+    """Streams of many blocks: no byte is lost, and no block cuts a token."""
+    chunks, _ = _document_chunks(spark, sf_dir, 120)
+    blocks = rechunk_batch(chunks, 1024)
+    tokens = f"size({find_tokens('text')})"
+    return (
+        _as_text_bytes(blocks)
+        .groupBy("stream_id")
+        .agg(F.sum("bytes").alias("bytes"), F.sum(F.expr(tokens)).alias("tokens"))
+        .where("bytes > 0")
+    )
+
+
+def _as_text_bytes(blocks: DataFrame) -> DataFrame:
+    # a block may cut a character, never a token; tokens are ASCII
+    text = F.decode("chunk", "ISO-8859-1").alias("text")
+    return blocks.select("stream_id", F.octet_length("chunk").alias("bytes"), text)
+
+
 def _document_chunks(spark, sf_dir, chars: int) -> tuple[DataFrame, DataFrame]:
     redacted = _stored_documents(spark, sf_dir)
     return chunk_texts(redacted, "doc_id", "text", chars), redacted
@@ -683,6 +727,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rechunk_stream": rechunk_stream_documents,
         "rehydrate_stream": rehydrate_stream_documents,
         "detect_terms": detect_terms_orders,
+        "detect_by_name_regex": detect_by_name_regex,
+        "sanitize_prompts": sanitize_prompts,
+        "rechunk_small_blocks": rechunk_small_blocks,
         "vault_two_writers": vault_two_writers,
         "vault_compact_then_write": vault_compact_then_write,
         "rehydrate_repeated_keys": rehydrate_repeated_keys,
