@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilmark.llm.common import join_groups, stored
 
@@ -210,30 +209,39 @@ def text_of(blocks: list, path: tuple[str, ...]) -> str:
 SEPARATOR = ">"
 
 
-def page_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): each page's container, weighed by its text."""
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, path, pages): the path with most votes of each host, and its page count.
+
+    A page votes for its container, by the square root of its text's length, so a
+    few long pages do not outvote the rest.  Votes are summed per (host, path), in
+    each task first, and the best path of a host is an aggregate too: neither a host of
+    many pages nor one of many paths meets in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                scores = scores_of(blocks_of(page))
+            paths, votes = [], []
+            for page in batch.column(1).to_pylist():
+                scores = scores_of(blocks_of(page or ""))
                 path = container(scores)
-                if path:
-                    rows.append((host, SEPARATOR.join(path), scores[path] ** 0.5))
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            kinds = (pa.string(), pa.string(), pa.float64())
+                paths.append(SEPARATOR.join(path) if path else None)
+                # whole numbers: their sum does not depend on the order of rows
+                votes.append(round(scores[path] ** 0.5) if path else 0)
             yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                [batch.column(0), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
                 names=["host", "path", "votes"],
             )
 
-    votes = pages.where("host is not null and html is not null").select("host", "html")
-    return (
-        votes.mapInArrow(run, "host string, path string, votes double")
+    voted = (
+        pages.where("host is not null")
+        .select("host", "html")
+        .mapInArrow(run, "host string, path string, votes long")
         .groupBy("host", "path")
-        # whole numbers: the sum does not depend on the order of rows
-        .agg(F.sum(F.round("votes").cast("long")).alias("votes"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n"))
+    )
+    best = F.min(F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), "path")))
+    return voted.groupBy("host").agg(best.alias("best"), F.sum("n").alias("pages")).select(
+        "host", "best.path", "pages"
     )
 
 
@@ -261,22 +269,9 @@ def extract_text(
             F.lit(""),
         ).alias("host"),
     )
-    by_votes = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    hosts = (
-        page_votes(rows)
-        .withColumn("total", F.sum("n").over(Window.partitionBy("host")))
-        .withColumn("place", F.row_number().over(by_votes))
-        .where("place = 1")
-        .select("host", "path", "total")
-    )
-    hosts = stored(hosts, "host-paths")
-    every = rows.select("host").where("host is not null").groupBy("host").count()
-    hosts = stored(
-        every.join(hosts.drop("total"), "host", "left").select("host", "path", F.col("count").alias("total")),
-        "host-paths",
-    )
+    hosts = stored(host_paths(rows), "host-paths")
     named = join_groups(
-        rows.where("host is not null"), hosts, "host", "total", F.xxhash64("page_id", "url")
+        rows.where("host is not null"), hosts, "host", "pages", F.xxhash64("page_id", "url")
     ).select("page_id", "url", "html", "path")
     unnamed = rows.where("host is null").select(
         "page_id", "url", "html", F.lit(None).cast("string").alias("path")
