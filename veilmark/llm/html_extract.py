@@ -1,12 +1,13 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Method: consensus host paths.  Every page scores its containers, named by their path
-of tags and generalised classes.  The scores are votes, summed per host in Spark;
-the winning path of a host then selects the text of each of its pages.
+of tags and generalised classes.  The scores are votes, summed per host and template in
+Spark; the winning path of a template then selects the text of each of its pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -59,7 +60,16 @@ ATTRIBUTE = re.compile(
 )
 WORD = re.compile(r"[a-z]+")
 SEMANTIC = {"article", "main"}
+ROOTS = {"html", "body"}
+# elements that hold text of the container around them
+FLOW = {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd",
+    "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr",
+    "th", "td", "details", "summary", "address",
+}
+TABLES = {"table", "thead", "tbody", "tfoot", "tr", "th", "td"}
 COVER = 0.9
+MOST = 0.5
 
 
 def step_of(tag: str, attributes: str) -> tuple[str, bool]:
@@ -81,16 +91,19 @@ def step_of(tag: str, attributes: str) -> tuple[str, bool]:
     return tag + name, barred
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, linked characters) of each block outside barred parts.
+def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+    """(path, text, linked characters, article) of each block outside barred parts.
+
+    ``article`` numbers the outermost article or main element around it, 0 is none.
 
     White space within a block is one space.  Tags that are not closed end with their
     parent; a comment or tag that the page's end cuts off is dropped.
     """
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, barred here or above
+    found: list[tuple[tuple[str, ...], str, int, int]] = []
+    # tag, step, barred here or above, number of the outermost article
+    stack: list[tuple[str, str, bool, int]] = []
     texts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = articles = 0
     at, size = 0, len(page)
 
     def end_block() -> None:
@@ -98,17 +111,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text and not (stack and stack[-1][2]):
-                path = tuple(s for t, s, _ in stack if t in BLOCKS)
-                found.append((path, text, linked))
+                path = tuple(s for t, s, _, _ in stack if t in BLOCKS)
+                found.append((path, text, linked, stack[-1][3] if stack else 0))
             texts.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal in_link
-        end_block_needed = any(t in BLOCKS for t, _, _ in stack[k:])
+        end_block_needed = any(t in BLOCKS for t, *_ in stack[k:])
         if end_block_needed:
             end_block()
-        for tag, _, _ in stack[k:]:
+        for tag, *_ in stack[k:]:
             in_link -= tag == "a"
         del stack[k:]
 
@@ -165,99 +178,219 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         step, barred = step_of(tag, attributes)
-        stack.append((tag, step, barred or bool(stack and stack[-1][2])))
+        article = stack[-1][3] if stack else 0
+        if tag in SEMANTIC:
+            articles += 1
+            article = article or articles
+        stack.append((tag, step, barred or bool(stack and stack[-1][2]), article))
         in_link += tag == "a"
     end_block()
     return found
 
 
-def scores_of(blocks: list) -> dict[tuple[str, ...], float]:
-    """Score of each container: the unlinked text at or below it."""
-    scores: dict[tuple[str, ...], float] = {}
-    for path, text, linked in blocks:
-        worth = max(0, len(text) - 2 * linked)
+class Scores(dict[tuple[str, ...], float]):
+    """Score of each container: the unlinked text at or below it; and the blocks."""
+
+    blocks: list
+    whole: float
+
+
+def worth_of(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked)
+
+
+def scores_of(blocks: list) -> Scores:
+    scores = Scores()
+    scores.blocks, scores.whole = blocks, 0.0
+    for path, text, linked, _ in blocks:
+        worth = worth_of(text, linked)
+        scores.whole += worth
         for k in range(1, len(path) + 1):
             scores[path[:k]] = scores.get(path[:k], 0.0) + worth
     return scores
 
 
-def container(scores: dict[tuple[str, ...], float]) -> tuple[str, ...]:
-    """The deepest container with nearly all of the page's text, or the article that
-    encloses it."""
-    whole = max((v for k, v in scores.items() if len(k) == 1), default=0.0)
-    # text outside every element scores nowhere; then the page is the container
+def tag_of(step: str) -> str:
+    return step.partition(".")[0]
+
+
+def article_end(path: tuple[str, ...]) -> int:
+    """Length of the path to its outermost article or main, 0 without one."""
+    return next((k + 1 for k, step in enumerate(path) if tag_of(step) in SEMANTIC), 0)
+
+
+def climb(blocks: list, path: tuple[str, ...]) -> tuple[str, ...]:
+    """The outermost container around ``path`` whose further text is not mostly links.
+
+    Neither the body, which holds all sections of a page, nor what is around an article is
+    climbed to; a container without further text adds nothing and is not climbed to.
+    """
+    n = len(path)
+    if article_end(path):
+        return path
+    texts, links = [0] * (n + 1), [0] * (n + 1)
+    for at, text, linked, _ in blocks:
+        if at[:n] != path:
+            k = 0
+            while k < len(at) and at[k] == path[k]:
+                k += 1
+            texts[k] += len(text)
+            links[k] += linked
+    more = linked = 0
+    best = n
+    for k in range(n - 1, 0, -1):
+        if path[k - 1] and tag_of(path[k - 1]) in ROOTS:
+            break
+        more += texts[k]
+        linked += links[k]
+        if texts[k] and 2 * linked <= more:
+            best = k
+    return path[:best]
+
+
+def container(scores: Scores) -> tuple[str, ...]:
+    """The container of the page's text.
+
+    From the deepest path with nearly all of the text, out of elements that are text
+    themselves, to the article that encloses it or as far as ``climb`` goes.  A single
+    article elsewhere is the container when it alone holds most of the text.
+    """
     best: tuple[str, ...] = ()
     for path, score in scores.items():
-        if len(path) > len(best) and score >= COVER * whole and score > 0:
+        if len(path) > len(best) and score >= COVER * scores.whole and score > 0:
             best = path
-    if best and best[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre"):
+    if best and tag_of(best[-1]) == "td":
         best = best[:-1]
-    for k, step in enumerate(best):
-        if step.split(".")[0] in SEMANTIC:
-            return best[: k + 1]
-    articles = [p for p in scores if p[-1].split(".")[0] in SEMANTIC]
-    if articles:
-        return max(articles, key=lambda p: (scores[p], -len(p)))
-    return best
+    while best and tag_of(best[-1]) in FLOW - TABLES:
+        best = best[:-1]
+    end = article_end(best)
+    if end:
+        return best[:end]
+    single: dict[int, int] = {}
+    paths: dict[int, tuple[str, ...]] = {}
+    for path, text, linked, article in scores.blocks:
+        if article:
+            single[article] = single.get(article, 0) + worth_of(text, linked)
+            paths[article] = path[: article_end(path)]
+    if single:
+        most = max(single, key=lambda k: (single[k], -k))
+        if single[most] > MOST * scores.whole:
+            return paths[most]
+    return climb(scores.blocks, best)
+
+
+def in_flow(at: tuple[str, ...], path: tuple[str, ...]) -> bool:
+    """Whether a block is text that stands directly in a container around ``path``."""
+    k = 0
+    while k < len(at) and k < len(path) and at[k] == path[k]:
+        k += 1
+    return all(tag_of(step) in FLOW for step in at[k:])
 
 
 def text_of(blocks: list, path: tuple[str, ...]) -> str:
+    """Text of the blocks below ``path``, and of headings, paragraphs and lists directly in
+    the containers around it unless they are mostly links; empty if none is below."""
     n = len(path)
-    return "\n".join(text for at, text, _ in blocks if at[:n] == path)
+    if not any(at[:n] == path for at, *_ in blocks):
+        return ""
+    return "\n".join(
+        text
+        for at, text, linked, _ in blocks
+        if at[:n] == path or (2 * linked <= len(text) and in_flow(at, path))
+    )
+
+
+def template_of(blocks: list) -> str:
+    """Digest of the sections that hold text, as far as two below the body.
+
+    Pages of one template have the same sections; the elements of running text do not count.
+    """
+    sections = set()
+    for path, *_ in blocks:
+        n = next((k for k, step in enumerate(path) if tag_of(step) in FLOW), len(path))
+        roots = sum(tag_of(step) in ROOTS for step in path[:2])
+        sections.add(path[: min(n, roots + 2)])
+    written = "\n".join(sorted(SEPARATOR.join(path) for path in sections))
+    return hashlib.blake2b(written.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 SEPARATOR = ">"
 
 
+def site_of(host: str, blocks: list) -> str:
+    return f"{host} {template_of(blocks)}"
+
+
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, pages): the path with most votes of each host, and its page count.
+    """(site, path, pages): the path with most votes of each host's template, and its pages.
 
-    A page votes for its container, by the square root of its text's length, so a
-    few long pages do not outvote the rest.  Votes are summed per (host, path), in
-    each task first, and the best path of a host is an aggregate too: neither a host of
+    ``site`` is ``site_of`` the page.  A page votes for its container, by the square root of its text's length, so a
+    few long pages do not outvote the rest.  Votes are summed per (site, path), in
+    each task first, and the best path of a site is an aggregate too: neither a host of
     many pages nor one of many paths meets in one task.
     """
 
+    kinds = (pa.string(), pa.string(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, votes = [], []
-            for page in batch.column(1).to_pylist():
-                scores = scores_of(blocks_of(page or ""))
+            sites, paths, votes = [], [], []
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for host, page in pairs:
+                blocks = blocks_of(page or "")
+                sites.append(site_of(host, blocks))
+                scores = scores_of(blocks)
                 path = container(scores)
                 paths.append(SEPARATOR.join(path) if path else None)
                 # whole numbers: their sum does not depend on the order of rows
                 votes.append(round(scores[path] ** 0.5) if path else 0)
             yield pa.record_batch(
-                [batch.column(0), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
-                names=["host", "path", "votes"],
+                [pa.array(x, t) for x, t in zip((sites, paths, votes), kinds, strict=True)],
+                names=["site", "path", "votes"],
             )
 
     voted = (
         pages.where("host is not null")
         .select("host", "html")
-        .mapInArrow(run, "host string, path string, votes long")
-        .groupBy("host", "path")
+        .mapInArrow(run, "site string, path string, votes long")
+        .groupBy("site", "path")
         .agg(F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n"))
     )
     best = F.min(F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), "path")))
-    return voted.groupBy("host").agg(best.alias("best"), F.sum("n").alias("pages")).select(
-        "host", "best.path", "pages"
+    return voted.groupBy("site").agg(best.alias("best"), F.sum("n").alias("pages")).select(
+        "site", "best.path", "pages"
     )
 
 
+def with_sites(rows: DataFrame) -> DataFrame:
+    """(page_id, url, html, site) of rows that have a host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            sites = [site_of(host, blocks_of(page or "")) for page, host in pairs]
+            yield pa.record_batch(
+                [*batch.columns[:3], pa.array(sites, pa.string())],
+                names=["page_id", "url", "html", "site"],
+            )
+
+    return rows.mapInArrow(run, "page_id long, url string, html string, site string")
+
+
 def extract_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, url, text): one row per input row.
 
-    Blocks below the winning container of the page's host, in page order, one per
-    line; character references are decoded, white space inside a block is one space.
-    A page that has nothing there, or whose url is null or names no host, uses its
-    own best container.  A null or empty html, and one without text outside the
+    Blocks below the winning container of the page's host and template, in page order, one
+    per line; character references are decoded, white space inside a block is one space.
+    The container is widened in each page as ``climb`` says, and text that stands directly
+    in the containers around it (``text_of``) belongs to it.  A page that has nothing
+    there, or whose url is null or names no host, uses its own best container.  A null or empty html, and one without text outside the
     barred parts, gives the empty text.  Ids may be null or repeat; other columns are
     not looked at.  Of paths with equal votes the first by name wins.
 
-    A host with more than 1/1024 of the pages is spread over several join cells.
+    A site with more than 1/1024 of the pages is spread over several join cells.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(
@@ -271,7 +404,8 @@ def extract_text(
     )
     hosts = stored(host_paths(rows), "host-paths")
     named = join_groups(
-        rows.where("host is not null"), hosts, "host", "pages", F.xxhash64("page_id", "url")
+        with_sites(rows.where("host is not null").select("page_id", "url", "html", "host")),
+        hosts, "site", "pages", F.xxhash64("page_id", "url"),
     ).select("page_id", "url", "html", "path")
     unnamed = rows.where("host is null").select(
         "page_id", "url", "html", F.lit(None).cast("string").alias("path")
@@ -283,7 +417,7 @@ def extract_text(
             pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for page, path in pairs:
                 blocks = blocks_of(page or "")
-                text = text_of(blocks, tuple(path.split(SEPARATOR))) if path else ""
+                text = text_of(blocks, climb(blocks, tuple(path.split(SEPARATOR)))) if path else ""
                 texts.append(text or text_of(blocks, container(scores_of(blocks))))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())],
