@@ -23,6 +23,7 @@ GRAMS = 100_000
 ORDER = 5
 KEPT = 250_000
 NO_LANGUAGE = "und"
+NO_LETTER, NO_MODEL = "rejected: no letter", "no model"
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -53,11 +54,15 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the share of the evidence's posterior."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, str | None]:
+        """(language, score, why there is no language)."""
         found = RUN.findall((text or "").lower())
         if not found or not any(any(c.isalpha() for c in w) for w in set(found)):
-            return NO_LANGUAGE, 0.0
+            return NO_LANGUAGE, 0.0, NO_LETTER
         if not self.languages:
-            return NO_LANGUAGE, 0.0
+            return NO_LANGUAGE, 0.0, NO_MODEL
         table = self.table
         if table is None:
             table = self.table = Memory(self.word, KEPT)
@@ -68,7 +73,7 @@ class LanguageModel:
         mean /= np.sqrt(len(found))
         weights = np.exp(mean - mean.max())
         best = int(np.argmax(weights))
-        return self.languages[best], float(weights[best] / weights.sum())
+        return self.languages[best], float(weights[best] / weights.sum()), None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "table": None}
@@ -146,39 +151,48 @@ def train(
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel, *keep: Column | str, text_col: str = "text"
+    docs: DataFrame,
+    model: LanguageModel,
+    *keep: Column | str,
+    text_col: str = "text",
+    reason: str | None = None,
 ) -> DataFrame:
     """Columns ``keep`` with lang_pred and score, one row per input row.
 
     Whole texts are read.  A text that is null or has no letter is ``und`` with score
-    0; so is every text when the model was trained on nothing.  The score is between
+    0; so is every text when the model was trained on nothing.  A column named by ``reason``
+    tells them apart: ``NO_LETTER``, ``NO_MODEL``, or null for a language.  The score is between
     0 and 1.  Columns that are not kept are not looked at.  Equal posteriors go to the language that comes first by name.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept = rows.drop("_text").schema
-    if {"lang_pred", "score", "_text"} & {f.name for f in kept}:
+    added = ["lang_pred", "score"] + ([reason] if reason else [])
+    if {*added, "_text"} & {f.name for f in kept}:
         raise ValueError("kept columns must not be named like the result's")
-    names = [f.name for f in kept] + ["lang_pred", "score"]
+    names = [f.name for f in kept] + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for start, stop in text_blocks([t or "" for t in texts]):
-                found = [work.predict(t) for t in texts[start:stop]]
+                found = [work.judge(t) for t in texts[start:stop]]
                 part = batch.slice(start, stop - start)
                 yield pa.record_batch(
                     [part.column(k) for k in range(part.num_columns - 1)]
                     + [
-                        pa.array([x for x, _ in found], pa.string()),
-                        pa.array([x for _, x in found], pa.float64()),
-                    ],
+                        pa.array([x for x, _, _ in found], pa.string()),
+                        pa.array([x for _, x, _ in found], pa.float64()),
+                        pa.array([x for _, _, x in found], pa.string()),
+                    ][: len(added)],
                     names=names,
                 )
 
     schema = kept.add("lang_pred", "string").add("score", "double")
+    if reason:
+        schema = schema.add(reason, "string")
     return rows.mapInArrow(run, schema)
 
 
