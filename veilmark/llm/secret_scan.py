@@ -1,10 +1,12 @@
 """Secrets in texts: three patterns, and a battery of randomness tests.
 
 Method: randomness test battery.  A candidate is a long unbroken run of key
-characters.  Its encoding (hexadecimal, base32, letters and digits, base64) is inferred from
-its characters.  Three tests ask how well the null hypothesis "a word of the corpus"
+characters; parts of a run that a pattern covers are cut out, the others are candidates.
+Its encoding (digits, hexadecimal, letters of one case, base32, letters and digits, base64)
+is inferred from its characters.  Three tests ask how well the null hypothesis "a word of the corpus"
 explains it: chi-squared against a uniform alphabet, the number of runs of character
-kinds, and serial correlation of neighbours.  What words look like is measured over all texts.
+kinds, and serial correlation of neighbours.  A run of one kind has no changes of kind, so
+chi-squared decides there, unless neighbours follow each other as in an alphabet.  What words look like is measured over all texts.
 The p-values are combined, weighted by length, and a false-discovery threshold over
 all candidates of the corpus decides which are reported.
 """
@@ -29,6 +31,8 @@ BINS = 4096
 # How often kinds change in written-out names: mixed case, and one case with digits.
 MIXED_SWITCH, NARROW_SWITCH = 0.35, 0.1
 CLUSTERED = 0.3
+# The least unevenness of the digits of written-out numbers (dates, padded counts).
+NUMBERS = 1 / 6
 # The base patterns; letters of the first match in either case.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -40,7 +44,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ENCODINGS = (
+    ("digits", re.compile(r"[0-9]+"), 10),
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
+    ("letters", re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 26),
     ("base32", re.compile(r"[A-Z2-7]+=*"), 32),
     ("alnum", re.compile(r"[A-Za-z0-9]+"), 62),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), 64),
@@ -69,10 +75,18 @@ def infer(run: str) -> tuple[str, int]:
     return "base64", 64
 
 
-def plain(run: str) -> bool:
-    """Words in one case and plain numbers, with or without separators: no candidates."""
-    letters = run.isalpha() and (run.islower() or run.isupper() or run.istitle())
-    return letters or not any(c.isalpha() for c in run)
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of key character runs that no base span covers, if they are
+    long enough and have a letter or digit."""
+    taken = sorted((a, b) for a, _, b in base)
+    for match in CANDIDATE.finditer(text):
+        at, end = match.span()
+        for a, b in [*taken, (end, end)]:
+            if b < at or a > end:
+                continue
+            if a - at >= LEAST and any(map(str.isalnum, text[at:a])):
+                yield at, a
+            at = max(at, b)
 
 
 def statistics(run: str) -> tuple[str, float, int, float]:
@@ -80,6 +94,8 @@ def statistics(run: str) -> tuple[str, float, int, float]:
     serial correlation of neighbouring codes)."""
     name, size = infer(run)
     body = run.rstrip("=")
+    # a capital at the start is no letter of its own
+    body = body.lower() if name == "letters" else body
     codes = np.frombuffer(body.encode(), np.uint8)
     n = len(codes)
     if n < 2:
@@ -127,17 +143,20 @@ class WordNull:
         # at least English-like unevenness, also for a corpus without letters
         shares = [x / total for x in letters] if total else [1 / 16] * 16
         self.unevenness = max(sum(x * x for x in shares), 1 / 20)
+        self.cubes = sum(x**3 for x in shares)
         self.switch = min(0.5, (switches + 1) / (pairs + 2))
 
     def p_value(self, run: str) -> float:
         """Combined p-value of "this run is made of words"."""
-        _, size = infer(run)
+        name, size = infer(run)
         n = len(run.rstrip("="))
         if n < 2:
             return 1.0
         _, chi, runs, serial = statistics(run)
         # under words chi-squared is non-central; small values speak against them
         freedom = size - 1
+        if name in ("digits", "letters"):
+            return self.one_kind(name, n, chi * freedom, serial)
         shift = n * (self.unevenness * size - 1)
         mean = freedom + max(shift, 0.0)
         spread = sqrt(2 * (freedom + 2 * max(shift, 0.0)))
@@ -152,6 +171,21 @@ class WordNull:
         s = -sum(log(max(p, 1e-80)) for p in (p_chi, p_runs, p_serial))
         return min(1.0, float(np.exp(-s)) * (1 + s + s * s / 2))
 
+    def one_kind(self, name: str, n: int, chi: float, serial: float) -> float:
+        """p-value of a run of letters of one case or of digits.
+
+        Chi-squared is linear in the sum of squared counts, whose mean and variance
+        under the shares of a word's letters are known.
+        """
+        if serial >= CLUSTERED:
+            return 1.0
+        size = 10 if name == "digits" else 26
+        squares = NUMBERS if name == "digits" else self.unevenness
+        cubes = squares**1.5 if name == "digits" else self.cubes
+        mean = n + n * (n - 1) * squares
+        variance = 4 * n**3 * max(cubes - squares**2, 0.0) + 2 * n**2 * squares
+        return below(((chi + n) * n / size - mean) / sqrt(variance))
+
 
 def weighted(p: float, length: int) -> float:
     """Long candidates weigh more, short ones less; weights average about one."""
@@ -209,16 +243,9 @@ def scan(docs: DataFrame, null: WordNull, id_col: str = "doc_id", text_col: str
 
     def one(text: str) -> tuple[list, list]:
         base = base_spans(text)
-        taken = [(a, b) for a, _, b in base]
         random = []
-        for match in CANDIDATE.finditer(text):
-            a, b = match.span()
-            if any(a < y and x < b for x, y in taken):
-                continue
-            run = match[0]
-            if plain(run):
-                continue
-            p = weighted(null.p_value(run), b - a)
+        for a, b in candidates(text, base):
+            p = weighted(null.p_value(text[a:b]), b - a)
             random.append({"start": a, "stop": b, "bin": to_bin(p)})
         return [{"start": a, "kind": k, "stop": b} for a, k, b in base], random
 
@@ -314,15 +341,10 @@ def mask_secrets(
             )
 
     def cut(text: str) -> str:
-        spans = [(a, b) for a, _, b in base_spans(text)]
-        for match in CANDIDATE.finditer(text):
-            a, b = match.span()
-            if any(a < y and x < b for x, y in spans):
-                continue
-            word = match[0]
-            if plain(word):
-                continue
-            if to_bin(weighted(null.p_value(word), b - a)) <= last:
+        base = base_spans(text)
+        spans = [(a, b) for a, _, b in base]
+        for a, b in candidates(text, base):
+            if to_bin(weighted(null.p_value(text[a:b]), b - a)) <= last:
                 spans.append((a, b))
         out, at = [], 0
         merged: list[list[int]] = []
