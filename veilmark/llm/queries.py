@@ -18,6 +18,7 @@ from veilmark.llm import (
     sequence_files,
     simhash_dedup,
     token_count,
+    toxicity,
 )
 from veilmark.llm.common import path_of, table
 
@@ -105,6 +106,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.held_out()
+    sample = toxicity.training_passages(docs.where(~out), table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, toxicity.train(sample), "doc_id", out.alias("held_out"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_sequence_files,
             op9_simhash_dedup,
             op10_packing,
+            op12_toxicity,
             pipeline,
         )
     }
