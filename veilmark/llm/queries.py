@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm import embedding_dedup as vectors
 from veilmark.llm import (
+    conversation_repair,
     exact_dedup,
     html_extract,
     language_id,
@@ -106,6 +107,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(turns))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.held_out()
@@ -133,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_sequence_files,
             op9_simhash_dedup,
             op10_packing,
+            op11_conversation_repair,
             op12_toxicity,
             pipeline,
         )
