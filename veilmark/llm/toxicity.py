@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.bpe_chunks import Memory
 
 SAMPLE_ROWS = 1500
-SAMPLE_PASSAGES = 15_000
+SAMPLE_PASSAGES = 10_000
 PASSAGE_WORDS = 48
 BUCKETS = 1 << 18
 KEPT_WORDS = 250_000
@@ -86,36 +86,33 @@ class Trainer:
 
     def _subwords(self, word: str) -> np.ndarray:
         if word not in self.found:
-            self.found[word] = np.array(subwords(word, self.buckets))
+            self.found[word] = np.array(subwords(word, self.buckets), np.int32)
         return self.found[word]
 
-    def _bag(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _bag(self, passage: str) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, their shares of the passage's mean)"""
+        words = passage.split()
         if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         grams = [self._subwords(w) for w in words]
         sizes = np.array([len(g) for g in grams])
         ids, place = np.unique(np.concatenate(grams), return_inverse=True)
-        return ids, np.bincount(place, np.repeat(1 / sizes, sizes)) / len(words)
+        shares = np.bincount(place, np.repeat(1 / sizes, sizes)) / len(words)
+        return ids, shares.astype(np.float32)
 
-    def _telling(self, bags: list, labels: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    def _telling(self, passages: list[str], labels: np.ndarray, order: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Buckets whose rates among toxic and clean texts differ by ``apart`` errors."""
-        sizes = [len(ids) for ids, _ in bags]
-        ids = np.concatenate([ids for ids, _ in bags])
-        texts, numbers = np.unique(groups, return_inverse=True)
-        pairs = np.unique(np.repeat(numbers, sizes) * self.buckets + ids)
-        label = np.zeros(len(texts), np.int64)
-        label[numbers] = labels
-        total = np.bincount(label, minlength=2)
-        marked = label[pairs // self.buckets]
-        held = [
-            np.bincount(pairs[marked == k] % self.buckets, minlength=self.buckets) for k in (0, 1)
-        ]
-        rate = (held[0] + held[1]) / total.sum()
+        held, total = np.zeros((2, self.buckets)), np.zeros(2)
+        for start, stop in zip(firsts, np.append(firsts[1:], len(order))):
+            ids = np.concatenate([self._bag(passages[k])[0] for k in order[start:stop]])
+            label = labels[order[start]]
+            held[label, np.unique(ids)] += 1
+            total[label] += 1
+        rate = held.sum(0) / total.sum()
         error = np.sqrt(rate * (1 - rate) * (1 / total[0] + 1 / total[1]))
         return np.abs(held[1] / total[1] - held[0] / total[0]) > self.apart * error + 1e-12
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray, groups: np.ndarray) -> Model:
+    def fit(self, passages: list[str], labels: np.ndarray, groups: np.ndarray) -> Model:
         """Fit on passages: their words, the label (0 or 1) and the text each is from.
 
         A label is the whole text's, so a toxic text may have clean passages.  Each epoch
@@ -126,16 +123,19 @@ class Trainer:
         if len(set(labels.tolist())) < 2:
             return Model(np.zeros(self.buckets), 30.0 if labels.any() else -30.0)
         rng = np.random.default_rng(self.seed)
-        bags = [self._bag(words) for words in texts]
-        known = self._telling(bags, labels, groups)
-        bags = [(ids[known[ids]], share[known[ids]]) for ids, share in bags]
+        order = np.argsort(groups, kind="stable")
+        firsts = np.flatnonzero(np.diff(groups[order], prepend=groups[order[0]] - 1))
+        counts = np.diff(np.append(firsts, len(order)))
+        known = self._telling(passages, labels, order, firsts)
+        bags = []
+        for passage in passages:
+            ids, share = self._bag(passage)
+            bags.append((ids[known[ids]], share[known[ids]]))
+        self.found.clear()
         sizes = np.array([len(ids) for ids, _ in bags])
         all_ids = np.concatenate([ids for ids, _ in bags])
         all_shares = np.concatenate([share for _, share in bags])
         rows = np.repeat(np.arange(len(bags)), sizes)
-        order = np.argsort(groups, kind="stable")
-        firsts = np.flatnonzero(np.diff(groups[order], prepend=groups[order[0]] - 1))
-        counts = np.diff(np.append(firsts, len(order)))
 
         vectors = np.zeros((self.buckets, self.width))
         softmax = rng.normal(0, self.width**-0.5, (self.width, 2))
@@ -256,7 +256,7 @@ def train(sample: DataFrame, trainer: Trainer | None = None) -> Model:
     labels = np.array([r[2] for r in rows], np.int64)
     # a text that carries both labels stands for two
     names = [2 * r[3] + r[2] for r in rows]
-    return (trainer or Trainer()).fit([r[1].split() for r in rows], labels, np.array(names))
+    return (trainer or Trainer()).fit([r[1] for r in rows], labels, np.array(names))
 
 
 def score_texts(
