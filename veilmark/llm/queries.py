@@ -14,6 +14,7 @@ from veilmark.llm import (
     html_extract,
     language_id,
     packing,
+    prefix_trie,
     secret_scan,
     sentencepiece_codec,
     sequence_files,
@@ -119,6 +120,11 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.train(sample), "doc_id", out.alias("held_out"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(paths).drop("node")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_packing,
             op11_conversation_repair,
             op12_toxicity,
+            op13_prefix_trie,
             pipeline,
         )
     }
