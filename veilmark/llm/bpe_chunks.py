@@ -19,7 +19,7 @@ from itertools import chain, islice
 import numpy as np
 import regex
 
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 160_000
 MARKS = tuple(".,;:!?")
 # every character that str.isspace() accepts, before a space: there is no cut there
 WHITE_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
@@ -92,15 +92,15 @@ class ChunkEncoder:
         return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        text, pieces = " " + chunk, self.pieces
         # letters are one piece, and so is a mark after them; other chunks are split
         if chunk.isalpha():
-            return pieces[text]
+            return self._piece(" " + chunk)
         if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return pieces[text[:-1]] + pieces[chunk[-1]]
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
+        text = " " + chunk
         if self.special.search(text):
             return self._library([text])[0]
-        return b"".join(map(pieces.__getitem__, PIECES.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         self.chunks.tidy()
