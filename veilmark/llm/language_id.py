@@ -7,13 +7,14 @@ the n-grams of the largest order of which any is known, then shorter ones.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilmark.llm.bpe_chunks import Memory, text_blocks
 
@@ -21,10 +22,11 @@ SAMPLE_DOCS = 20_000
 WORDS = 50_000
 GRAMS = 100_000
 ORDER = 5
-KEPT = 250_000
+KEPT = 100_000
 NO_LANGUAGE = "und"
 NO_LETTER, NO_MODEL = "rejected: no letter", "no model"
-RUN = re.compile(r"[^\W\d_]+")
+# training splits at everything else
+RUN = regex.compile(r"[\p{L}\p{M}]+")
 
 
 class LanguageModel:
@@ -79,30 +81,36 @@ class LanguageModel:
         return {**self.__dict__, "table": None}
 
 
-def _log_frequencies(counts: DataFrame, key: str, most: int) -> tuple[list[str], dict]:
-    """The ``most`` commonest keys with their smoothed log frequency by language.
+def _log_frequencies(
+    counts: DataFrame, key: str, most: int, totals: dict[str, int]
+) -> dict[str, bytes]:
+    """Smoothed log frequencies by language of the commonest keys of each language.
 
-    Ties in the count are broken by the key, so the model does not depend on the
-    order of rows.
+    Every language has the same share of the ``most`` keys.  Ties in the count are broken
+    by the key, so the model does not depend on the order of rows.  Labels stay values.
     """
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
-        return [], {}
-    by_key = counts.groupBy(key).pivot("lang", languages).agg(F.sum("n"))
-    all_of = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages), F.lit(0))
-    top = by_key.orderBy(all_of.desc(), key).limit(most).toArrow()
-    columns = [top.column(x).fill_null(0).to_numpy() for x in languages]
+        return {}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), key))
+    chosen = (
+        counts.withColumn("place", place)
+        .where(F.col("place") <= max(1, most // len(languages)))
+        .select(key)
+        .distinct()
+    )
+    rows = counts.join(F.broadcast(chosen), key).select(key, "lang", "n").toArrow()
+    column = {x: k for k, x in enumerate(languages)}
+    found: dict[str, np.ndarray] = {}
+    for name, lang, n in zip(*(rows.column(c).to_pylist() for c in (key, "lang", "n")), strict=True):
+        found.setdefault(name, np.zeros(len(languages)))[column[lang]] = n
     smooth = 0.1
-    logs = np.array(
-        [
-            np.log((n + smooth) / (totals[x] + smooth * most))
-            for x, n in zip(languages, columns, strict=True)
-        ],
-        np.float32,
-    ).T
-    keys = top.column(key).to_pylist()
-    return languages, {k: row.tobytes() for k, row in zip(keys, logs, strict=False)}
+    base = np.array([totals[x] for x in languages]) + smooth * most
+    return {k: np.log((row + smooth) / base).astype(np.float32).tobytes() for k, row in found.items()}
+
+
+def _sums(counts: DataFrame) -> dict[str, int]:
+    return {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
 
 
 def train(
@@ -115,17 +123,27 @@ def train(
 ) -> LanguageModel:
     """Fit the model to labelled rows; rows without a label or text teach nothing.
 
-    At most about ``sample_docs`` labelled rows are used, drawn by a hash of the text,
-    whole texts each.  The model holds at most ``words`` words and ``grams`` n-grams,
-    so what is collected and sent to the workers has a fixed bound.
+    About ``sample_docs`` labelled rows are used at most, whole distinct texts drawn by a
+    hash of the text.  Every language has the same share of them, and a language with fewer
+    rows gives all it has, so none is lost beside a larger one.  The model holds at most
+    ``words`` words and ``grams`` n-grams, shared out in the same way: what is collected and
+    sent to the workers is bounded by them and the number of labels.
     """
     labelled = docs.select(
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     ).where("text is not null and lang is not null")
-    total = labelled.count()
-    share = min(1.0, sample_docs / total) if total else 1.0
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    languages = F.count(F.lit(1)).over(Window.partitionBy())
+    # one row a language
+    shares = rows.select("lang", (F.lit(sample_docs) / languages / F.col("rows")).alias("share"))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    chosen = (
+        labelled.join(F.broadcast(shares), "lang")
+        .where(place < F.col("share") * (1 << 20))
+        .select("lang", "text")
+        .distinct()
+    )
     word_counts = (
         chosen.select("lang", F.explode(F.expr(r"split(lower(text), '[^\\p{L}\\p{M}]+')")).alias("word"))
         .where("word <> ''")
@@ -133,7 +151,8 @@ def train(
         .agg(F.count(F.lit(1)).alias("n"))
         .cache()
     )
-    languages, known = _log_frequencies(word_counts, "word", words)
+    totals = _sums(word_counts)
+    known = _log_frequencies(word_counts, "word", words, totals)
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     gram_counts = (
         word_counts.withColumn("w", marked)
@@ -145,9 +164,9 @@ def train(
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    _, parts = _log_frequencies(gram_counts, "gram", grams)
+    parts = _log_frequencies(gram_counts, "gram", grams, _sums(gram_counts))
     word_counts.unpersist()
-    return LanguageModel(languages, known, parts)
+    return LanguageModel(sorted(totals), known, parts)
 
 
 def identify(
