@@ -356,5 +356,24 @@ def oracle_sql() -> dict[str, str]:
         "rechunk_stream": f"""{_REDACTED_DOCUMENTS}
             SELECT key AS stream_id, 0::BIGINT AS block, text FROM redacted
             WHERE length(text) > 0""",
+        "outbound_detect_chunks": f"""WITH {_documents_spans()}
+            SELECT key AS stream_id, entity_type, s::BIGINT AS "start", e::BIGINT AS "end", score
+            FROM spans""",
+        "outbound_redact_chunks": f"""{_REDACTED_DOCUMENTS}
+            SELECT key AS stream_id, text FROM redacted WHERE length(text) > 0""",
+        "outbound_redact_stream": f"""{_REDACTED_DOCUMENTS}
+            SELECT key AS stream_id, text FROM redacted WHERE length(text) > 0""",
+        "late_chunks": """
+            WITH chunk AS (
+              SELECT doc_id, unnest(range(0, greatest(1, (length(text) + 299) // 300))) AS seq, text
+              FROM documents WHERE text IS NOT NULL),
+            cut AS (
+              SELECT doc_id, seq, substring(text, seq * 300 + 1, 300) AS chunk,
+                     doc_id % 3 > 0 AND (doc_id + seq) % 5 = 3 AS late
+              FROM chunk)
+            SELECT doc_id AS stream_id,
+                   nullif(string_agg(chunk, '' ORDER BY seq) FILTER (NOT late), '') AS text,
+                   nullif(string_agg(chunk, '' ORDER BY seq) FILTER (late), '') AS late_text
+            FROM cut GROUP BY doc_id HAVING length(string_agg(chunk, '')) > 0""",
         "rehydrate_stream": _WHOLE_STREAMS.format(text="text", source="documents"),
     }

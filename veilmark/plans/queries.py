@@ -36,6 +36,7 @@ from veilmark.operators.detect import (
     ingest_analyzer_findings,
     ingest_inspect_findings,
 )
+from veilmark.operators.outbound import detect_chunks, redact_chunks
 from veilmark.operators.redact import extract_mappings, redact, redact_columns
 from veilmark.operators.rehydrate import rehydrate, tokens_long
 from veilmark.operators.terms import detect_terms
@@ -58,7 +59,7 @@ from veilmark.sources.tables import (
     stream_chunks,
     write_vault,
 )
-from veilmark.streaming.jobs import rehydrate_stream
+from veilmark.streaming.jobs import redact_stream, rehydrate_stream
 from veilmark.streaming.rechunk import rechunk_stream
 
 SALT = "salt"
@@ -680,6 +681,77 @@ def rehydrate_stream_documents(spark, sf_dir):
     return _as_text(rechunk_batch(spark.read.parquet(f"{work}/out")))
 
 
+def _raw_chunks(spark, sf_dir, chars: int) -> DataFrame:
+    return chunk_texts(_documents(spark, sf_dir), "doc_id", "text", chars)
+
+
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """One text per stream, its chunks joined in order."""
+    piece = F.struct(*order, F.col("chunk").cast("string").alias("chunk"))
+    whole = F.array_join(F.array_sort(F.collect_list(piece))["chunk"], "")
+    return rows.groupBy("stream_id").agg(whole.alias("text")).where("text <> ''")
+
+
+def outbound_detect_chunks(spark, sf_dir):
+    """Whatever the cut, findings in a stream are those of its whole text."""
+    return detect_chunks(_raw_chunks(spark, sf_dir, 37), block_bytes=512)
+
+
+def outbound_redact_chunks(spark, sf_dir):
+    done = redact_chunks(_raw_chunks(spark, sf_dir, 37), REGEX, block_bytes=512)
+    return _in_order(done, "block", "part")
+
+
+def _landed(chunks: DataFrame, path: str, phase: int) -> None:
+    columns = [c.split() for c in CHUNK_SCHEMA.split(", ")]
+    rows = chunks.withColumn("ts", F.lit(START).cast("timestamp"))
+    rows = rows.select(*[F.col(name).cast(kind) for name, kind in columns])
+    rows.coalesce(8).write.mode("append").parquet(f"{path}/{phase}")
+
+
+def _finished(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def outbound_redact_stream(spark, sf_dir):
+    work = new_folder(spark)
+    _landed(_raw_chunks(spark, sf_dir, 200), f"{work}/in", 0)
+    live = stream_chunks(spark, f"{work}/in/0", maxFilesPerTrigger="4")
+    paths = (f"{work}/vault", f"{work}/out", f"{work}/checkpoint")
+    _finished(redact_stream(live, REGEX, *paths, idle_seconds=None))
+    return _in_order(spark.read.parquet(f"{work}/out"), "seq")
+
+
+def late_chunks_documents(spark, sf_dir):
+    """Chunks that come after their stream broke off go out as late; none is lost.
+
+    One chunk in five is delayed; two streams in three are reported broken before it comes.
+    """
+    work = new_folder(spark)
+    chunks = _raw_chunks(spark, sf_dir, 300)
+    delayed = (F.col("stream_id") + F.col("seq")) % 5 == 3
+    broken = _documents(spark, sf_dir).where("doc_id % 3 > 0 and text is not null").select(
+        F.col("doc_id").alias("stream_id"),
+        F.lit(None).alias("seq"),
+        F.lit(None).alias("chunk"),
+        F.lit(True).alias("eos"),
+    )
+    for phase, rows in enumerate((chunks.where(~delayed), broken, chunks.where(delayed))):
+        _landed(rows, f"{work}/in", phase)
+        live = stream_chunks(spark, f"{work}/in/*")
+        _finished(
+            rechunk_stream(live, idle_seconds=None)
+            .writeStream.format("parquet")
+            .option("path", f"{work}/out")
+            .option("checkpointLocation", f"{work}/checkpoint")
+        )
+    out = spark.read.parquet(f"{work}/out")
+    late = F.col("reason") == "late"
+    emitted = _in_order(out.where(~late), "seq")
+    after = _in_order(out.where(late), "seq").withColumnRenamed("text", "late_text")
+    return emitted.join(after, "stream_id", "full")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "detect_regex_documents": _detect(),
@@ -733,4 +805,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vault_two_writers": vault_two_writers,
         "vault_compact_then_write": vault_compact_then_write,
         "rehydrate_repeated_keys": rehydrate_repeated_keys,
+        "outbound_detect_chunks": outbound_detect_chunks,
+        "outbound_redact_chunks": outbound_redact_chunks,
+        "outbound_redact_stream": outbound_redact_stream,
+        "late_chunks": late_chunks_documents,
     }

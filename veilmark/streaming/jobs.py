@@ -6,13 +6,17 @@ import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from veilmark.operators.chunks import rehydrate_blocks
 from veilmark.operators.detect import BatchDetector
+from veilmark.operators.outbound import only_rules, open_match_at, redact_parts
+from veilmark.operators.redact import extract_mappings
+from veilmark.operators.vault import vault_put
 from veilmark.options import Options
 from veilmark.plans.jobs import sanitize_job
-from veilmark.sources.tables import read_vault, write_chunks
+from veilmark.sources.tables import read_vault, write_chunks, write_vault
 from veilmark.streaming.rechunk import rechunk_stream
 
 
@@ -58,10 +62,12 @@ def rehydrate_stream(
     idle_seconds: int | None = 300,
     now: datetime | str | None = None,
     longest_ttl_seconds: int | None = None,
+    late_path: str | None = None,
 ) -> DataStreamWriter:
     """Writer to start: re-cut live chunks, then restore them against the vault
     as it is at each micro-batch.  ``longest_ttl_seconds`` spares it the days whose
-    tokens have all expired, see ``read_vault``."""
+    tokens have all expired, see ``read_vault``.  Chunks that came after their stream was
+    given up (``reason='late'``) are written with the others, or, as they came, to ``late_path``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         vault = read_vault(
@@ -73,8 +79,13 @@ def rehydrate_stream(
         # One computation of the stateful output serves all branches of the join.
         batch.persist()
         try:
-            restored = rehydrate_blocks(batch, vault, ["stream_id", "seq"], now)
-            write_chunks(restored, out_path, _writer_of(batch, checkpoint), batch_id)
+            writer = _writer_of(batch, checkpoint)
+            rows = batch
+            if late_path is not None:
+                write_chunks(batch.where("reason = 'late'"), late_path, writer, batch_id)
+                rows = batch.where("reason <> 'late'")
+            restored = rehydrate_blocks(rows, vault, ["stream_id", "seq"], now)
+            write_chunks(restored, out_path, writer, batch_id)
         finally:
             batch.unpersist()
 
@@ -84,3 +95,40 @@ def rehydrate_stream(
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
     )
+
+
+def redact_stream(
+    chunks: DataFrame,
+    options: Options,
+    vault_path: str,
+    out_path: str,
+    checkpoint: str,
+    idle_seconds: int | None = 300,
+) -> DataStreamWriter:
+    """Writer to start: find and replace personal data in live response streams.
+
+    A stream's bytes wait until no rule can match across what follows, so what is found
+    and written is what whole-text detection gives, for every way the stream was cut.
+    Mappings go to the vault first; a replayed micro-batch replaces its own.
+    """
+    only_rules(options)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        valid = F.is_valid_utf8(F.col("bytes").cast("string"))
+        parts = batch.withColumnRenamed("chunk", "bytes").withColumn("valid", valid)
+        parts = parts.withColumn("text", F.when(F.col("valid"), F.col("bytes").cast("string")))
+        done = redact_parts(parts, options).persist()
+        try:
+            writer = _writer_of(batch, checkpoint)
+            entries = vault_put(extract_mappings(done), options.ttl_seconds)
+            write_vault(entries, vault_path, writer, batch_id)
+            write_chunks(done.drop("mappings", "detect_error"), out_path, writer, batch_id)
+        finally:
+            done.unpersist()
+
+    return (
+        rechunk_stream(chunks, idle_seconds, open_at=open_match_at)
+        .writeStream.foreachBatch(run)
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+    )

@@ -1,20 +1,22 @@
 """Stateful re-cutting of live chunk streams.
 
-State per stream: the next ``seq`` to emit, the bytes held back because a token
-may be open at their end, and chunks that arrived ahead of their turn.  A stream
-that has ended leaves a small mark, so that a chunk delivered again is not
-emitted again.
+State per stream: its place (the next ``seq`` to emit, the bytes held back because a token
+may be open at their end), a map of the chunks that arrived ahead of their turn, and
+the numbers of chunks given out of turn.  Each waiting chunk is an entry of its own, so a
+stream with a wide gap does not rewrite all it holds at each micro-batch.  A stream that has
+ended leaves its place, so that a chunk delivered again is not emitted again, and one that
+was never seen is told apart and goes out as late: no byte is lost.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from veilmark.functions.fixed import (
     TOKEN_ID_LENGTH,
@@ -24,12 +26,8 @@ from veilmark.functions.fixed import (
 )
 
 OUT_SCHEMA = "stream_id bigint, seq bigint, chunk binary, eos boolean, reason string"
-STATE_SCHEMA = (
-    "next_seq bigint, carry binary, "
-    "seqs array<bigint>, chunks array<binary>, ends array<boolean>"
-)
-ENDED = -1
 ENDED_SECONDS = 3600
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _beginnings() -> re.Pattern[bytes]:
@@ -68,94 +66,148 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["stream_id", "seq", "chunk", "eos", "reason"])
 
 
-def _group_function(idle_ms: int | None, ended_ms: int):
-    def end(state) -> None:
-        state.update((ENDED, b"", [], [], []))
-        if idle_ms is not None:
-            state.setTimeoutDuration(ended_ms)
+class ChunkOrder(StatefulProcessor):
+    """Puts one stream's chunks in order and holds back what ``open_at`` says is open."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (stream_id,) = key
-        next_seq, carry, pending = 0, b"", {}
-        if state.exists:
-            next_seq, carry, *waiting = state.get
-            carry = bytes(carry)
-            pending = {
-                int(s): (bytes(c), bool(e)) for s, c, e in zip(*waiting)
-            }
-
-        if state.hasTimedOut:
-            if next_seq == ENDED:
-                state.remove()
-                yield _rows([])
-                return
-            # The end never came: give out all that is held, in order.
-            rest = carry + b"".join(pending[s][0] for s in sorted(pending))
-            last = max(pending, default=next_seq)
-            end(state)
-            yield _rows([(stream_id, last, rest, True, "timeout")] if rest else [])
-            return
+    def __init__(
+        self, open_at: Callable[[bytes], int], idle_ms: int | None, ended_ms: int
+    ) -> None:
+        self.open_at, self.idle_ms, self.ended_ms = open_at, idle_ms, ended_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState(
+            "place", "next_seq bigint, carry binary, closed boolean, waiting bigint"
+        )
+        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk binary, eos boolean")
+        self.given = handle.getMapState("given", "seq bigint", "closed boolean")
+
+    def close(self) -> None:
+        pass
 
-        ended = next_seq == ENDED
-        for pdf in batches:
+    def _alarm(self, timers, after_ms: int | None) -> None:
+        """At most one timer a stream."""
+        if after_ms is None:
+            return
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + after_ms)
+
+    def _release(self, stream_id: int, next_seq: int, carry: bytes, ahead: dict) -> list[tuple]:
+        """Everything held, in order, as one chunk; what was ahead counts as given."""
+        held = dict(ahead)
+        for (seq,), (chunk, eos) in list(self.waiting.iterator()):
+            held[int(seq)] = (bytes(chunk), bool(eos))
+        self.waiting.clear()
+        for seq in held:
+            self.given.updateValue((seq,), (True,))
+        rest = carry + b"".join(held[seq][0] for seq in sorted(held))
+        last = max(held, default=next_seq)
+        return [(stream_id, last, rest, True, "timeout")] if rest else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (stream_id,) = key
+        next_seq, carry, closed, waiting = 0, b"", False, 0
+        if self.place.exists():
+            next_seq, carry, closed, waiting = self.place.get()
+            next_seq, carry, closed = int(next_seq), bytes(carry), bool(closed)
+        ahead: dict[int, tuple[bytes, bool]] = {}
+        kept = {int(k[0]) for k in self.waiting.keys()} if waiting else set()
+
+        def late(seq: int, data: bytes, eos: bool) -> list[tuple]:
+            if seq < next_seq or self.given.containsKey((seq,)):
+                return []  # delivered again
+            self.given.updateValue((seq,), (True,))
+            return [(stream_id, seq, data, eos, "late")]
+
+        for pdf in rows:
+            out: list[tuple] = []
+            broken = False
             for seq, chunk, eos in zip(pdf["seq"], pdf["chunk"], pdf["eos"]):
-                if seq >= next_seq and not ended:
-                    data = b"" if chunk is None else bytes(chunk)
-                    pending.setdefault(int(seq), (data, bool(eos)))
+                if pd.isna(seq):
+                    broken = broken or bool(eos)
+                    continue
+                seq, data = int(seq), b"" if chunk is None else bytes(chunk)
+                if closed:
+                    out += late(seq, data, bool(eos))
+                elif seq >= next_seq and seq not in kept:
+                    ahead.setdefault(seq, (data, bool(eos)))
             # Emit after every Arrow batch: memory holds gaps, not the stream.
-            out = []
-            while next_seq in pending and not ended:
-                chunk, ended = pending.pop(next_seq)
-                data = carry + chunk
-                cut = len(data) if ended else open_token_at(data)
+            while not closed and (next_seq in ahead or next_seq in kept):
+                if next_seq in ahead:
+                    data, closed = ahead.pop(next_seq)
+                else:
+                    data, closed = self.waiting.getValue((next_seq,))
+                    self.waiting.removeKey((next_seq,))
+                    kept.discard(next_seq)
+                data = carry + bytes(data)
+                cut = len(data) if closed else self.open_at(data)
                 ready, carry = data[:cut], data[cut:]
-                if ready or ended:
-                    reason = "eos" if ended else "chunk"
-                    out.append((stream_id, next_seq, ready, ended, reason))
+                if ready or closed:
+                    reason = "eos" if closed else "chunk"
+                    out.append((stream_id, next_seq, ready, bool(closed), reason))
                 next_seq += 1
+                if closed:  # what lies beyond the end was not expected, and is not lost
+                    for later in sorted(ahead):
+                        out += late(later, *ahead[later])
+                    for later in sorted(kept):
+                        chunk, eos = self.waiting.getValue((later,))
+                        out += late(later, bytes(chunk), bool(eos))
+                    self.waiting.clear()
+                    ahead, kept = {}, set()
+            if broken and not closed:
+                out += self._release(stream_id, next_seq, carry, ahead)
+                carry, closed, ahead, kept = b"", True, {}, set()
             yield _rows(out)
 
-        if ended:
-            end(state)
-            return
-        order = sorted(pending)
-        state.update(
-            (
-                next_seq,
-                carry,
-                order,
-                [pending[s][0] for s in order],
-                [pending[s][1] for s in order],
-            )
-        )
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+        for seq, (data, eos) in ahead.items():
+            self.waiting.updateValue((seq,), (data, eos))
+        self.place.update((next_seq, carry, bool(closed), len(kept) + len(ahead)))
+        if self.idle_ms is not None:
+            self._alarm(timerValues, self.ended_ms if closed else self.idle_ms)
 
-    return step
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (stream_id,) = key
+        next_seq, carry, closed, _ = self.place.get()
+        if closed:
+            self.place.clear()
+            self.given.clear()
+            yield _rows([])
+            return
+        # The end never came: give out all that is held, in order.
+        rows = self._release(stream_id, int(next_seq), bytes(carry), {})
+        self.place.update((int(next_seq), b"", True, 0))
+        self._alarm(timerValues, self.ended_ms)
+        yield _rows(rows)
 
 
 def rechunk_stream(
     chunks: DataFrame,
     idle_seconds: int | None = 300,
     ended_seconds: int = ENDED_SECONDS,
+    open_at: Callable[[bytes], int] = open_token_at,
 ) -> DataFrame:
     """Streaming (stream_id, seq, chunk, eos) to chunks that hold only whole tokens.
 
     Chunks may arrive in any order; they are emitted in order of ``seq``, which
     counts from 0 in each stream.  Concatenated output equals concatenated
     input.  At ``eos`` everything is released; a stream that stays silent for
-    ``idle_seconds`` is released too, marked ``reason='timeout'``.  Processing
-    time is used for that, because an event-time watermark would make Spark drop
-    late chunks, and no text may be lost.  Chunks that come again after the end are
-    ignored for ``ended_seconds``, so a stream id must not be used anew before.
-    A query with such a timeout runs until it is stopped; for an ``availableNow``
-    run pass ``idle_seconds=None``: streams without an end, and the marks of
-    ended ones, then stay in the state for the next run.
+    ``idle_seconds``, or of which a row without ``seq`` but with ``eos`` says that it broke off, is
+    released too, marked ``reason='timeout'``.  A chunk that comes for the first time
+    after that, or lies beyond the end, goes out by itself as ``reason='late'``: emitted and late
+    chunks together are the input, under any delay.  Processing time is used, because an
+    event-time watermark would make Spark drop late chunks.
+
+    Chunks that come again after the end are ignored for ``ended_seconds``, so a stream id must
+    not be used anew before.  A query with such a timeout runs until it is stopped; for an
+    ``availableNow`` run pass ``idle_seconds=None``: streams without an end, and the marks of
+    ended ones, then stay in the state for the next run.  ``open_at`` says from where on a
+    stream's bytes must wait for more.  The state needs the RocksDB store, which is set for
+    the session.
     """
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if idle_seconds is None
-        else GroupStateTimeout.ProcessingTimeTimeout
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    processor = ChunkOrder(
+        open_at, None if idle_seconds is None else idle_seconds * 1000, ended_seconds * 1000
     )
     return (
         chunks.select(
@@ -165,13 +217,10 @@ def rechunk_stream(
             F.coalesce("eos", F.lit(False)).alias("eos"),
         )
         .groupBy("stream_id")
-        .applyInPandasWithState(
-            _group_function(
-                None if idle_seconds is None else idle_seconds * 1000, ended_seconds * 1000
-            ),
+        .transformWithStateInPandas(
+            processor,
             OUT_SCHEMA,
-            STATE_SCHEMA,
-            "append",
-            timeout,
+            "Append",
+            "None" if idle_seconds is None else "ProcessingTime",
         )
     )
