@@ -278,3 +278,32 @@ def test_terms_of_a_table_against_search(spark):
         )
         assert got == want and r.detect_error is None
     assert detect_terms(df, table.where("false")).where("size(findings) > 0").count() == 0
+
+
+def test_terms_with_one_shared_beginning_take_time_in_proportion(spark):
+    """100,000 terms begin alike; each text holds one of them and a near miss."""
+    import time
+
+    terms = spark.range(100_000).select(
+        F.format_string("Customer#%09d", "id").alias("term"), F.lit("PERSON").alias("entity_type")
+    )
+
+    def seconds(count):
+        texts = spark.range(count).select(
+            "id", F.format_string("to Customer#%09d, Customer#9%08d", F.col("id") % 100_000, "id").alias("text")
+        )
+        started = time.perf_counter()
+        found = detect_terms(texts, terms).agg(F.sum(F.size("findings"))).first()[0]
+        assert found == count
+        return time.perf_counter() - started
+
+    seconds(1000)
+    few, many = seconds(20_000), seconds(80_000)
+    assert many < 5 * few + 5
+
+
+def test_long_lists_are_found_in_rows_too():
+    terms = {f"t{i}é": f"E{i % 3}" for i in range(400)} | {"🙂t": "F", "aa": "A"}
+    match = longtext.term_matcher(terms, 0.9)
+    assert sorted(match("aaa t7é🙂t399é")) == [
+        (0, 2, 0.9, "A"), (1, 3, 0.9, "A"), (4, 7, 0.9, "E1"), (7, 9, 0.9, "F"), (8, 13, 0.9, "E0")]

@@ -27,6 +27,7 @@ from veilmark.functions.fixed import (
     WHITE_SPACE,
 )
 from veilmark.functions.tokens import LOWER, UPPER
+from veilmark.functions.windows import bitmap_bits, bitmap_of, candidates
 
 # Rows above either bound take the Arrow path.
 LONG_TEXT_BYTES = 64 * 1024
@@ -35,7 +36,7 @@ DETECT_BYTES = 16 * 1024
 DENSE_WORK = 1 << 24  # findings x bytes
 
 # A regex tries its alternatives one after the other; longer term lists than
-# this are matched all at once in Arrow batches.
+# this are found by the hashes of their windows.
 REGEX_TERMS = 200
 
 Span = tuple[int, int, float, str]  # start, end, score, entity type
@@ -97,32 +98,17 @@ def term_matcher(terms: Mapping[str, str], score: float) -> Callable[[str], list
     if len(terms) <= REGEX_TERMS:
         return one_by_one
 
-    built: list = []  # once per Python worker, not shipped with the function
+    sizes, bits = sorted({len(t) for t in terms}), bitmap_bits(len(terms))
+    bitmap = bitmap_of(terms, bits)
 
-    def all_at_once(text: str) -> list[Span]:
-        if not built:
-            built.append(_automaton(terms))
-        if built[0] is None:
-            return one_by_one(text)
+    def by_windows(text: str) -> list[Span]:
         return [
-            (end + 1 - len(term), end + 1, score, terms[term])
-            for end, term in built[0].iter(text)
+            (at, at + len(term), score, terms[term])
+            for at, term in candidates(text, bitmap, sizes, bits)
+            if term in terms
         ]
 
-    return all_at_once
-
-
-def _automaton(terms: Mapping[str, str]):
-    """Multi-pattern matcher, or None where the package is not installed."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
-    automaton = ahocorasick.Automaton()
-    for term in terms:
-        automaton.add_word(term, term)
-    automaton.make_automaton()
-    return automaton
+    return by_windows
 
 
 def find_matched_udf(match: Callable[[str], list[Span]]):

@@ -25,6 +25,7 @@ from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.exprs import FINDINGS, bind, empty, inline_rows, struct
 from veilmark.functions.rules import gate, gated_findings, rule_names
 from veilmark.functions.spans import allow_entities, filter_score
+from veilmark.operators.terms import detect_terms
 from veilmark.options import Options
 
 
@@ -65,14 +66,14 @@ def detect_dictionary(
     text: str = "text",
     entities: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Every occurrence of the given terms (term -> entity type)."""
+    """Every occurrence of the given terms (term -> entity type).  More terms than a regex
+    can try one after the other are found by ``detect_terms``."""
     allowed = set(entities or ())
     kept = {t: e for t, e in terms.items() if not allowed or e in allowed}
     if len(kept) > longtext.REGEX_TERMS:
-        match = longtext.term_matcher(kept, DICTIONARY_SCORE)
-        found = longtext.find_matched_udf(match)(F.col(text))
-        return df.withColumns(
-            {"findings": found, "detect_error": F.lit(None).cast("string")}
+        rows = [t for t in kept.items() if t[0]]
+        return detect_terms(
+            df, df.sparkSession.createDataFrame(rows, "term string, entity_type string"), text
         )
     return _by_length(
         df,

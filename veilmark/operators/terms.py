@@ -1,8 +1,9 @@
 """Dictionary detection with the terms in a table, for lists of any length.
 
-Every term is found by its head, its first few code points.  A task marks the
-positions of a text where some head may start, by a bitmap of fixed size; only those
-go to the join with the terms on the head, and a full comparison decides.
+A task hashes every window of a text that is as long as some term, by differences of one
+running hash, and looks it up in a bitmap of all terms' hashes.  The windows that pass, a
+few more than are terms, go to an equi-join with the terms on the whole window.  The
+text itself does not travel for that, and terms may share any beginning.
 """
 
 from __future__ import annotations
@@ -14,52 +15,29 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.exprs import FINDINGS, empty
 from veilmark.functions.fixed import DICTIONARY_SCORE
+from veilmark.functions.windows import bitmap_bits, candidates, term_slot
 
-HEAD = 4
-BITMAP_BITS = 1 << 20
-_POSITIONS = "array<struct<at:int,size:int>>"
+_WINDOWS = "array<struct<at:int,term:string>>"
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-
-
-def _slots(points: np.ndarray, size: int) -> np.ndarray:
-    """Bitmap slot of each window of ``size`` code points."""
-    windows = np.zeros(max(len(points) - size + 1, 0), np.uint64)
-    for k in range(size):
-        windows = windows * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(windows)]
-        windows ^= windows >> np.uint64(29)
-    return (windows % np.uint64(BITMAP_BITS)).astype(np.int64)
-
-
-def _head_slot():
-    @F.pandas_udf("int")
-    def run(heads: pd.Series) -> pd.Series:
-        return heads.map(lambda h: int(_slots(_points(h), len(h))[0]))
+def _term_slot(bits: int):
+    @F.pandas_udf("bigint")
+    def run(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: term_slot(t, bits))
 
     return run
 
 
-def _candidates(bitmaps: dict[int, np.ndarray]):
-    """Text -> positions where the head of some term may start."""
-    packed = {size: np.packbits(bits) for size, bits in bitmaps.items()}
+def _windows(bitmap: np.ndarray, sizes: list[int], bits: int):
+    """Text -> the windows that may be terms."""
 
-    @F.pandas_udf(_POSITIONS)
+    @F.pandas_udf(_WINDOWS)
     def run(texts: pd.Series) -> pd.Series:
-        maps = {size: np.unpackbits(bits) for size, bits in packed.items()}
-
-        def of(text):
-            if text is None:
-                return None
-            points = _points(text)
-            return [
-                {"at": int(at), "size": size}
-                for size, bits in maps.items()
-                for at in np.flatnonzero(bits[_slots(points, size)])
-            ]
-
-        return pd.Series([of(t) for t in texts], dtype=object)
+        found = [
+            None if t is None else [{"at": a, "term": w} for a, w in candidates(t, bitmap, sizes, bits)]
+            for t in texts
+        ]
+        return pd.Series(found, dtype=object)
 
     return run
 
@@ -71,41 +49,33 @@ def detect_terms(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFra
     repeated terms the smallest entity type counts.  Adds ``findings`` (by start, then
     end; null for a null text) and ``detect_error``, as ``detect_dictionary`` does.
 
-    The driver sees the heads' slots only, at most ``HEAD`` times 2**20 small numbers.
-    Rows are told apart by the digest of their text, so copies are searched once.
+    The driver sees the terms' lengths and a bitmap of 16 bits a term, at most 16 MB, put
+    together in Spark; with more than 8 million terms it lets more windows through, and the
+    join decides all the same.  Rows are told apart by the digest of their text, so what is
+    found in copies is joined once.
     """
     terms = (
-        terms.where("term <> ''")
-        .groupBy("term")
-        .agg(F.min("entity_type").alias("entity_type"))
-        .withColumn("_head", F.substring("term", 1, HEAD))
-    )
-    heads = terms.select("_head").distinct().select(
-        F.char_length("_head").alias("size"), _head_slot()("_head").alias("slot")
-    )
-    bitmaps: dict[int, np.ndarray] = {}
-    for size, slot in heads.distinct().collect():
-        bitmaps.setdefault(size, np.zeros(BITMAP_BITS, np.uint8))[slot] = 1
-
-    digest = F.sha2(F.col(text).cast("binary"), 256)
-    keyed = df.withColumn("_digest", digest)
-    unique = keyed.select("_digest", F.col(text).alias("_text")).dropDuplicates(["_digest"])
-    spots = unique.select(
-        "_digest", "_text", F.explode(_candidates(bitmaps)("_text")).alias("_spot")
-    ).select(
-        "_digest",
-        F.col("_spot.at").alias("_at"),
-        F.expr("substring(_text, _spot.at + 1, _spot.size)").alias("_head"),
-        "_text",
+        terms.where("term <> ''").groupBy("term").agg(F.min("entity_type").alias("entity_type"))
     )
-    longest = terms.groupBy("_head").agg(F.max(F.char_length("term")).alias("_most"))
-    # heads that only share a slot with a term's head go here, before text is copied
-    real = spots.join(longest, "_head").select(
-        "_digest", "_at", "_head", F.expr("substring(_text, _at + 1, _most)").alias("_ahead")
+    per_size = terms.groupBy(F.char_length("term").alias("size")).count().collect()
+    sizes = sorted(r[0] for r in per_size)
+    total = sum(r[1] for r in per_size)
+    bits = bitmap_bits(total)
+    slot = terms.select(_term_slot(bits)("term").alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")
     )
+    bitmap = np.zeros(1 << bits - 6, np.uint64)
+    for word, value in words.collect():
+        bitmap[word] = value & (1 << 64) - 1
+
+    keyed = df.withColumn("_digest", F.sha2(F.col(text).cast("binary"), 256))
+    windows = keyed.select(
+        "_digest", F.explode(_windows(bitmap, sizes, bits)(F.col(text))).alias("_window")
+    ).select("_digest", F.col("_window.at").alias("_at"), F.col("_window.term").alias("term"))
     found = (
-        real.join(terms, "_head")
-        .where("startswith(_ahead, term)")
+        windows.distinct()
+        .join(terms, "term")
         .groupBy("_digest")
         .agg(
             F.array_sort(
