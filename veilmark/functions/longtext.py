@@ -187,23 +187,21 @@ def _given(number):
     return int(number) if number == int(number) else number
 
 
-def redact_found_udf(salt: str):
-    """Redact given findings; null in, null out."""
+def _found(findings) -> list[Span]:
+    return [
+        (_given(f["start"]), _given(f["end"]), _given(f["score"]), f["entity_type"])
+        for f in findings
+    ]
+
+
+def redact_found_udf():
+    """Redact given findings with a row's salt; null in, null out."""
 
     @F.pandas_udf(REDACTED)
-    def run(texts: pd.Series, findings: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, findings: pd.Series, salts: pd.Series) -> pd.DataFrame:
         rows = [
-            (None, None)
-            if t is None
-            else redact_string(
-                t,
-                [
-                    (_given(f["start"]), _given(f["end"]), _given(f["score"]), f["entity_type"])
-                    for f in fs
-                ],
-                salt,
-            )
-            for t, fs in zip(texts, findings)
+            (None, None) if t is None else redact_string(t, _found(fs), salt)
+            for t, fs, salt in zip(texts, findings, salts)
         ]
         return pd.DataFrame(rows, columns=["text", "mappings"])
 

@@ -36,9 +36,15 @@ def normalize_entity(entity: str) -> str:
     return bind(label, "lbl", f"if(lbl = '', '{FALLBACK_ENTITY}', {cut})")
 
 
+class SaltColumn(str):
+    """A salt that differs by row: the SQL text of its column."""
+
+
 def token_id(value: str, salt: str) -> str:
-    """First 16 hex digits of sha256(salt NUL value); ``salt`` is plain text."""
+    """First 16 hex digits of sha256(salt NUL value); ``salt`` is plain text, or a column."""
     prefix = text_literal(salt + "\x00")
+    if isinstance(salt, SaltColumn):
+        prefix = f"concat({salt}, cast(X'00' as string))"
     return f"substring(sha2(concat({prefix}, {value}), 256), 1, {TOKEN_ID_LENGTH})"
 
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import longtext
 from veilmark.functions.dictionary import any_term, dictionary_findings
-from veilmark.functions.exprs import FINDINGS, MAPPINGS, empty, inline_rows
+from veilmark.functions.exprs import FINDINGS, MAPPINGS, empty, inline_rows, text_literal
 from veilmark.functions.fixed import DICTIONARY_SCORE
 from veilmark.functions.rules import gate, rule_findings, rule_names
 from veilmark.functions.spans import redact_text, unchanged
+from veilmark.functions.tokens import SaltColumn
 from veilmark.operators.detect import BatchDetector, check_backend, detect
 from veilmark.options import Options
 
@@ -86,12 +87,15 @@ def redacted_native(text: str, options: Options) -> str:
 def redact_findings(
     df: DataFrame, salt: str, text: str = "text", findings: str = "findings"
 ) -> DataFrame:
-    """Redact with the findings already in the table; adds ``redacted``."""
+    """Redact with the findings already in the table; adds ``redacted``.
+
+    ``salt`` is plain text, or a ``SaltColumn`` where each row has its own."""
     work = f"cast(octet_length({text}) as bigint) * coalesce(size({findings}), 0)"
     dense = f"{work} > {longtext.DENSE_WORK}"
-    by_arrow = longtext.redact_found_udf(salt)(
+    by_arrow = longtext.redact_found_udf()(
         F.expr(f"CASE WHEN {dense} THEN {text} END"),
         F.expr(f"CASE WHEN {dense} THEN {findings} END"),
+        F.expr(salt if isinstance(salt, SaltColumn) else text_literal(salt)),
     )
     result = (
         F.when(F.expr(dense), by_arrow)
@@ -127,10 +131,10 @@ def redact(
         out = redact_findings(
             detect(df, options, text, detector), options.salt, text
         ).drop("findings")
-    return _apply_policy(out, options, text)
+    return apply_fail_policy(out, options, text)
 
 
-def _apply_policy(df: DataFrame, options: Options, text: str) -> DataFrame:
+def apply_fail_policy(df: DataFrame, options: Options, text: str) -> DataFrame:
     failed = F.col("detect_error").isNotNull() & F.col(text).isNotNull()
     if options.on_error == "closed":
         kept, status = F.lit(None).cast("string"), "rejected"

@@ -25,6 +25,7 @@ def rehydrate(
     text: str = "text",
     now: datetime | str | Column | None = None,
     hot_rows: int = HOT_ROWS,
+    scope: str | None = None,
 ) -> DataFrame:
     """Restore the tokens of ``text``.
 
@@ -33,17 +34,21 @@ def rehydrate(
     Rows without a token skip every shuffle.  For the others only
     (digest, position, token) goes to the vault join; the values come back as one
     array per text, in order, and are spliced between the gaps.  Copies of a text
-    are resolved once.
+    are resolved once.  With a ``scope`` column, a row's tokens are looked up in its scope
+    alone, in a vault whose tokens are ``scoped``; a null scope has no tokens.
     """
-    digest = F.sha2(F.col(text).cast("binary"), 256)
+    name = F.col(text) if scope is None else scoped(scope, text)
+    digest = F.sha2(name.cast("binary"), 256)
     with_tokens = where_once(df, has_marker(text)).withColumn("_digest", digest)
     without = where_once(df, f"NOT coalesce({has_marker(text)}, false)")
 
-    occurrences = (
-        tokens_long(with_tokens, "_digest", text)
-        .withColumnsRenamed({"pos": "_pos", "token": "_token"})
-        .distinct()
-    )
+    plain = tokens_long(
+        with_tokens.withColumn("_scope", F.lit(None) if scope is None else F.col(scope)),
+        ["_digest", "_scope"],
+        text,
+    ).withColumnsRenamed({"pos": "_pos", "token": "_plain"})
+    token = F.col("_plain") if scope is None else scoped("_scope", "_plain")
+    occurrences = plain.withColumn("_token", token).drop("_scope").distinct()
     resolved = (
         resolve(occurrences, "_token", vault, "_value", now, hot_rows)
         .groupBy("_digest")
@@ -52,7 +57,7 @@ def rehydrate(
                 F.collect_list(
                     F.struct(
                         F.col("_pos"),
-                        F.coalesce("_value", "_token").alias("_value"),
+                        F.coalesce("_value", "_plain").alias("_value"),
                     )
                 )
             ).alias("_found")
@@ -71,6 +76,11 @@ def rehydrate(
     return without.unionByName(restored)
 
 
+def scoped(scope: str, token: str) -> Column:
+    """A token's name in a vault that several scopes share; null without a scope."""
+    return F.concat(F.col(scope).cast("string"), F.lit("\x1f"), F.col(token))
+
+
 def tokens_long(
     df: DataFrame, keys: str | Sequence[str], text: str = "text"
 ) -> DataFrame:

@@ -204,6 +204,64 @@ _WHOLE_STREAMS = """
       FROM {source} WHERE length({text}) > 0"""
 
 
+_SESSION_VERSION = "least((c.key - c.key % 50) // 200, 2)"
+_SESSION_TOKEN = (
+    "('[[CMPL_' || c.entity_type || '_' || left(sha256('s' || (c.key % 50) || 'v' || "
+    f"{_SESSION_VERSION} || chr(0) || c.value), 16) || ']]')"
+)
+_SESSIONS = (
+    f"WITH RECURSIVE {_documents_spans()}, {_choose()}, "
+    f"{_splice('documents', 'doc_id', 'text', _SESSION_TOKEN)}"
+)
+
+_POLICY = f"""WITH RECURSIVE {_documents_spans()}, {_choose()},
+      rule AS (
+        SELECT 'src' || n_nationkey AS ns, ['', '/v1', '/v1/en', '/v1/de/1'][n_nationkey % 4 + 1] AS route,
+               ['*', 'EMAIL_ADDRESS', 'CREDIT_CARD'][n_nationkey % 3 + 1] AS entity,
+               ['audit', 'tokenize', 'mask', 'block', 'mask'][n_nationkey % 5 + 1] AS action
+        FROM nation
+        UNION ALL SELECT '*', ['', '/v1/en', '/v1/en/1', '/v1/fr', '/v1/en'][r_regionkey % 5 + 1],
+               ['*', 'EMAIL_ADDRESS', '*', 'PHONE_NUMBER', 'EMAIL_ADDRESS'][r_regionkey % 5 + 1],
+               ['audit', 'mask', 'block', 'tokenize', 'tokenize'][r_regionkey % 5 + 1]
+        FROM region),
+      place AS (SELECT DISTINCT source, '/v1/' || lang || '/' || (doc_id % 4) AS route FROM documents),
+      best AS (
+        SELECT p.source, p.route, r.entity, r.action,
+               row_number() OVER (
+                 PARTITION BY p.source, p.route, r.entity
+                 ORDER BY r.ns <> '*' DESC, length(r.route) DESC,
+                          list_position(['audit', 'tokenize', 'mask', 'block'], r.action) DESC) AS n
+        FROM place p JOIN rule r
+          ON r.ns IN (p.source, '*')
+         AND (r.route = '' OR p.route = r.route OR starts_with(p.route, r.route || '/'))),
+      acted AS (
+        SELECT c.key, c.entity_type, c.s, c.e,
+               coalesce(own.action, other.action, 'tokenize') AS action,
+               substring(d.text, c.s + 1, c.e - c.s) AS value,
+               coalesce(lag(c.e) OVER (PARTITION BY c.key ORDER BY c.s), 0) AS before
+        FROM chosen c JOIN documents d ON d.doc_id = c.key
+        LEFT JOIN best own ON own.n = 1 AND own.source = d.source
+              AND own.route = '/v1/' || d.lang || '/' || (d.doc_id % 4) AND own.entity = c.entity_type
+        LEFT JOIN best other ON other.n = 1 AND other.source = d.source
+              AND other.route = '/v1/' || d.lang || '/' || (d.doc_id % 4) AND other.entity = '*'),
+      done AS (
+        SELECT a.key, bool_or(action = 'block') AS blocked,
+               bool_or(action IN ('tokenize', 'mask')) AS touched,
+               count(*) FILTER (action = 'tokenize') AS tokens,
+               string_agg(concat_ws(':', entity_type, action, s, e), ',' ORDER BY s) AS audit,
+               string_agg(substring(d.text, a.before + 1, a.s - a.before) || CASE action
+                   WHEN 'tokenize' THEN {_token('a.entity_type', 'a.value')}
+                   WHEN 'mask' THEN '<' || a.entity_type || '>' ELSE a.value END, '' ORDER BY s)
+                 || substring(any_value(d.text), max(a.e) + 1) AS text
+        FROM acted a JOIN documents d ON d.doc_id = a.key GROUP BY a.key)
+      SELECT doc_id, CASE WHEN x.key IS NULL THEN d.text WHEN NOT x.blocked THEN x.text END AS text,
+             CASE WHEN x.key IS NULL THEN 'unchanged' WHEN x.blocked THEN 'blocked'
+                  WHEN x.touched THEN 'redacted' ELSE 'audited' END AS status,
+             CASE WHEN x.key IS NULL OR x.blocked THEN 0 ELSE x.tokens END::INTEGER AS mappings,
+             coalesce(x.audit, '') AS audit
+      FROM documents d LEFT JOIN done x ON x.key = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     shout = "[A-Z]{3,}"
     ssn_text = """(SELECT c_custkey,
@@ -356,6 +414,14 @@ def oracle_sql() -> dict[str, str]:
         "rechunk_stream": f"""{_REDACTED_DOCUMENTS}
             SELECT key AS stream_id, 0::BIGINT AS block, text FROM redacted
             WHERE length(text) > 0""",
+        "session_redact": f"""{_SESSIONS}
+            SELECT c.key AS doc_id, c.key % 50 AS session_id, {_SESSION_VERSION}::INTEGER AS salt_version,
+                   text, status FROM redacted c""",
+        "session_round_trip": f"""{_SESSIONS}
+            SELECT d.doc_id, d.doc_id % 50 + CASE d.doc_id % 4 WHEN 0 THEN 100 ELSE 0 END AS session_id,
+                   CASE d.doc_id % 4 WHEN 0 THEN r.text ELSE d.text END AS text
+            FROM documents d JOIN redacted r ON r.key = d.doc_id""",
+        "redact_by_policy": _POLICY,
         "outbound_detect_chunks": f"""WITH {_documents_spans()}
             SELECT key AS stream_id, entity_type, s::BIGINT AS "start", e::BIGINT AS "end", score
             FROM spans""",

@@ -37,8 +37,10 @@ from veilmark.operators.detect import (
     ingest_inspect_findings,
 )
 from veilmark.operators.outbound import detect_chunks, redact_chunks
+from veilmark.operators.policy import redact_by_policy
 from veilmark.operators.redact import extract_mappings, redact, redact_columns
 from veilmark.operators.rehydrate import rehydrate, tokens_long
+from veilmark.operators.sessions import redact_sessions, rehydrate_sessions, session_vault
 from veilmark.operators.terms import detect_terms
 from veilmark.operators.vault import (
     detokenize,
@@ -752,6 +754,83 @@ def late_chunks_documents(spark, sf_dir):
     return emitted.join(after, "stream_id", "full")
 
 
+def _session_requests(spark, sf_dir) -> DataFrame:
+    """Documents as requests of 50 sessions, an hour apart."""
+    hour = F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    return _documents(spark, sf_dir).select(
+        "doc_id",
+        (F.col("doc_id") % 50).alias("session_id"),
+        (F.lit(START).cast("timestamp") + hour).alias("ts"),
+        "text",
+    )
+
+
+def _session_salts(requests: DataFrame) -> DataFrame:
+    """Three salts a session; the second and third begin 200 and 400 hours after the first."""
+    version = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("salt_version")
+    begin = F.make_dt_interval(hours=(F.col("salt_version") * 200 + F.col("session_id")).cast("int"))
+    return requests.select("session_id").distinct().select("session_id", version).select(
+        "session_id",
+        "salt_version",
+        F.concat(F.lit("s"), "session_id", F.lit("v"), "salt_version").alias("salt"),
+        (F.lit(START).cast("timestamp") + begin).alias("valid_from"),
+    )
+
+
+def session_redact(spark, sf_dir):
+    requests = _session_requests(spark, sf_dir)
+    done = redact_sessions(requests, _session_salts(requests), REGEX)
+    return done.select("doc_id", "session_id", "salt_version", "text", "status")
+
+
+def session_round_trip(spark, sf_dir):
+    """Answers repeat the redacted text; every fourth arrives in another session."""
+    requests = _session_requests(spark, sf_dir)
+    done = stored(redact_sessions(requests, _session_salts(requests), REGEX))
+    vault = session_vault(done, 24 * 3600, START)
+    moved = F.when(F.col("doc_id") % 4 == 0, F.col("session_id") + 100).otherwise(F.col("session_id"))
+    answers = done.select("doc_id", moved.alias("session_id"), "text")
+    return rehydrate_sessions(answers, vault, now="2026-01-01 06:00:00")
+
+
+def _policies(spark, sf_dir) -> DataFrame:
+    """Rules by nation for single namespaces, by region for all."""
+    pick = lambda key, *values: F.element_at(
+        F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int")
+    )
+    nation = _table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("src"), "n_nationkey").alias("namespace"),
+        pick("n_nationkey", "", "/v1", "/v1/en", "/v1/de/1/").alias("route"),
+        pick("n_nationkey", "*", "EMAIL_ADDRESS", "CREDIT_CARD").alias("entity_type"),
+        pick("n_nationkey", "audit", "tokenize", "mask", "block", "mask").alias("action"),
+    )
+    region = _table(spark, sf_dir, "region").select(
+        F.lit("*").alias("namespace"),
+        pick("r_regionkey", "", "/v1/en", "/v1/en/1", "/v1/fr", "/v1/en").alias("route"),
+        pick("r_regionkey", "*", "EMAIL_ADDRESS", "*", "PHONE_NUMBER", "EMAIL_ADDRESS").alias("entity_type"),
+        pick("r_regionkey", "audit", "mask", "block", "tokenize", "tokenize").alias("action"),
+    )
+    return nation.unionByName(region)
+
+
+def redact_by_policy_documents(spark, sf_dir):
+    requests = spread(_table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id",
+        F.col("source").alias("namespace"),
+        F.concat(F.lit("/v1/"), "lang", F.lit("/"), F.col("doc_id") % 4).alias("route"),
+        "text",
+    )
+    done = redact_by_policy(requests, _policies(spark, sf_dir), REGEX)
+    entry = lambda a: F.concat_ws(":", a["entity_type"], a["action"], a["start"], a["end"])
+    return done.select(
+        "doc_id",
+        "text",
+        "status",
+        F.size("mappings").alias("mappings"),
+        F.array_join(F.transform("audit", entry), ",").alias("audit"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "detect_regex_documents": _detect(),
@@ -809,4 +888,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "outbound_redact_chunks": outbound_redact_chunks,
         "outbound_redact_stream": outbound_redact_stream,
         "late_chunks": late_chunks_documents,
+        "session_redact": session_redact,
+        "session_round_trip": session_round_trip,
+        "redact_by_policy": redact_by_policy_documents,
     }
