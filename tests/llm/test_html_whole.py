@@ -57,3 +57,46 @@ def test_templates_of_a_host_have_paths_of_their_own(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     texts = {r["page_id"]: r["text"] for r in extract_text(frame).collect()}
     assert set(texts.values()) == {STORY.strip()} and len(texts) == 6
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["style='overflow:hidden'", "aria-hidden='false'", "data-class='ad'", "class='layout has-sidebar'",
+     "class='post category-social'", "id='page-with-nav'", "class=main-header-less id=share-box",
+     "title='class=ad hidden'", "data-hidden"],
+)
+def test_attributes_that_only_mention_a_barred_word(attributes):
+    page = f"<body><nav>menu</nav><div {attributes}><h1>Title</h1><p>{STORY}</p></div></body>"
+    assert page_text(page) == f"Title\n{STORY.strip()}"
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["class='x ad'", "hidden", "HIDDEN", "aria-hidden=true", "class=comment-list", "id='site-footer'",
+     "class='cookie-banner'", "role=navigation", "class=user_comments"],
+)
+def test_barred_elements_go(attributes):
+    page = f"<body><div class=text><p>{STORY}</p></div><div {attributes}><p>not this</p></div></body>"
+    assert page_text(page) == STORY.strip()
+
+
+def test_a_form_around_the_page_and_forms_in_it():
+    form = "<form class=login><label>Name</label><p>Sign in here</p></form>"
+    page = f"<body><form id=aspnet><div class=text><p>{STORY}</p>{form}</div></form></body>"
+    assert page_text(page) == STORY.strip()
+
+
+def test_comments_longer_than_the_article():
+    notes = "".join(f"<p>comment {k} {'x ' * 50}</p>" for k in range(50))
+    page = f"<body><div class=text><p>{STORY}</p></div><div class=comments-area>{notes}</div></body>"
+    assert page_text(page) == STORY.strip()
+
+
+def test_headlines_in_an_articles_header():
+    page = f"<body><header>Site</header><article><header><h1>Title</h1></header><p>{STORY}</p><footer>by me</footer></article></body>"
+    assert page_text(page) == f"Title\n{STORY.strip()}"
+
+
+def test_raw_elements_that_are_not_closed():
+    assert page_text(f"<head><title>never closed<body><div><p>{STORY}</p></div></body>") == STORY.strip()
+    assert page_text(f"<body><div><p>{STORY}</p></div><script>var x = '<p>no</p>'") == STORY.strip()

@@ -47,7 +47,7 @@ BARRED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 # a start tag of the key ends open elements of the values, up to a container
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-    "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -56,7 +56,7 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(
-    r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I
+    r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
 )
 WORD = re.compile(r"[a-z]+")
 SEMANTIC = {"article", "main"}
@@ -72,23 +72,60 @@ COVER = 0.9
 MOST = 0.5
 
 
-def step_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """(path step, barred): the tag and its first class, digits generalised."""
-    barred, name = tag in BARRED, ""
+# classes that say how a page is laid out or filed, not what an element is
+ABOUT = {
+    "has", "with", "without", "no", "not", "is", "hide", "show", "category", "tag", "type",
+    "format", "layout", "template", "page", "post", "body",
+}
+# comments may be longer than the article
+COMMENTS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+SOFT_TAGS = {"form", "fieldset"}
+KEPT, SOFT, HARD = range(3)
+
+
+def bar_of(names: str) -> int:
+    """How a class or id bars its element.
+
+    A name that is a barred word, or begins or ends with a word for comments, bars it; one
+    that begins or ends with another barred word bars it if it is not the page's main part.
+    """
+    found = KEPT
+    for name in names.split():
+        words = WORD.findall(name)
+        if name in BARRED_NAMES:
+            return HARD
+        if not words or not ABOUT.isdisjoint(words[:-1]):
+            continue
+        ends = {words[0], words[-1]}
+        if not COMMENTS.isdisjoint(ends):
+            return HARD
+        if not BARRED_NAMES.isdisjoint(ends):
+            found = SOFT
+    return found
+
+
+def step_of(tag: str, attributes: str, inside: bool = False) -> tuple[str, int]:
+    """(path step, bar): the tag and its first class, digits generalised.
+
+    ``inside`` an article or main element a header has the headline and stays.
+    """
+    bar, name = KEPT, ""
+    if tag in BARRED and not (inside and tag == "header"):
+        bar = SOFT if tag in SOFT_TAGS else HARD
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             key = key.lower()
-            if key == "hidden":
-                barred = True
+            if key == "hidden" or (key == "aria-hidden" and value == "true"):
+                bar = HARD
             elif key == "role":
-                barred |= value in BARRED_ROLES
-            else:
+                bar = HARD if value in BARRED_ROLES else bar
+            elif key in ("class", "id"):
                 if tag not in ("html", "body", "article", "main"):
-                    barred |= not BARRED_NAMES.isdisjoint(WORD.findall(value))
+                    bar = max(bar, bar_of(value))
                 if key == "class" and value.split():
                     name = "." + re.sub(r"\d+", "#", value.split()[0])
-    return tag + name, barred
+    return tag + name, bar
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
@@ -97,11 +134,16 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
     ``article`` numbers the outermost article or main element around it, 0 is none.
 
     White space within a block is one space.  Tags that are not closed end with their
-    parent; a comment or tag that the page's end cuts off is dropped.
+    parent; a comment or tag that the page's end cuts off is dropped.  An element that is only
+    by its look a form, menu or notice (``bar_of``) is barred unless it holds more than half of
+    the page's unlinked text.
     """
     found: list[tuple[tuple[str, ...], str, int, int]] = []
-    # tag, step, barred here or above, number of the outermost article
-    stack: list[tuple[str, str, bool, int]] = []
+    # the softly barred elements around each block, and their unlinked text
+    around: list[tuple[int, ...]] = []
+    soft_worth: list[int] = []
+    # tag, step, barred here or above, number of the outermost article, softly barred ones
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
     texts: list[str] = []
     linked = in_link = articles = 0
     at, size = 0, len(page)
@@ -111,8 +153,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text and not (stack and stack[-1][2]):
-                path = tuple(s for t, s, _, _ in stack if t in BLOCKS)
+                path = tuple(s for t, s, *_ in stack if t in BLOCKS)
                 found.append((path, text, linked, stack[-1][3] if stack else 0))
+                around.append(stack[-1][4] if stack else ())
+                for k in around[-1]:
+                    soft_worth[k] += worth_of(text, linked)
             texts.clear()
         linked = 0
 
@@ -151,10 +196,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
                     break
             continue
         if tag in RAW:
+            if attributes.endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end and not attributes.endswith("/") else (
-                at if attributes.endswith("/") else size
-            )
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = size
+            elif tag in ("title", "textarea"):
+                # never closed: it ends where another element begins
+                after = page.find("<", at)
+                at = size if after < 0 else after
             continue
         if tag in BLOCKS:
             for k in range(len(stack) - 1, -1, -1):
@@ -177,14 +229,24 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
             continue
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        step, barred = step_of(tag, attributes)
         article = stack[-1][3] if stack else 0
+        step, bar = step_of(tag, attributes, article > 0)
         if tag in SEMANTIC:
             articles += 1
             article = article or articles
-        stack.append((tag, step, barred or bool(stack and stack[-1][2]), article))
+        barred = bar == HARD or bool(stack and stack[-1][2])
+        soft = stack[-1][4] if stack else ()
+        if bar == SOFT and not barred:
+            soft = (*soft, len(soft_worth))
+            soft_worth.append(0)
+        stack.append((tag, step, barred, article, soft))
         in_link += tag == "a"
     end_block()
+    # an element that may be a form, menu or notice is one unless it holds most of the text
+    whole = sum(worth_of(text, linked) for _, text, linked, _ in found)
+    barred_ones = {k for k, worth in enumerate(soft_worth) if worth <= MOST * whole}
+    if barred_ones:
+        found = [b for b, soft in zip(found, around, strict=True) if barred_ones.isdisjoint(soft)]
     return found
 
 
