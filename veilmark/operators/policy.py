@@ -40,14 +40,13 @@ def resolve_policies(places: DataFrame, policies: DataFrame) -> DataFrame:
     wrong = (strict <= 0) | F.greatest(
         *(F.col(c).isNull() for c in ("namespace", "route", "entity_type", "action"))
     )
+    error = F.raise_error(F.lit("a policy has a null or an unknown action"))
+    # on the join key, where no filter passes it by
     rules = policies.select(
-        F.col("namespace").alias("_namespace"),
+        F.when(F.coalesce(wrong, F.lit(True)), error).otherwise(F.col("namespace")).alias("_namespace"),
         F.regexp_replace("route", "/+$", "").alias("_prefix"),
         "entity_type",
-        F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("a policy has a null or an unknown action")))
-        .otherwise(strict)
-        .cast("int")
-        .alias("_strict"),
+        strict.cast("int").alias("_strict"),
     )
     distinct = places.select("namespace", "route").distinct()
     spread = distinct.select(

@@ -414,6 +414,29 @@ def oracle_sql() -> dict[str, str]:
         "rechunk_stream": f"""{_REDACTED_DOCUMENTS}
             SELECT key AS stream_id, 0::BIGINT AS block, text FROM redacted
             WHERE length(text) > 0""",
+        "transactions": f"""{_REDACTED_DOCUMENTS},
+            pair AS (
+              SELECT d.doc_id, d.text AS plain, r.text AS tokens, d.doc_id % 7 AS kind,
+                     coalesce(length(d.text), 0) > 0 AND d.doc_id % 7 <> 5 AS answered
+              FROM documents d JOIN redacted r ON r.key = d.doc_id)
+            SELECT doc_id AS request_id, 'restored' AS status, plain AS text
+            FROM pair WHERE answered AND kind NOT IN (3, 4)
+            UNION ALL SELECT doc_id + CASE kind WHEN 3 THEN 10000000 ELSE 0 END, 'no_request', tokens
+            FROM pair WHERE answered AND kind IN (3, 4)
+            UNION ALL SELECT doc_id, 'no_response', NULL FROM pair
+            WHERE NOT answered OR kind IN (3, 4)""",
+        "requests_files": f"""
+            WITH judged AS (
+              SELECT doc_id, doc_id % 5 = 0 AS skipped,
+                     NOT doc_id % 5 = 0 AND contains(text || lang || source, 'É') AS failed,
+                     len(regexp_extract_all(text, '{shout}')) + len(regexp_extract_all(lang, '{shout}'))
+                     + len(regexp_extract_all(source, '{shout}')) AS n
+              FROM documents)
+            SELECT t.name || CASE WHEN failed THEN '-bad' ELSE '-out' END AS target,
+                   CASE WHEN failed THEN 'rejected' WHEN skipped OR n = 0 THEN 'unchanged'
+                        ELSE 'redacted' END AS status,
+                   CASE WHEN NOT failed THEN doc_id::VARCHAR END AS seed
+            FROM judged CROSS JOIN (VALUES ('table'), ('lines')) t(name)""",
         "session_redact": f"""{_SESSIONS}
             SELECT c.key AS doc_id, c.key % 50 AS session_id, {_SESSION_VERSION}::INTEGER AS salt_version,
                    text, status FROM redacted c""",

@@ -55,14 +55,18 @@ from veilmark.sources.tables import (
     CHUNK_SCHEMA,
     compact_vault,
     new_folder,
+    read_requests,
     read_vault,
     spread,
     stored,
     stream_chunks,
+    write_rejected,
+    write_requests,
     write_vault,
 )
 from veilmark.streaming.jobs import redact_stream, rehydrate_stream
 from veilmark.streaming.rechunk import rechunk_stream
+from veilmark.streaming.transactions import restore_transactions
 
 SALT = "salt"
 REGEX = Options(salt=SALT, backend="regex")
@@ -831,6 +835,88 @@ def redact_by_policy_documents(spark, sf_dir):
     )
 
 
+def transactions_documents(spark, sf_dir):
+    """Requests a minute apart and their answers, joined as streams.
+
+    By document: some answers name a request that was never made, some come too late, some
+    never.  Rows far in the future move the watermark past all others.
+    """
+    work = new_folder(spark)
+    redacted = stored(_redacted_documents(spark, sf_dir))
+    number = F.col("doc_id")
+    asked_at = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=number.cast("int"))
+    requests = redacted.select(number.alias("request_id"), asked_at.alias("ts"), "mappings")
+    blocks = rechunk_batch(chunk_texts(redacted, "doc_id", "text", 500), 1024)
+    number, kind = F.col("stream_id"), F.col("stream_id") % 7
+    asked_at = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=number.cast("int"))
+    after = F.when(kind == 4, 7200).otherwise(60)
+    responses = blocks.where(kind != 5).where("octet_length(chunk) > 0").select(
+        F.when(kind == 3, number + 10_000_000).otherwise(number).alias("request_id"),
+        F.col("block").alias("seq"),
+        "chunk",
+        (asked_at + F.make_dt_interval(secs=after)).alias("ts"),
+    )
+    latest = requests.agg(F.max("ts").alias("ts"))
+    live = {}
+    for phase in range(3):
+        for name, rows in (("requests", requests), ("responses", responses)):
+            if phase:
+                years = F.make_ym_interval(F.lit(phase))
+                rows = rows.limit(0).unionByName(
+                    latest.select((F.col("ts") + years).alias("ts")), allowMissingColumns=True
+                )
+            rows.write.parquet(f"{work}/{name}/{phase}")
+            schema = rows.schema
+            live[name] = spark.readStream.schema(schema).parquet(f"{work}/{name}/*")
+        _finished(
+            restore_transactions(live["requests"], live["responses"])
+            .writeStream.format("parquet")
+            .option("path", f"{work}/out")
+            .option("checkpointLocation", f"{work}/checkpoint")
+        )
+    out = spark.read.parquet(f"{work}/out").where("request_id is not null")
+    piece = F.struct("seq", F.decode("chunk", "ISO-8859-1").alias("chunk"))
+    whole = F.array_join(F.array_sort(F.collect_list(piece))["chunk"], "")
+    text = F.encode(whole, "ISO-8859-1").cast("string")
+    return out.groupBy("request_id", "status").agg(
+        F.when(F.count("chunk") > 0, text).alias("text")
+    )
+
+
+def requests_files(spark, sf_dir):
+    """Bodies written as Parquet and as lines of text, read back, sanitized and written."""
+    work = new_folder(spark)
+    bodies = _bodies(spark, sf_dir)
+    bodies.write.parquet(f"{work}/table")
+    bodies.where("body is not null").select("body").write.text(f"{work}/lines")
+
+    def detector(texts, language):
+        if any("É" in t for t in texts):
+            raise RuntimeError("cannot inspect")
+        return _shouting(texts, language)
+
+    options = Options(salt=SALT, on_error="closed")
+    outcome = []
+    for kind, name in (("parquet", "table"), ("text", "lines")):
+        done = stored(sanitize_requests(read_requests(spark, f"{work}/{name}", kind), options, detector=detector))
+        write_requests(done, f"{work}/{name}-out", "job", 0)
+        write_rejected(done, f"{work}/{name}-bad", "job", 0)
+        # once more: the same batch of the same writer is replaced
+        write_requests(done, f"{work}/{name}-out", "job", 0)
+        for part in ("out", "bad"):
+            rows = spark.read.parquet(f"{work}/{name}-{part}")
+            seed = F.get_json_object("body", "$.seed") if part == "out" else F.lit(None)
+            outcome.append(
+                rows.select(
+                    F.lit(f"{name}-{part}").alias("target"), "status", seed.cast("string").alias("seed")
+                )
+            )
+    every = outcome[0]
+    for rows in outcome[1:]:
+        every = every.unionByName(rows)
+    return every
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "detect_regex_documents": _detect(),
@@ -888,6 +974,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "outbound_redact_chunks": outbound_redact_chunks,
         "outbound_redact_stream": outbound_redact_stream,
         "late_chunks": late_chunks_documents,
+        "transactions": transactions_documents,
+        "requests_files": requests_files,
         "session_redact": session_redact,
         "session_round_trip": session_round_trip,
         "redact_by_policy": redact_by_policy_documents,
