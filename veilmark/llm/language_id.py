@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilmark.llm.bpe_chunks import Memory, text_blocks
+from veilmark.llm.common import stored
 
 SAMPLE_DOCS = 20_000
 WORDS = 50_000
@@ -149,8 +150,9 @@ def train(
         .where("word <> ''")
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
-        .cache()
     )
+    # each is read several times
+    word_counts = stored(word_counts, "word-counts")
     totals = _sums(word_counts)
     known = _log_frequencies(word_counts, "word", words, totals)
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
@@ -164,8 +166,8 @@ def train(
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
+    gram_counts = stored(gram_counts, "gram-counts")
     parts = _log_frequencies(gram_counts, "gram", grams, _sums(gram_counts))
-    word_counts.unpersist()
     return LanguageModel(sorted(totals), known, parts)
 
 
