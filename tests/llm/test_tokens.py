@@ -218,3 +218,19 @@ def test_pack_examples(spark):
     check_packing(got, {k: len(m) for k, m in rows if m}, 64)
     with pytest.raises(ValueError):
         pack_examples(frame, Limits(0, 1, 1))
+
+
+@pytest.mark.parametrize("shortest,longest", [(1, 1), (1, 5), (3, 10), (8, 15), (1, 3000)])
+def test_short_documents_are_packed_without_padding(shortest, longest):
+    rng = random.Random(longest)
+    packer = Packer(Limits(segments=2048))
+    sizes = [rng.randint(shortest, longest) for _ in range(20_000)]
+    placed = [p for k, n in enumerate(sizes) for p in packer.add(k, n)]
+    held = len(packer.docs) + len(packer.fresh)
+    placed += packer.finish()
+    filled = {}
+    for _, _, count, sequence, _ in placed:
+        filled[sequence] = filled.get(sequence, 0) + count
+    room = sum(n if n & (n - 1) == 0 else 2048 for n in filled.values())
+    assert sum(filled.values()) == sum(sizes) >= 0.99 * room
+    assert held <= 2048 + 1024 and max(filled.values()) <= 2048

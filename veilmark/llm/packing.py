@@ -36,7 +36,8 @@ class Limits:
 
 
 class Packer:
-    """Packs pieces as they come; holds at most ``pool`` of them.
+    """Packs pieces as they come; holds about ``pool`` of them, or those that do not yet
+    fill a sequence.
 
     A piece is (document, start, stop, loss); ``loss`` is the running number of
     loss-bearing ids of the document, so that any cut of it has its exact need.
@@ -93,6 +94,9 @@ class Packer:
             self.needs = np.concatenate([self.needs, [self._need(p) for p in self.fresh]])
             self.fresh = []
         while len(self.docs) > keep or (keep == 0 and self.docs):
+            # short pieces wait until they fill a sequence: they are fewer than its tokens
+            if keep and self.needs[: len(self.docs), 0].sum() < self.caps[0]:
+                return
             placed = self._fill(keep == 0)
             if placed is None:
                 return
@@ -144,7 +148,7 @@ def pack_documents(
     docs: DataFrame,
     tokenizer: str,
     end_id: int = 1,
-    limits: Limits = Limits(),  # noqa: B008
+    limits: Limits = Limits(segments=2048),  # noqa: B008
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -154,7 +158,7 @@ def pack_documents(
     doc_tokens, sequence_id, offset (gapless within the sequence), ids (little-endian
     unsigned 32-bit numbers, as bytes).  A document's ids are its text's and
     ``end_id``; a null or empty text is its end id alone.  All ids of a document bear
-    loss.  Each task packs the rows it reads and numbers its sequences from its
+    loss, and as many documents as fit may share a sequence, unless ``limits`` says less.  Each task packs the rows it reads and numbers its sequences from its
     partition number, so there is no shuffle, and a task that runs again gives the
     same rows.  Documents of any length stream through; the pool has a fixed size.
     Null and repeated ids are carried as they are; other columns are not looked at.
