@@ -23,6 +23,7 @@ from veilmark.llm import (
     toxicity,
 )
 from veilmark.llm.common import path_of, table
+from veilmark.llm.oracle import oracle_sql  # noqa: F401
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -151,23 +152,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             pipeline,
         )
     }
-
-
-EXACT_DEDUP = r"""
-WITH texts AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n,
-         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
-  FROM documents
-)
-SELECT doc_id,
-       first_value(doc_id) OVER w AS keep_id,
-       count(*) OVER (PARTITION BY content) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
-       sha256(content) AS text_sha256
-FROM texts
-WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id)
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP}
