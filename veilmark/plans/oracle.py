@@ -125,6 +125,12 @@ def _crowded(tail: str) -> str:
       {tail}"""
 
 
+def _select_spans() -> str:
+    valid = """valid AS (SELECT c.* FROM crowd c JOIN documents d ON d.doc_id = c.key
+                 WHERE c.s >= 0 AND c.s < c.e AND c.e <= length(d.text)), """
+    return _crowded(valid + _choose("valid")) + _findings("doc_id", "chosen")
+
+
 def _dictionary() -> str:
     """Terms do not overlap themselves, so plain splitting finds every place."""
     literal = {t: t for t in TERMS}
@@ -303,12 +309,8 @@ def oracle_sql() -> dict[str, str]:
             "kept AS (SELECT * FROM crowd WHERE entity_type IN ('EARLY', 'PHONE_NUMBER'))"
         )
         + _findings("doc_id", "kept"),
-        "select_spans": _crowded(
-            """valid AS (SELECT c.* FROM crowd c JOIN documents d ON d.doc_id = c.key
-                 WHERE c.s >= 0 AND c.s < c.e AND c.e <= length(d.text)), """
-            + _choose("valid")
-        )
-        + _findings("doc_id", "chosen"),
+        "select_spans": _select_spans(),
+        "select_spans_long": _select_spans(),
         "redact_documents": f"""{_REDACTED_DOCUMENTS}
             SELECT key AS doc_id, text, status FROM redacted""",
         "redact_dictionary": f"""WITH RECURSIVE {_dictionary()}, {_choose('named')},
@@ -414,6 +416,16 @@ def oracle_sql() -> dict[str, str]:
         "rechunk_stream": f"""{_REDACTED_DOCUMENTS}
             SELECT key AS stream_id, 0::BIGINT AS block, text FROM redacted
             WHERE length(text) > 0""",
+        "tool_calls": f"""{_REDACTED_DOCUMENTS}
+            SELECT key AS doc_id, text, 'a@b.com' AS user, status FROM redacted""",
+        "detection_metrics": f"""{_REDACTED_DOCUMENTS}
+            SELECT strftime(TIMESTAMP '2026-01-01 00:00:00' + to_hours(key), '%Y-%m-%d') AS day,
+                   entity_type, count(*) AS findings
+            FROM cut GROUP BY ALL""",
+        "detection_metrics_rollup": f"""{_REDACTED_DOCUMENTS}
+            SELECT entity_type, count(*) AS findings, count(DISTINCT token) AS tokens,
+                   count(DISTINCT key) AS requests, TRUE AS tokens_close, TRUE AS requests_close
+            FROM cut GROUP BY entity_type""",
         "transactions": f"""{_REDACTED_DOCUMENTS},
             pair AS (
               SELECT d.doc_id, d.text AS plain, r.text AS tokens, d.doc_id % 7 AS kind,

@@ -41,7 +41,9 @@ from veilmark.operators.policy import redact_by_policy
 from veilmark.operators.redact import extract_mappings, redact, redact_columns
 from veilmark.operators.rehydrate import rehydrate, tokens_long
 from veilmark.operators.sessions import redact_sessions, rehydrate_sessions, session_vault
+from veilmark.operators.spans_long import select_spans_long
 from veilmark.operators.terms import detect_terms
+from veilmark.operators.toolcalls import sanitize_tool_calls
 from veilmark.operators.vault import (
     detokenize,
     vault_get,
@@ -65,6 +67,7 @@ from veilmark.sources.tables import (
     write_vault,
 )
 from veilmark.streaming.jobs import redact_stream, rehydrate_stream
+from veilmark.streaming.metrics import detection_events, detection_metrics, rollup_metrics
 from veilmark.streaming.rechunk import rechunk_stream
 from veilmark.streaming.transactions import restore_transactions
 
@@ -180,6 +183,15 @@ def select_spans_documents(spark, sf_dir):
     return findings_long(chosen, "doc_id")
 
 
+def select_spans_long_documents(spark, sf_dir):
+    """The same choice on a table of findings, in ranges of 64 positions."""
+    rows = _crowded(spark, sf_dir).select(
+        "doc_id", F.length("text").alias("length"), F.posexplode("findings").alias("ord", "finding")
+    ).select("doc_id", "length", "ord", "finding.*")
+    chosen = select_spans_long(rows, "doc_id", "ord", "length", positions=64)
+    return chosen.drop("ord", "length")
+
+
 def filter_score_documents(spark, sf_dir):
     kept = _crowded(spark, sf_dir).withColumn(
         "findings", F.expr(filter_score("findings", 0.7))
@@ -917,6 +929,98 @@ def requests_files(spark, sf_dir):
     return every
 
 
+def tool_calls_documents(spark, sf_dir):
+    """A tool call per document: plain arguments, JSON in a string, JSON in that again."""
+    number = F.col("doc_id")
+    held = F.struct("text", F.struct(F.col("source").alias("from")).alias("more"))
+    once = F.to_json(held)
+    twice = F.to_json(F.struct(F.array(once).alias("items")))
+    call = lambda arguments: F.to_json(
+        F.struct(
+            F.array(
+                F.struct(
+                    F.lit("assistant").alias("role"),
+                    F.array(
+                        F.struct(F.struct(F.lit("f").alias("name"), arguments.alias("arguments")).alias("function"))
+                    ).alias("tool_calls"),
+                )
+            ).alias("messages"),
+            # not a tool's: stays as it is
+            F.lit("a@b.com").alias("user"),
+        )
+    )
+    plain = F.to_json(
+        F.struct(
+            F.lit("tools/call").alias("method"),
+            F.struct(held.alias("arguments")).alias("params"),
+            F.lit("a@b.com").alias("user"),
+        )
+    )
+    bodies = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(number % 3 == 0, plain).when(number % 3 == 1, call(once)).otherwise(call(twice)).alias("body")
+    )
+    done = sanitize_tool_calls(spread(bodies, "doc_id"), REGEX)
+    arguments = F.get_json_object("body", "$.messages[0].tool_calls[0].function.arguments")
+    number = F.col("doc_id")
+    return done.select(
+        "doc_id",
+        F.when(number % 3 == 0, F.get_json_object("body", "$.params.arguments.text"))
+        .when(number % 3 == 1, F.get_json_object(arguments, "$.text"))
+        .otherwise(F.get_json_object(F.get_json_object(arguments, "$.items[0]"), "$.text"))
+        .alias("text"),
+        F.get_json_object("body", "$.user").alias("user"),
+        "status",
+    )
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    hour = F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    redacted = _redacted_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("request_id"), (F.lit(START).cast("timestamp") + hour).alias("ts"), "mappings"
+    )
+    return detection_events(redacted)
+
+
+def detection_metrics_documents(spark, sf_dir):
+    """Counts by day and type from a live stream in which half of all events come twice."""
+    work = new_folder(spark)
+    events = stored(_events(spark, sf_dir))
+    again = events.where(F.xxhash64("event_id") % 2 == 0)
+    latest = events.agg((F.max("ts") + F.make_ym_interval(F.lit(1))).alias("ts"))
+    beyond = events.limit(0).unionByName(latest.withColumn("event_id", F.lit("end")), allowMissingColumns=True)
+    # an hour per event: days apart is late, so repeats come with the first delivery
+    for phase, rows in enumerate((events.unionByName(again), beyond, beyond.withColumn("event_id", F.lit("end2")))):
+        rows.write.parquet(f"{work}/in/{phase}")
+        live = spark.readStream.schema(events.schema).parquet(f"{work}/in/*")
+        _finished(
+            detection_metrics(live, "1 day")
+            .writeStream.format("parquet")
+            .option("path", f"{work}/out")
+            .option("checkpointLocation", f"{work}/checkpoint")
+        )
+    out = spark.read.parquet(f"{work}/out")
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
+    return out.where("entity_type is not null").select(day, "entity_type", "findings")
+
+
+def detection_metrics_rollup(spark, sf_dir):
+    """Distinct tokens and requests by type from merged sketches, close to the exact numbers."""
+    events = stored(_events(spark, sf_dir))
+    merged = rollup_metrics(detection_metrics(events, "1 day"), "entity_type")
+    exact = events.groupBy("entity_type").agg(
+        F.countDistinct("token").alias("tokens"), F.countDistinct("request_id").alias("requests")
+    )
+    close = lambda found, true: F.abs(F.col(found) - F.col(true)) <= F.col(true) * 0.08
+    return merged.join(exact, "entity_type").select(
+        "entity_type",
+        "findings",
+        "tokens",
+        "requests",
+        close("distinct_tokens", "tokens").alias("tokens_close"),
+        close("distinct_requests", "requests").alias("requests_close"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "detect_regex_documents": _detect(),
@@ -937,6 +1041,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_score": filter_score_documents,
         "allow_entities": allow_entities_documents,
         "select_spans": select_spans_documents,
+        "select_spans_long": select_spans_long_documents,
         "redact_documents": redact_documents,
         "redact_dictionary": redact_dictionary_documents,
         "redact_columns_pages": redact_columns_pages,
@@ -975,6 +1080,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "outbound_redact_stream": outbound_redact_stream,
         "late_chunks": late_chunks_documents,
         "transactions": transactions_documents,
+        "tool_calls": tool_calls_documents,
+        "detection_metrics": detection_metrics_documents,
+        "detection_metrics_rollup": detection_metrics_rollup,
         "requests_files": requests_files,
         "session_redact": session_redact,
         "session_round_trip": session_round_trip,
