@@ -69,3 +69,39 @@ def test_second_secret_of_a_run(spark):
         ends = [(s["start"], s["stop"]) for s in r["spans"]]
         assert ends[0][1] == ends[1][0]
     assert word_null(docs).p_value(mixed[0]) < 1e-3
+
+
+def test_parts_beside_base_spans_against_every_span():
+    """The walk side by side gives what comparing each run with all spans gives."""
+    import random
+
+    from veilmark.llm.secret_scan import CANDIDATE, LEAST, candidates
+
+    def all_against_all(text, base):
+        for match in CANDIDATE.finditer(text):
+            at, end = match.span()
+            for a, b in [*sorted((a, b) for a, _, b in base), (end, end)]:
+                if b < at or a > end:
+                    continue
+                if a - at >= LEAST and any(map(str.isalnum, text[at:a])):
+                    yield at, a
+                at = max(at, b)
+
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("abAB01/+  =_") * rng.randint(1, 12) for _ in range(60))
+        base = sorted((a, rng.randint(0, 2), a + rng.randint(1, 60)) for a in (rng.randint(0, len(text)) for _ in range(rng.randint(0, 9))))
+        assert list(candidates(text, base)) == list(all_against_all(text, base))
+
+
+def test_a_long_list_of_hashes_takes_time_in_proportion():
+    import hashlib
+    import time
+
+    from veilmark.llm.secret_scan import base_spans, candidates
+
+    text = "\n".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(150_000))
+    started = time.perf_counter()
+    base = base_spans(text)
+    assert len(base) == 150_000 and list(candidates(text, base)) == []
+    assert time.perf_counter() - started < 5

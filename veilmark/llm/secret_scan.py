@@ -78,15 +78,27 @@ def infer(run: str) -> tuple[str, int]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """(start, end) of the parts of key character runs that no base span covers, if they are
     long enough and have a letter or digit."""
-    taken = sorted((a, b) for a, _, b in base)
+    taken: list[list[int]] = []
+    for a, _, b in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    first = 0  # runs and base spans are walked side by side
     for match in CANDIDATE.finditer(text):
         at, end = match.span()
-        for a, b in [*taken, (end, end)]:
-            if b < at or a > end:
-                continue
+        while first < len(taken) and taken[first][1] < at:
+            first += 1
+        k = first
+        while k < len(taken) and taken[k][0] <= end:
+            a, b = taken[k]
             if a - at >= LEAST and any(map(str.isalnum, text[at:a])):
                 yield at, a
             at = max(at, b)
+            k += 1
+        if end - at >= LEAST and any(map(str.isalnum, text[at:end])):
+            yield at, end
+        first = max(first, k - 1)
 
 
 def statistics(run: str) -> tuple[str, float, int, float]:
