@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +308,20 @@ def test_long_lists_are_found_in_rows_too():
     match = longtext.term_matcher(terms, 0.9)
     assert sorted(match("aaa t7é🙂t399é")) == [
         (0, 2, 0.9, "A"), (1, 3, 0.9, "A"), (4, 7, 0.9, "E1"), (7, 9, 0.9, "F"), (8, 13, 0.9, "E0")]
+
+
+def test_windows_of_many_texts_are_hashed_together(monkeypatch):
+    from veilmark.functions import windows
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("aábü🙂 ") for _ in range(n))
+    terms = {word(rng.choice([1, 2, 3, 7])) for _ in range(30)}
+    texts = [word(rng.randint(0, 40)) for _ in range(200)] + [None, "", "ab"]
+    sizes, bits = sorted({len(t) for t in terms}), windows.bitmap_bits(len(terms))
+    bitmap = windows.bitmap_of(terms, bits)
+    alone = [[] if t is None else list(windows.candidates(t, bitmap, sizes, bits)) for t in texts]
+    hashed = []
+    monkeypatch.setattr(windows, "RunningHash", lambda t, make=windows.RunningHash: hashed.append(t) or make(t))
+    assert windows.candidates_of(texts, bitmap, sizes, bits) == alone and len(hashed) == 1
+    assert windows.candidates_of([], bitmap, sizes, bits) == [] == windows.candidates_of([], bitmap, [], bits)
+    assert list(windows.text_runs(np.array([3, 3, 9, 0, 1]), 6)) == [(0, 2), (2, 3), (3, 5)]

@@ -67,3 +67,40 @@ def candidates(text: str, bitmap: np.ndarray, sizes: list[int], bits: int) -> It
         hit = bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))
         for at in np.flatnonzero(hit & np.uint64(1)).tolist():
             yield at, text[at : at + size]
+
+
+RUN_CHARS = 1 << 18
+
+
+def text_runs(sizes: np.ndarray, limit: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, stop) of neighbours with at most ``limit`` characters together, or of one."""
+    start, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and total + size > limit:
+            yield start, k
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def candidates_of(
+    texts: list[str | None], bitmap: np.ndarray, sizes: list[int], bits: int
+) -> list[list[tuple[int, str]]]:
+    """The ``candidates`` of each text, from one running hash over all of them: a window's
+    slot does not depend on where it lies.  Windows that begin in one text and end in
+    another are left out."""
+    found: list[list[tuple[int, str]]] = [[] for _ in texts]
+    whole = "".join(t or "" for t in texts)
+    ends = np.cumsum([len(t or "") for t in texts])
+    hashes = RunningHash(whole)
+    for size in sizes:
+        slots = hashes.windows(size, bits)
+        hit = bitmap[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))
+        at = np.flatnonzero(hit & np.uint64(1))
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + size <= ends[owner]
+        starts = at - np.append(0, ends)[owner]
+        for k, i, a in zip(owner[inside].tolist(), at[inside].tolist(), starts[inside].tolist()):
+            found[k].append((a, whole[i : i + size]))
+    return found
