@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -19,23 +19,30 @@ from veilmark.functions.longtext import _BLANK, Span, choose, label, token
 
 LEVELS = 8
 _PIECE = re.compile(
-    r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S
+    r"[^\\]+|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.", re.S
 )
 Edit = tuple[int, int, str]
 
 
-def unescaped(raw: str) -> tuple[str, list[int]]:
+def text_of(raw: str) -> str:
+    """The text of a string literal."""
+    return json.loads(raw, strict=False) if "\\" in raw else raw[1:-1]
+
+
+def unescaped(raw: str) -> tuple[str, Sequence[int]]:
     """The text of a string literal, and where each of its characters begins in it; one
     entry more is the literal's closing quote."""
     if "\\" not in raw:
-        return raw[1:-1], list(range(1, len(raw)))
-    chars, places = [], []
+        return raw[1:-1], range(1, len(raw))
+    places: list[int] = []
     for piece in _PIECE.finditer(raw, 1, len(raw) - 1):
-        part = piece[0]
-        chars.append(json.loads(f'"{part}"') if part[0] == "\\" else part)
-        places.append(piece.start())
+        start, stop = piece.span()
+        if raw[start] == "\\":
+            places.append(start)
+        else:
+            places.extend(range(start, stop))
     places.append(len(raw) - 1)
-    return "".join(chars), places
+    return text_of(raw), places
 
 
 def escaped(text: str) -> str:
@@ -89,7 +96,8 @@ def edits_of(
     for path, (start, stop) in literals(text).items():
         if not any(path[:n] in wanted for n in sizes if n <= len(path)):
             continue
-        value, places = unescaped(text[start:stop])
+        raw = text[start:stop]
+        value = text_of(raw)
         inner = document(value) if level < LEVELS else None
         if inner is not None:
             found = edits_of(value, inner, match, salt, mappings, [()], level + 1)
@@ -100,7 +108,9 @@ def edits_of(
                     new = token(entity, value[a:b], salt)
                     mappings.append({"token": new, "value": value[a:b], "entity_type": label(entity)})
                     found.append((a, b, new))
-        edits += [(start + places[a], start + places[b], escaped(new)) for a, b, new in found]
+        if found:
+            _, places = unescaped(raw)
+            edits += [(start + places[a], start + places[b], escaped(new)) for a, b, new in found]
     return edits
 
 
