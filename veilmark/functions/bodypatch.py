@@ -13,17 +13,24 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from veilmark.functions.chatbody import FIELDS, TOP_FIELDS
 from veilmark.functions.exprs import MAPPINGS
 from veilmark.functions.longtext import Span, redact_string
+from veilmark.functions.windows import text_runs
 
 PATCHED = f"struct<body:string,mappings:{MAPPINGS},error:string>"
 
+_MAPPING_ARROW = pa.struct([(name, pa.string()) for name in ("token", "value", "entity_type")])
+_PATCHED_ARROW = pa.struct([("body", pa.string()), ("mappings", pa.list_(_MAPPING_ARROW)), ("error", pa.string())])
+DETECT_RUN_BYTES = 1 << 20
+
 Place = tuple[str, "int | None", "int | None"]  # path, pos, part_pos
 
-_ITEM = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+', re.S)
+_ITEM = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\],:]|[^\s"{}\[\],:]+', re.S)
 
 
 def _reject(name: str):
@@ -197,13 +204,12 @@ def patch_udf(match: Callable[[str], list[Span]], salt: str):
 def detect_udf(find: Callable[[list[str]], list[tuple]], salt: str):
     """Body -> struct(body, mappings, error) by a batch detector.
 
-    The fields of all bodies of one Arrow batch go to ``find`` together, which gives
-    (spans, error) for each text; a failing text fails its whole body.  Nothing leaves
-    the row, so ids of bodies play no part.
+    The fields of neighbouring bodies of one Arrow batch, about a megabyte together, go to
+    ``find`` at once, which gives (spans, error) for each text; a failing text fails its
+    whole body.  Nothing leaves the row, so ids of bodies play no part.
     """
 
-    @F.pandas_udf(PATCHED)
-    def run(bodies: pd.Series) -> pd.DataFrame:
+    def worked(bodies: list[str | None]) -> list[dict]:
         roots = [None if b is None else load(b) for b in bodies]
         fields = [list(slots(r or {})) for r in roots]
         found = iter(find([text for row in fields for _, text in row]))
@@ -220,10 +226,21 @@ def detect_udf(find: Callable[[list[str]], list[tuple]], salt: str):
                     if more:
                         changed.append((place, new))
                         mappings += more
-                rows.append((rewrite(body, changed) if changed else body, mappings, None))
+                done = (rewrite(body, changed) if changed else body, mappings, None)
             except Exception as e:
-                rows.append((None, [], str(e) or type(e).__name__))
-        return pd.DataFrame(rows, columns=["body", "mappings", "error"])
+                done = (None, [], str(e) or type(e).__name__)
+            rows.append(dict(zip(("body", "mappings", "error"), done)))
+        return rows
+
+    @F.arrow_udf(PATCHED)
+    def run(bodies: pa.Array) -> pa.Array:
+        # only a few bodies at a time are Python's objects, and their parsed trees with them
+        sizes = pc.binary_length(bodies).fill_null(0).to_numpy(zero_copy_only=False)
+        parts = [
+            pa.array(worked(bodies.slice(start, stop - start).to_pylist()), _PATCHED_ARROW)
+            for start, stop in text_runs(sizes, DETECT_RUN_BYTES)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], _PATCHED_ARROW)
 
     return run
 

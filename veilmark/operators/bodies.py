@@ -83,8 +83,8 @@ def sanitize_requests(
     Adds ``mappings``, ``detect_error`` and ``status`` (see ``redact``).  With a
     detector that reads only text this is one projection without a shuffle:
     raw gate, VARIANT walk and redaction in expressions, and Arrow only for the
-    bodies that change.  A detector of your own gets the text fields of one Arrow batch
-    of bodies at a time.  Either way a body never leaves its row: ids are not read.
+    bodies that change.  A detector of your own gets the text fields of some
+    bodies, about a megabyte, at a time.  Either way a body never leaves its row: ids are not read.
     """
     if detector is not None:
         return _sanitize_by_detector(requests, options, body, detector)
