@@ -34,16 +34,17 @@ def with_offsets(chunks: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
     stream or a sequence number has no place, and fails the job rather than vanish.
     """
     lost = F.col("stream_id").isNull() | F.col("seq").isNull()
-    chunks = chunks.withColumn(
-        "stream_id",
-        F.when(lost, F.raise_error(F.lit("a chunk has no stream_id or seq"))).otherwise(
-            F.col("stream_id")
-        ),
+    fail = F.raise_error(F.lit("a chunk has no stream_id or seq"))
+    chunks = chunks.withColumns(
+        {name: F.when(lost, fail).otherwise(F.col(name)) for name in ("stream_id", "seq")}
     )
+    # the filter, which the joins below imply for one side, keeps both readings of the sizes
+    # equal, so that Spark sums them up and shuffles them once
     sizes = (
         chunks.groupBy("stream_id", "seq")
         .agg(F.max(F.octet_length("chunk")).cast("long").alias("_len"))
         .withColumn("_range", F.expr(f"seq div {seq_range}"))
+        .where("_range IS NOT NULL")
     )
     in_range = Window.partitionBy("stream_id", "_range").orderBy("seq")
     local = sizes.withColumn("_local", F.sum("_len").over(in_range) - F.col("_len"))

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.functions.exprs import MAPPINGS, empty
+from veilmark.functions.exprs import MAPPINGS, empty, where_once
 from veilmark.operators.chunks import BLOCK_BYTES, SEQ_RANGE, rechunk_batch
 from veilmark.operators.detect import detect_regex
 from veilmark.operators.redact import redact
@@ -63,7 +63,7 @@ def parted(
     first = F.regexp_extract("wide", f"(?s)^.*?{PARTING}", 0)
     last = F.regexp_extract("wide", f"(?s)^.*{PARTING}", 0)
     cut = stored(
-        blocks.where(F.octet_length("chunk") > 0)
+        where_once(blocks, "octet_length(chunk) > 0")
         .select("stream_id", "block", wide.alias("wide"))
         .select(
             "stream_id",

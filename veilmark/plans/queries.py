@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.entities import canonical_entity, likelihood_score
-from veilmark.functions.exprs import inline_rows
+from veilmark.functions.exprs import inline_rows, where_once
 from veilmark.functions.spans import allow_entities, filter_score, select_spans
 from veilmark.functions.tokens import find_tokens, make_token, normalize_entity
 from veilmark.operators.bodies import (
@@ -731,6 +731,17 @@ def _finished(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def _finished_with_data(spark, writer) -> None:
+    """``_finished`` without the batch that only follows the watermark: the next run's does it."""
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        _finished(writer)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def outbound_redact_stream(spark, sf_dir):
     work = new_folder(spark)
     _landed(_raw_chunks(spark, sf_dir, 200), f"{work}/in", 0)
@@ -851,18 +862,20 @@ def transactions_documents(spark, sf_dir):
     """Requests a minute apart and their answers, joined as streams.
 
     By document: some answers name a request that was never made, some come too late, some
-    never.  Rows far in the future move the watermark past all others.
+    never.  Rows far in the future move the watermark past all others, and the run after
+    theirs gives out what waited for it.
     """
     work = new_folder(spark)
     redacted = stored(_redacted_documents(spark, sf_dir))
     number = F.col("doc_id")
     asked_at = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=number.cast("int"))
     requests = redacted.select(number.alias("request_id"), asked_at.alias("ts"), "mappings")
-    blocks = rechunk_batch(chunk_texts(redacted, "doc_id", "text", 500), 1024)
+    chunks = chunk_texts(redacted, "doc_id", "text", 500)
     number, kind = F.col("stream_id"), F.col("stream_id") % 7
+    blocks = where_once(rechunk_batch(chunks, 1024).where(kind != 5), "octet_length(chunk) > 0")
     asked_at = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=number.cast("int"))
     after = F.when(kind == 4, 7200).otherwise(60)
-    responses = blocks.where(kind != 5).where("octet_length(chunk) > 0").select(
+    responses = blocks.select(
         F.when(kind == 3, number + 10_000_000).otherwise(number).alias("request_id"),
         F.col("block").alias("seq"),
         "chunk",
@@ -880,11 +893,12 @@ def transactions_documents(spark, sf_dir):
             rows.write.parquet(f"{work}/{name}/{phase}")
             schema = rows.schema
             live[name] = spark.readStream.schema(schema).parquet(f"{work}/{name}/*")
-        _finished(
+        _finished_with_data(
+            spark,
             restore_transactions(live["requests"], live["responses"])
             .writeStream.format("parquet")
             .option("path", f"{work}/out")
-            .option("checkpointLocation", f"{work}/checkpoint")
+            .option("checkpointLocation", f"{work}/checkpoint"),
         )
     out = spark.read.parquet(f"{work}/out").where("request_id is not null")
     piece = F.struct("seq", F.decode("chunk", "ISO-8859-1").alias("chunk"))
