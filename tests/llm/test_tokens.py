@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import AWKWARD, documents
-from veilmark.llm.bpe_chunks import ChunkEncoder
+from veilmark.llm.bpe_chunks import ChunkEncoder, Memory
 from veilmark.llm.common import new_path, path_of
 from veilmark.llm.packing import Limits, Packer, pack_documents, pack_examples
 from veilmark.llm.sentencepiece_codec import (
@@ -55,6 +55,36 @@ def test_chunks_give_the_librarys_ids(texts):
     assert [x.tolist() for x in ENCODER.encode(texts)] == [library_ids(t) for t in texts]
 
 
+def test_texts_with_and_without_cuts_keep_their_order():
+    texts = [
+        "plain words. here", "two  spaces\t tab", "", " ", "end.\nNext line", "a \nb c\n d",
+        " first", "x\n\nY z.\nW", "é.\nÉté ß\u00a0 nb", "a\x1c b\u3000 c", "<|endoftext|> q.\nr",
+        "q <|endoftext|>\nNext w.\n<|endoftext|>", "last plain one", "trailing ", "\nline first",
+    ]
+    for block in (texts, texts[::-1], texts[1:2], texts[:1], []):
+        assert [x.tolist() for x in ENCODER.encode(block)] == [library_ids(t) for t in block]
+
+
+class CountingMemory(Memory):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_a_block_asks_once_for_each_different_chunk():
+    work = ChunkEncoder(BPE)
+    work.chunks = CountingMemory(work._chunk, 1000)
+    texts = ["one two three, " * 500 + "end"] * 20
+    assert [x.tolist() for x in work.encode(texts)] == [library_ids(t) for t in texts]
+    assert work.chunks.asked <= 10
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXTS, max_size=5))
 def test_words_give_the_librarys_pieces_and_texts(texts):

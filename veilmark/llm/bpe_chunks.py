@@ -2,8 +2,9 @@
 
 A byte-level BPE splits text before any merge, and a space after a character that is
 not white space always starts a new piece there.  Text cut in front of such spaces
-can be encoded chunk by chunk.  A worker keeps the ids of chunks it has seen, up to a
-fixed number, and asks the tokenizer library only for new ones.
+can be encoded chunk by chunk.  Arrow cuts a block of texts and numbers its different
+chunks, so each is looked up once a block.  A worker keeps the ids of chunks it has
+seen, up to a fixed number, and asks the tokenizer library only for new ones.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import re
 from array import array
 from codecs import charmap_decode
 from collections.abc import Callable
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 KEPT_CHUNKS = 250_000
 MARKS = tuple(".,;:!?")
 # every character that str.isspace() accepts, before a space: there is no cut there
-WHITE_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+WHITE_PAIR = "[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "] "
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -44,18 +47,36 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def many(self, keys: list[str]) -> list:
+        """The values of different keys, as one lookup after the other gives them."""
+        values = list(map(self.get, keys))
+        old, make = self.old.get, self.make
+        for k in [k for k, value in enumerate(values) if value is None]:
+            key = keys[k]
+            value = old(key)
+            if value is None:
+                value = make(key)
+            self[key] = values[k] = value
+        return values
+
     def tidy(self) -> None:
         if len(self) > self.kept:
             self.old = dict(self)
             self.clear()
 
 
-def space_cut(text: str) -> list[str]:
-    """Text cut in front of spaces after other characters, those spaces left out."""
-    if any(pair in text for pair in WHITE_PAIRS):
+def space_cut(texts: pa.Array) -> pa.ListArray:
+    """Texts cut in front of spaces after other characters, those spaces left out."""
+    odd = pc.match_substring_regex(texts, WHITE_PAIR)
+    if not pc.any(odd).as_py():
+        return pc.split_pattern(texts, " ")
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    others = []
+    for text in texts.filter(odd).to_pylist():
         parts = CUT.split(text)
-        return parts[:1] + [p[1:] for p in parts[1:]]
-    return text.split(" ")
+        others.append(parts[:1] + [p[1:] for p in parts[1:]])
+    places = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+    return pa.concat_arrays([plain, pa.array(others, plain.type)]).take(pa.array(places))
 
 
 class ChunkEncoder:
@@ -88,29 +109,55 @@ class ChunkEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """The library's merges of one piece, whose bytes it takes as letters."""
-        letters = charmap_decode(piece.encode(), "strict", self.letters)[0]
+        return self._merged(charmap_decode(piece.encode(), "strict", self.letters)[0])
+
+    def _merged(self, letters: str) -> bytes:
         return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         # letters are one piece, and so is a mark after them; other chunks are split
         if chunk.isalpha():
+            # an ASCII letter is the letter of its byte
+            if chunk.isascii():
+                return self._merged(self.letters[0x20] + chunk)
             return self._piece(" " + chunk)
         if chunk[-1:] in MARKS and chunk[:-1].isalpha():
             return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
         text = " " + chunk
         if self.special.search(text):
             return self._library([text])[0]
+        line, end, rest = chunk.partition("\n")
+        if end and rest.isalpha() and line and not line[-1].isspace():
+            # a line end between other characters is one piece, and so are letters after it
+            return self.chunks[line] + self.pieces[end] + self.pieces[rest]
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The arrays are views of one array for all texts."""
+        if not texts:
+            return []
         self.chunks.tidy()
         self.pieces.tidy()
-        cut = [space_cut(t) for t in texts]
-        look, out = self.chunks.__getitem__, []
-        for head, parts in zip(self._library([p[0] for p in cut]), cut, strict=True):
-            body = b"".join(map(look, islice(parts, 1, None)))
-            out.append(np.frombuffer(head + body, self.dtype))
-        return out
+        cut = space_cut(pa.array(texts, pa.string()))
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        parts = cut.flatten()
+        is_head = np.zeros(len(parts), bool)
+        is_head[starts[:-1]] = True
+        heads = self._library(parts.filter(pa.array(is_head)).to_pylist())
+        body = parts.filter(pa.array(~is_head)).dictionary_encode()
+        different = body.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # a table of ids: those of the different chunks, then those of the heads
+        table = self.chunks.many(different) + heads
+        rows = np.empty(len(parts), np.int64)
+        rows[~is_head] = body.indices.to_numpy()
+        rows[is_head] = np.arange(len(different), len(table))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(table), self.dtype)
+        ends = pa.array(np.append(0, np.cumsum(sizes)))
+        joined = pa.LargeListArray.from_arrays(ends, pa.array(ids)).take(pa.array(rows))
+        stops = joined.offsets.to_numpy()[starts].tolist()
+        found = joined.flatten().to_numpy()
+        return [found[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
 
 # fixed value: the pattern by which byte-level BPE of this kind splits text
